@@ -149,8 +149,8 @@ def range_series(daily: DataFrame, ranges: Sequence[DayRange], horizon: int) ->
     return ranged.withColumn("rebalances", spaced_days(numbers, horizon, F.col("range.day_from")))
 
 
-def mean_turnover(pairs: DataFrame, series: DataFrame, top_k: int) -> DataFrame:
-    """Mean share of new members over the rebalancing days of each factor and range.
+def selection_periods(pairs: DataFrame, series: DataFrame, top_k: int, forward: str = "fwd") -> DataFrame:
+    """Per factor, range and rebalancing period: members, new members, mean return.
 
     A member is new unless it was also one in the previous period, so no set of
     symbols is gathered and only the members themselves are shuffled.
@@ -163,16 +163,21 @@ def mean_turnover(pairs: DataFrame, series: DataFrame, top_k: int) -> DataFrame:
     previous = F.lag("period").over(Window.partitionBy("range_name", "factor_id", "symbol").orderBy("period"))
     members = (
         pairs.where(in_top(top_k))
-        .select("factor_id", "symbol", "d")
+        .select("factor_id", "symbol", "d", forward)
         .join(F.broadcast(picks), ["factor_id", "d"])  # factors x ranges x calendar / horizon rows
         .withColumn("stays", F.coalesce(previous == F.col("period") - 1, F.lit(False)))
     )
-    share = F.count_if(~F.col("stays")) / F.count(F.lit(1))
-    return (
-        members.groupBy("range_name", "factor_id", "period")
-        .agg(share.alias("turnover"))
-        .groupBy("range_name", "factor_id")
-        .agg(F.avg("turnover").alias("turnover"))
+    return members.groupBy("range_name", "factor_id", "period").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.count_if(~F.col("stays")).alias("entered"),
+        F.avg(forward).alias("period_return"),
+    )
+
+
+def mean_turnover(periods: DataFrame) -> DataFrame:
+    """Mean share of new members; the first period counts as fully new."""
+    return periods.groupBy("range_name", "factor_id").agg(
+        F.avg(F.col("entered") / F.col("members")).alias("turnover")
     )
 
 
@@ -215,7 +220,8 @@ def evaluate_ranges(
             array_mean(F.transform("chosen", lambda x: x["mean_forward"])).alias("bench_forward"),
         )
     )
-    joined = summary.join(mean_turnover(pairs, series, top_k), ["range_name", "factor_id"], "left")
+    turnover = mean_turnover(selection_periods(pairs, series, top_k, forward))
+    joined = summary.join(turnover, ["range_name", "factor_id"], "left")
     yearly = DAYS_PER_YEAR / horizon
     days = F.col("evaluated_days")
     coverage = F.when(days > 0, F.col("valid_ic_days") / days).otherwise(0.0)

@@ -90,3 +90,22 @@ def average_ranks_by_value(df: DataFrame, group: Sequence[str], value: str, out:
         *group, value, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") - 1) / 2).alias(out)
     )
     return df.join(ranks, [*group, value], "left")
+
+
+def running_extreme(
+    df: DataFrame, family: Sequence[str], position: str, value: str, out: str, largest: bool, block: int = 1_000_000
+) -> DataFrame:
+    """Running maximum (or minimum) of ``value`` by 1-based ``position`` in a family.
+
+    Positions are cut into blocks: each block runs on its own, and the extreme of
+    all earlier blocks comes from a table with one row per block.
+    """
+    pick = F.max if largest else F.min
+    combine = F.greatest if largest else F.least
+    cut = df.withColumn("_block", F.floor((F.col(position) - 1) / block))
+    key = [*family, "_block"]
+    before = Window.partitionBy(*family).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*key).agg(pick(value).alias("_top")).withColumn("_earlier", pick("_top").over(before))
+    inside = Window.partitionBy(*key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.withColumn(out, pick(value).over(inside)).join(blocks.drop("_top"), key)
+    return joined.withColumn(out, combine(F.col(out), F.col("_earlier"))).drop("_block", "_earlier")

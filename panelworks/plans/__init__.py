@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("factors", "vocabulary")
+MODULES = ("factors", "vocabulary", "research")
 
 
 def load() -> None:
