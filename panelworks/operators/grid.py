@@ -39,8 +39,12 @@ def dense_panel(bars: DataFrame, days: DataFrame | None = None, extra: tuple[str
     days = calendar(bars) if days is None else days
     fields = [name for name in (*BAR_FIELDS, *extra) if name in bars.columns]
     by_day = Window.partitionBy("symbol").orderBy("d")
+    # An explicit count: every bar row grows into calendar cells and rolling work
+    # after this exchange, so merging its small partitions would starve the tasks.
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = (
         with_day_index(bars, days)
+        .repartition(tasks, "symbol")
         .withColumn("_next", F.lead("d").over(by_day))
         .withColumn("_first", F.when(F.lag("d").over(by_day).isNull(), F.lit(0)).otherwise(F.col("d")))
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("factors", "vocabulary", "research")
+MODULES = ("factors", "vocabulary", "research", "signals")
 
 
 def load() -> None:

@@ -29,7 +29,13 @@ def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_suppkey", period: st
         items = items.join(
             table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
         )
-    moment = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    # One number in the order (l_shipdate, l_orderkey, l_linenumber, l_partkey): a
+    # fixed-width key keeps the aggregation hash-based, a struct would make it sort.
+    day = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("decimal(5,0)")
+    part = F.col("l_linenumber").cast("decimal(3,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("l_partkey")
+    moment = (day * F.lit(10**12).cast("decimal(13,0)") + F.col("l_orderkey")).cast("decimal(18,0)") * F.lit(
+        10**15
+    ).cast("decimal(16,0)") + part.cast("decimal(16,0)")
     return (
         items.withColumn("_price", F.col("l_extendedprice") / F.col("l_quantity"))
         .groupBy(F.col(symbol).alias("symbol"), F.date_trunc(period, "l_shipdate").cast("date").alias("trading_date"))
@@ -95,7 +101,7 @@ capital AS (
   FROM lineitem GROUP BY 1, 2),
 tbars AS (
   SELECT b.*, coalesce(b.volume / c.circulating_capital, 0.0) AS turnover,
-         CASE WHEN c.circulating_capital IS NULL THEN 0.0 ELSE 1.0 END AS turnover_observed
+         CAST(CASE WHEN c.circulating_capital IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS turnover_observed
   FROM bars b ASOF LEFT JOIN capital c ON b.symbol = c.symbol AND b.trading_date >= c.announce_date),
 calendar AS (
   SELECT trading_date, CAST(row_number() OVER (ORDER BY trading_date) - 1 AS INTEGER) AS d,
@@ -116,3 +122,9 @@ panel AS (
 def with_bars(body: str) -> str:
     """Prefix a SELECT (or further CTEs) with the bars, calendar and panel tables."""
     return f"WITH {BARS_SQL.strip()}\n{body.strip()}"
+
+
+@lru_cache(maxsize=32)
+def users(sf_dir: str) -> int:
+    """Distinct users: the largest cross-section of the signal panel."""
+    return table(SparkSession.getActiveSession(), sf_dir, "events").select("user_id").distinct().count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -24,8 +25,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    """Strict on types: an SQL DECIMAL is not a double, an integer is not a boolean."""
     if isinstance(value, float):
         return None if math.isnan(value) else value
+    if isinstance(value, (bool, Decimal)):
+        return f"{type(value).__name__} {value}"
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return value
