@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("factors", "vocabulary", "research", "signals")
+MODULES = ("factors", "vocabulary", "research", "signals", "learning")
 
 
 def load() -> None:

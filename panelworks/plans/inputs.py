@@ -128,3 +128,10 @@ def with_bars(body: str) -> str:
 def users(sf_dir: str) -> int:
     """Distinct users: the largest cross-section of the signal panel."""
     return table(SparkSession.getActiveSession(), sf_dir, "events").select("user_id").distinct().count()
+
+
+@lru_cache(maxsize=32)
+def bar_rows(sf_dir: str) -> int:
+    """Number of bars (filled cells of the grid)."""
+    items = table(SparkSession.getActiveSession(), sf_dir, "lineitem")
+    return items.select("l_suppkey", F.date_trunc("week", "l_shipdate")).distinct().count()
