@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("factors", "vocabulary", "research", "signals", "learning")
+MODULES = ("factors", "vocabulary", "research", "signals", "learning", "scoring")
 
 
 def load() -> None:

@@ -135,3 +135,8 @@ def bar_rows(sf_dir: str) -> int:
     """Number of bars (filled cells of the grid)."""
     items = table(SparkSession.getActiveSession(), sf_dir, "lineitem")
     return items.select("l_suppkey", F.date_trunc("week", "l_shipdate")).distinct().count()
+
+
+@lru_cache(maxsize=32)
+def embedding_rows(sf_dir: str) -> int:
+    return table(SparkSession.getActiveSession(), sf_dir, "embeddings").count()
