@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("factors", "vocabulary", "research", "signals", "learning", "scoring")
+MODULES = ("factors", "vocabulary", "research", "signals", "learning", "scoring", "decisions")
 
 
 def load() -> None:
