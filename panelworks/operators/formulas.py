@@ -278,10 +278,10 @@ def factor_values(
     group_rows: int,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """All formulas over the panel, long: ``factor_id, symbol, d, value, sort_value, *keep``.
+    """All formulas over the panel, long: ``factor_id, symbol, d, slot, value, sort_value, *keep``.
 
-    ``sort_value`` orders a day like ``value`` does and keeps the sort of the
-    closing rank usable for later ranks.
+    ``slot`` numbers the (factor, day) groups; ``sort_value`` orders a day like
+    ``value`` does and keeps the sort of the closing rank usable for later ranks.
 
     Rows with a missing value are left out; a factor without rows is one that
     cannot be computed. ``group_rows`` bounds the symbols of one day.
@@ -295,28 +295,30 @@ def factor_values(
         plans[factor_id] = (closing, root.args[0] if closing else root.key, inner)
     wide, name = formula_columns(panel, [t for *_, inner in plans.values() for t in inner], group_rows)
     if not plans:
-        zero = [F.lit(0.0).alias("value"), F.lit(0.0).alias("sort_value")]
+        zero = [F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("value"), F.lit(0.0).alias("sort_value")]
         return panel.select(F.lit("").alias("factor_id"), "symbol", "d", *zero, *keep).where(F.lit(False))
+    # A long "slot" numbers (factor, day): sorting and grouping by it is much
+    # cheaper than by a name and a day, and it travels through the exchange alone.
+    names = F.array(*[F.lit(factor_id) for factor_id in plans])
+    kinds = F.array(*[F.lit(closing) for closing, *_ in plans.values()])
     cells = F.explode(
         F.array(
             *[
-                F.struct(
-                    F.lit(factor_id).alias("factor_id"),
-                    F.lit(closing).alias("closing"),
-                    F.col(name[key]).cast("double").alias("raw"),
-                )
-                for factor_id, (closing, key, _) in plans.items()
+                F.struct(F.lit(i).cast("long").alias("i"), F.col(name[key]).cast("double").alias("raw"))
+                for i, (_, key, _) in enumerate(plans.values())
             ]
         )
     )
+    slot = F.shiftleft(F.col("cell.i"), 32) + F.col("d")
     long = (
         wide.select("symbol", "d", *keep, cells.alias("cell"))
-        .select("cell.factor_id", "cell.closing", "symbol", "d", "cell.raw", *keep)
+        .select(slot.alias("slot"), "symbol", F.col("cell.raw").alias("raw"), *keep)
         .where(F.col("raw").isNotNull())
     )
+    number = F.shiftright("slot", 32).cast("int")
     closings = {closing for closing, *_ in plans.values()}
     value = F.col("raw")
-    key = ["factor_id", "d"]
+    key = ["slot"]
     if closings != {""}:
         stats = {"_n": F.count(F.lit(1))} if "cs_rank" in closings else {}
         if closings & {"cs_zscore", "cs_demean"}:
@@ -327,13 +329,23 @@ def factor_values(
         for column in {"_n", "_mean", "_dev", "_k"} - set(long.columns):
             long = long.withColumn(column, F.lit(None).cast("double"))
         centred = F.col("raw") - F.col("_mean")
+        closing = kinds[number]
         value = (
-            F.when(F.col("closing") == "cs_rank", F.col("_k") / F.col("_n"))
-            .when(F.col("closing") == "cs_demean", centred)
-            .when(F.col("closing") == "cs_zscore", F.when(F.col("_dev") >= FLAT, centred / F.col("_dev")))
+            F.when(closing == "cs_rank", F.col("_k") / F.col("_n"))
+            .when(closing == "cs_demean", centred)
+            .when(closing == "cs_zscore", F.when(F.col("_dev") >= FLAT, centred / F.col("_dev")))
             .otherwise(F.col("raw"))
         )
-    sort_value = F.col("raw") if closings <= {"", "cs_rank"} else value
-    return long.select("factor_id", "symbol", "d", value.alias("value"), sort_value.alias("sort_value"), *keep).where(
-        F.col("value").isNotNull()
+        if closings == {"cs_rank"}:
+            value = F.col("_k") / F.col("_n")
+    ordered = closings <= {"", "cs_rank"}
+    made = long.select(
+        names[number].alias("factor_id"),
+        "symbol",
+        F.col("slot").bitwiseAND(0xFFFFFFFF).cast("int").alias("d"),
+        "slot",
+        value.alias("value"),
+        (F.col("raw") if ordered else value).alias("sort_value"),
+        *keep,
     )
+    return made if ordered else made.where(F.col("value").isNotNull())

@@ -97,13 +97,17 @@ def _truth(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def _row_deviation(values: Sequence[Column]) -> Column:
+def _row_deviation(df: DataFrame, values: Sequence[Column], out: str) -> DataFrame:
     """Population deviation across columns, skipping missing ones."""
-    present = F.array_compact(F.array(*values))
-    n = F.size(present)
-    mean = F.aggregate(present, F.lit(0.0), lambda s, v: s + v) / n
-    squares = F.aggregate(present, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    return F.when(n > 0, F.sqrt(squares / n))
+    zero = F.lit(0.0)
+    n = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+    df = df.withColumns({f"{out}{i}": v for i, v in enumerate(values)}).withColumn("_n", n)
+    held = [F.col(f"{out}{i}") for i in range(len(values))]
+    total = sum((F.coalesce(v, zero) for v in held), zero)
+    df = df.withColumn("_m", F.when(F.col("_n") > 0, total / F.col("_n")))
+    gaps = [F.coalesce(v - F.col("_m"), zero) for v in held]
+    squares = sum((g * g for g in gaps), zero)
+    return df.withColumn(out, F.when(F.col("_n") > 0, F.sqrt(squares / F.col("_n"))))
 
 
 def build_labels(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -163,13 +167,13 @@ def build_labels(bars: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     upper, lower = c("_ma20") + 2 * c("_sd"), c("_ma20") - 2 * c("_sd")
     ordered = [("_ma5", "_ma10"), ("_ma10", "_ma20"), ("_ma20", "_ma60")]
     root = math.sqrt(20)
+    df = _row_deviation(df, [c(f"_ma{n}") / F.when(close != 0, close) for n in (5, 10, 20, 60)], "_comp")
     df = df.withColumns(
         {
             **{f"close_ma{n}_distance": close / (c(f"_ma{n}") + EPS) - 1 for n in (5, 20, 60, 120)},
             "bull_alignment_score": sum((_truth(c(a) > c(b)) for a, b in ordered), F.lit(0.0)) / 3.0,
             "bear_alignment_score": sum((_truth(c(a) < c(b)) for a, b in ordered), F.lit(0.0)) / 3.0,
             "ma_trend_strength": unit_clip(F.abs(t20) / (c("_sr1") * root + EPS)),
-            "_comp": _row_deviation([c(f"_ma{n}") / F.when(close != 0, close) for n in (5, 10, 20, 60)]),
             "percent_b": (close - lower) / (upper - lower + EPS),
             "boll_zscore": (close - c("_ma20")) / (c("_sd") + EPS),
             "bandwidth": c("_bw"),

@@ -16,11 +16,13 @@ from panelworks.plans.signals import PREPARED_SQL, prepared_bars
 def sealed(df: DataFrame) -> DataFrame:
     """Doubles at the single precision in which series are stored."""
     doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
-    return df.withColumns({c: (F.round(c, 11) + F.lit(0.0)).cast("float").cast("double") for c in doubles})
+    return df.withColumns(
+        {c: F.when(F.abs(c) < 1e-11, 0.0).otherwise(F.col(c)).cast("float").cast("double") for c in doubles}
+    )
 
 
 def _seal(expression: str, name: str) -> str:
-    return f"CAST(CAST(round({expression}, 11) + 0.0 AS FLOAT) AS DOUBLE) AS {name}"
+    return f"CAST(CAST(CASE WHEN abs({expression}) < 1e-11 THEN 0 ELSE {expression} END AS FLOAT) AS DOUBLE) AS {name}"
 
 
 def _roll(agg: str, x: str, n: int, least: int | None = None, back: int = 0) -> str:
