@@ -25,7 +25,7 @@ def _pair_sums(names: Sequence[str]):
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = None
         for batch in batches:
-            x = batch[list(names)].to_numpy(dtype=float)
+            x = batch.to_numpy(dtype=float)
             seen = np.isfinite(x)
             x = np.where(seen, x, 0.0)
             v = seen.astype(float)
@@ -52,9 +52,12 @@ def candidate_correlations(values: DataFrame, names: Sequence[str]) -> DataFrame
     ordered = sorted(names)
     centre = values.groupBy("factor_id").agg(F.avg("value").alias("_mean"))  # one row per candidate
     centred = values.join(F.broadcast(centre), "factor_id").withColumn("value", F.col("value") - F.col("_mean"))
-    wide = centred.groupBy("symbol", "d").pivot("factor_id", ordered).agg(F.first("value"))
+    number = F.array_position(F.array(*[F.lit(n) for n in ordered]), F.col("factor_id")).cast("int")
+    places = list(range(1, len(ordered) + 1))
+    wide = centred.withColumn("_i", number).groupBy("symbol", "d").pivot("_i", places).agg(F.first("value"))
     schema = "left string, right string, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = wide.select(*ordered).mapInPandas(_pair_sums(ordered), schema)
+    cells = wide.select(*[F.col(str(i)) for i in places])
+    sums = cells.mapInPandas(_pair_sums(ordered), schema)
     total = sums.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n

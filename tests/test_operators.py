@@ -1,0 +1,324 @@
+"""Operators against hand values and small brute-force twins."""
+
+import math
+from datetime import date, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from panelworks.functions import scalar
+from panelworks.operators import audits, dataset, diagnostics, evaluate, formulas, neighbors, neutralize, selection, splits, testing
+from panelworks.operators import features as ft
+from panelworks.operators import grid, labels, ranking, seeds
+
+
+def panel_of(spark, matrix, name="close"):
+    rows = [(s, d, None if np.isnan(v) else float(v)) for s, line in enumerate(matrix) for d, v in enumerate(line)]
+    return spark.createDataFrame(rows, f"symbol long, d int, {name} double")
+
+
+def evaluate_formula(spark, panel, text):
+    terms = formulas.reduce_formula(text.split(), panel.columns)
+    wide, name = formulas.formula_columns(panel, terms, 100)
+    got = wide.select("symbol", "d", F.col(name[text]).alias("v")).toPandas()
+    return got.pivot(index="symbol", columns="d", values="v").to_numpy(dtype=float)
+
+
+def test_hand_values(spark):
+    panel = panel_of(spark, [[10, 11, 12, 13, 14, 15], [20, 19, 18, 17, 16, 15]])
+    moved = evaluate_formula(spark, panel, "close close ts_delay_5 div")
+    assert moved[:, -1].tolist() == [1.5, 0.75]
+    assert evaluate_formula(spark, panel, "close cs_rank")[:, 0].tolist() == [0.5, 1.0]
+    decayed = evaluate_formula(spark, panel_of(spark, [[1, 2, 3]]), "close decay_linear_3")
+    assert decayed[0, 2] == pytest.approx(14 / 6)
+
+
+@pytest.mark.parametrize("op", ["ts_mean", "ts_std", "ts_rank", "decay_linear", "ts_argmax", "ts_argmin", "count", "ts_sum"])
+def test_windows_match_numpy(spark, op):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(6, 30)), 1)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    got = evaluate_formula(spark, panel_of(spark, x), f"close {op}_5")
+    want = np.full(x.shape, np.nan)
+    for s in range(len(x)):
+        for d in range(4, x.shape[1]):
+            w = x[s, d - 4 : d + 1]
+            seen = w[~np.isnan(w)]
+            if not len(seen) or (op == "ts_rank" and np.isnan(w[-1])):
+                continue
+            weights = np.arange(1, 6)[~np.isnan(w)]
+            want[s, d] = {
+                "ts_mean": seen.mean(),
+                "ts_std": seen.std(),
+                "ts_sum": seen.sum(),
+                "ts_rank": (seen <= w[-1]).mean(),
+                "decay_linear": (seen * weights).sum() / weights.sum(),
+                "ts_argmax": 4 - int(np.nanargmax(w)),
+                "ts_argmin": 4 - int(np.nanargmin(w)),
+                "count": (seen > 0).sum(),
+            }[op]
+    np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+def test_nested_cross_section(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(8, 12))
+    got = evaluate_formula(spark, panel_of(spark, x), "close cs_zscore ts_mean_3 cs_demean")
+    z = (x - x.mean(0)) / x.std(0)
+    m = np.full(x.shape, np.nan)
+    for d in range(2, 12):
+        m[:, d] = z[:, d - 2 : d + 1].mean(1)
+    np.testing.assert_allclose(got[:, 2:], (m - np.nanmean(m, axis=0))[:, 2:], atol=1e-9)
+
+
+def test_dense_panel_fills_gaps(spark):
+    start = date(2024, 1, 1)
+    rows = [(1, start + timedelta(d), float(d)) for d in (1, 3)] + [(2, start + timedelta(d), 10.0 + d) for d in range(5)]
+    bars = spark.createDataFrame(rows, "symbol long, trading_date date, close double")
+    got = grid.dense_panel(bars).orderBy("symbol", "d").select("symbol", "d", "close").collect()
+    assert [tuple(r) for r in got[:5]] == [(1, 0, None), (1, 1, 1.0), (1, 2, None), (1, 3, 3.0), (1, 4, None)]
+    assert len(got) == 10
+
+
+def test_large_groups_rank_like_small_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.choice([0, 0, 1], 500), rng.integers(0, 5, 500)))]
+    df = spark.createDataFrame(rows, "g int, v double, id int")
+    small = ranking.ordinal_rank(df, ["g"], ["v", "id"], "k", 500)
+    large = ranking.ordinal_rank(df, ["g"], ["v", "id"], "k", 500, limit=10)
+    assert {(r.id, r.k) for r in small.collect()} == {(r.id, r.k) for r in large.collect()}
+    stats = {"n": F.count(F.lit(1)), "m": F.avg("v")}
+    one = ranking.with_group_stats(df, ["g"], stats, 500).select("id", "n", F.round("m", 9)).collect()
+    two = ranking.with_group_stats(df, ["g"], stats, 500, limit=10).select("id", "n", F.round("m", 9)).collect()
+    assert set(map(tuple, one)) == set(map(tuple, two))
+
+
+def test_running_extreme_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=40)
+    df = spark.createDataFrame([(0, i + 1, float(x)) for i, x in enumerate(v)], "f int, p int, v double")
+    got = ranking.running_extreme(df, ["f"], "p", "v", "top", largest=True, block=7).orderBy("p").collect()
+    np.testing.assert_allclose([r.top for r in got], np.maximum.accumulate(v))
+
+
+def test_average_ranks(spark):
+    df = spark.createDataFrame([(0, 0.0), (0, 0.0), (0, 0.0), (0, 1.0), (0, 1.0)], "g int, v double")
+    got = sorted(r.k for r in ranking.average_ranks_by_value(df, ["g"], "v", "k").collect())
+    assert got == [1.0, 1.0, 1.0, 3.5, 3.5]
+
+
+def test_formula_tables(spark):
+    texts = ["close ts_mean_20 ts_delay_5 cs_rank", "close lead_3", "close div", "close ts_mean_7", "ret cs_rank"]
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "seq int, rpn array<string>")
+    r = F.col("rpn")
+    got = df.select("seq", formulas.lookback_depth(r), formulas.is_valid(r), formulas.looks_ahead(r), formulas.candidate_hash(r)).orderBy("seq").collect()
+    assert [row[1] for row in got] == [25, -1, -1, -1, 1]
+    assert [row[2] for row in got] == [True, False, True, False, True]
+    assert [row[3] for row in got] == [False, True, False, False, False]
+    assert got[4][4].startswith("37e1246c")
+    assert len(seeds.seed_formulas()) == 44
+    assert formulas.reduce_formula(["close"] * 17, ["close"]) is None
+    assert formulas.reduce_formula(["volume"], ["close"]) is None
+
+
+def test_rebalancing_is_greedy(spark):
+    df = spark.createDataFrame([([0, 2, 5, 6, 11, 12, 16],)], "days array<int>")
+    got = df.select(evaluate.spaced_days(F.col("days"), 5, F.lit(0)).alias("k")).first().k
+    assert got == [0, 5, 11, 16]
+
+
+def test_evaluation_of_a_perfect_factor(spark):
+    rng = np.random.default_rng(7)
+    closes = 100 * np.cumprod(1 + rng.normal(0, 0.02, (20, 80)), axis=1)
+    panel = panel_of(spark, closes).withColumn("fwd", grid.forward_return(5))
+    values = panel.select(F.lit("f").alias("factor_id"), "symbol", "d", F.col("fwd").alias("value"), "fwd")
+    values = values.where(F.col("value").isNotNull())
+    row = evaluate.evaluate_ranges(values, [evaluate.full_range(80, 5)], 5, 5, 20).first()
+    assert row.passed and row.rank_ic == pytest.approx(1.0) and row.coverage == 1.0 and row.evaluated_days == 75
+
+
+def test_windows_over_the_calendar():
+    assert splits.evaluation_windows(0, 100, 3, 5) == [(0, 30), (35, 65), (70, 100)]
+    assert splits.evaluation_windows(0, 5, 3, 5) == []
+
+
+def test_research_split(spark):
+    days = spark.range(100).select(F.col("id").alias("d"))
+    row = splits.research_split(days, 5, splits.ResearchDays(30, 10, 20)).first()
+    assert (row.final_oos_start, row.discovery_start, row.warmup_start) == (85, 55, 35)
+    assert splits.research_split(days, 5).count() == 0
+
+
+def test_p_value_families(spark):
+    rows = [("a", i, p) for i, p in enumerate([0.01, 0.04, 0.5])]
+    df = spark.createDataFrame(rows, "family string, test_id int, p_value double")
+    got = testing.correct_p_values(df, 3).orderBy("test_id").collect()
+    assert got[0].bonferroni == pytest.approx(0.03)
+    assert [r.bonferroni_rejected for r in got] == [True, False, False]
+    assert [round(r.holm, 6) for r in got] == [0.03, 0.08, 0.5]
+    assert [round(r.benjamini_hochberg, 6) for r in got] == [0.03, 0.06, 0.5]
+    bad = spark.createDataFrame([("a", 0, 1.5)], "family string, test_id int, p_value double")
+    with pytest.raises(Exception, match="p-values"):
+        testing.correct_p_values(bad, 1).collect()
+
+
+def test_normal_distribution(spark):
+    xs = [-6.0, -2.6, -1.0, 0.0, 0.5, 2.4, 2.5, 2.6, 5.0, 9.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(scalar.erfc(F.col("x"))).collect()]
+    np.testing.assert_allclose(got, [math.erfc(x) for x in xs], rtol=1e-11, atol=1e-15)
+
+
+def test_overfitting_probability_brute_force(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(7, 50))
+    cells = [(t, p, float(m[t, p])) for t in range(7) for p in range(50)]
+    row = testing.overfitting_probability(spark.createDataFrame(cells, "trial_id int, period int, value double")).first()
+    blocks = np.array_split(np.arange(50), 8)
+    fails = []
+    for size in range(1, 5):
+        for combo in combinations(range(8), size):
+            inside = np.concatenate([blocks[i] for i in combo])
+            outside = np.setdiff1d(np.arange(50), inside)
+            best = int(np.argmax(m[:, inside].mean(1)))
+            out = m[:, outside].mean(1)
+            fails.append((out <= out[best]).sum() <= 3.5)
+    assert row.choices == 162 and row.pbo == pytest.approx(np.mean(fails))
+
+
+def test_bootstrap_intervals(spark):
+    rng = np.random.default_rng(0)
+    rows = [("s", i, float(v)) for i, v in enumerate(rng.normal(0.5, 1, 200))] + [("short", 0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, position int, value double")
+    for boot in (testing.moving_block_bootstrap, testing.stationary_bootstrap):
+        got = {r.series_id: r for r in boot(df, iterations=200).collect()}
+        assert got["s"].ci_lower < got["s"].point_estimate < got["s"].ci_upper and got["s"].iterations == 200
+        assert got["short"].ci_lower is None and got["short"].iterations == 0
+        assert {r.series_id: r.ci_lower for r in boot(df, iterations=200).collect()}["s"] == got["s"].ci_lower
+
+
+def test_neutralization_matches_least_squares(spark):
+    rng = np.random.default_rng(4)
+    y, x1, x2 = rng.normal(size=30), rng.normal(size=30), rng.normal(size=30)
+    rows = [("f", i, 0, float(y[i]), float(x1[i]), float(x2[i])) for i in range(30)]
+    df = spark.createDataFrame(rows, "factor_id string, symbol int, d int, value double, a double, b double")
+    got = [r.value for r in neutralize.neutralize(df, ["a", "b"]).orderBy("symbol").collect()]
+    design = np.column_stack([x1 - x1.mean(), x2 - x2.mean()])
+    beta, *_ = np.linalg.lstsq(design, y - y.mean(), rcond=None)
+    np.testing.assert_allclose(got, y - design @ beta, atol=1e-7)
+
+
+def test_autocorrelation_of_a_constant_ranking(spark):
+    rows = [("f", s, d, float(s)) for s in range(5) for d in range(6)]
+    df = spark.createDataFrame(rows, "factor_id string, symbol int, d int, value double")
+    assert diagnostics.autocorrelation(df).first().autocorrelation == pytest.approx(1.0)
+    assert diagnostics.topk_turnover(df, 2, 5).first().turnover == 0.0
+
+
+def test_correlation_dedupe_brute_force(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 300))
+    series = {"a": base[0], "b": base[1], "c": -base[0], "d": base[0] * 2 + 1, "e": base[2], "g": base[1] + 1e-4 * base[3]}
+    rows = [(k, i, 0, float(v)) for k, line in series.items() for i, v in enumerate(line) if not (k == "e" and i % 3)]
+    values = spark.createDataFrame(rows, "factor_id string, symbol int, d int, value double")
+    pairs = selection.candidate_correlations(values, list(series))
+    fitness = {"a": 1.0, "b": 5.0, "c": 3.0, "d": 2.0, "e": None, "g": 4.0}
+    rated = spark.createDataFrame([(k, i, fitness[k]) for i, k in enumerate(series)], "factor_id string, seq int, fitness double")
+    got = {r.factor_id: r.representative for r in selection.correlation_dedupe(rated, pairs).collect()}
+    kept, want = [], {}
+    for k in sorted(series, key=lambda n: -(fitness[n] if fitness[n] is not None else -1e9)):
+        twin = next((o for o in kept if abs(np.corrcoef(series[k], series[o])[0, 1]) >= 0.995), None)
+        want[k] = twin
+        if twin is None:
+            kept.append(k)
+    assert got == want
+
+
+def test_neighbors_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 6))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(90)], "id long, vector array<double>")
+    got = {(r.id, r.k): r.neighbor for r in neighbors.nearest_neighbors(df, 90, 3).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert got == {(i, k + 1): best[i, k] for i in range(90) for k in range(3)}
+
+
+def test_linear_probe_matches_ridge(spark):
+    rng = np.random.default_rng(3)
+    x, noise = rng.normal(size=(80, 3)), rng.normal(size=80)
+    y = x @ [1.0, -2.0, 0.5] + 0.1 * noise
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i])) for i in range(80)], "vector array<double>, target double")
+    got = neighbors.fit_linear_probe(df).first().weights
+    d = np.column_stack([x, np.ones(80)])
+    np.testing.assert_allclose(got, np.linalg.solve(d.T @ d + 1e-3 * np.eye(4), d.T @ y), atol=1e-9)
+
+
+def test_evenly_spaced_is_linspace(spark):
+    for n, k in ((100, 7), (64, 64), (29036, 500), (5, 9), (357, 128)):
+        got = [r.id for r in spark.range(n).where(dataset.evenly_spaced(F.col("id"), F.lit(n), k)).orderBy("id").collect()]
+        assert got == sorted(set(np.linspace(0, n - 1, min(n, k), dtype=int).tolist()))
+
+
+def test_time_split_rules():
+    with pytest.raises(ValueError, match="overlap"):
+        dataset.TimeSplit((date(2020, 1, 1), date(2020, 6, 1)), (date(2020, 5, 1), date(2020, 9, 1)), (date(2021, 1, 1), date(2021, 2, 1)))
+    with pytest.raises(ValueError, match="gap"):
+        dataset.TimeSplit((date(2020, 1, 1), date(2020, 6, 1)), (date(2020, 6, 10), date(2020, 9, 1)), (date(2021, 1, 1), date(2021, 2, 1)))
+
+
+def bars_frame(spark, n=150, symbols=2):
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in range(symbols):
+        close = 100 * np.cumprod(1 + rng.normal(0, 0.02, n))
+        for d in range(n):
+            o = close[d] * (1 + rng.normal(0, 0.005))
+            high, low = max(o, close[d]) * 1.01, min(o, close[d]) * 0.99
+            rows.append((f"S{s}", date(2020, 1, 1) + timedelta(d), float(o), float(high), float(low), float(close[d]), 1e6 + d, 1e8, 0.01))
+    return spark.createDataFrame(rows, "symbol string, trading_date date, open double, high double, low double, close double, volume double, amount double, turnover double")
+
+
+def test_schema_widths(spark):
+    assert (len(ft.CONTINUOUS), len(ft.FEATURES), len(labels.LABELS)) == (36, 51, 61)
+
+
+def test_features_match_pandas(spark):
+    bars = bars_frame(spark)
+    got = ft.build_features(bars).where("symbol = 'S0'").orderBy("trading_date").toPandas()
+    f = bars.where("symbol = 'S0'").orderBy("trading_date").toPandas()
+    tr = pd.concat([f.high - f.low, (f.high - f.close.shift()).abs(), (f.low - f.close.shift()).abs()], axis=1).max(axis=1)
+    np.testing.assert_allclose(got.atr14_close, tr.rolling(14).mean() / f.close, rtol=1e-9)
+    np.testing.assert_allclose(got.realized_vol_20, f.close.pct_change().rolling(20).std(ddof=0), rtol=1e-6)
+    assert got.quality_mask.eq(1).all()
+
+
+def test_label_validity(spark):
+    got = labels.build_labels(bars_frame(spark)).where("symbol = 'S0'").orderBy("trading_date").toPandas()
+    assert got.percent_b[:19].isna().all() and got.percent_b[19:].notna().all()
+    assert got.bandwidth_percentile[:138].isna().all() and got.bandwidth_percentile[138:].notna().all()
+    total = got[list(labels.PHASES)].sum(axis=1)[25:]
+    np.testing.assert_allclose(total, 1.0, atol=1e-6)
+
+
+def test_causality_audit_catches_a_planted_leak(spark):
+    bars = bars_frame(spark, n=40)
+
+    def leaking(rows, by=("symbol",)):
+        from pyspark.sql import Window
+
+        ahead = F.lead("close").over(Window.partitionBy(*by).orderBy("trading_date"))
+        return rows.select(*by, "trading_date", ahead.alias("x"))
+
+    cases = audits.causality_cases(bars, 80, cases=10)
+    report = audits.causality_audit(bars, cases, {"leak": leaking, "features": ft.build_features})
+    got = {r.builder: r for r in audits.causality_summary(report).collect()}
+    assert got["features"].passed and got["features"].cases == 10
+    assert not got["leak"].passed and got["leak"].value_violations > 0
