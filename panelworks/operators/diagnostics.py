@@ -125,3 +125,13 @@ def industry_exposures(latest: DataFrame, industries: DataFrame) -> DataFrame:
         .join(parts, ["factor_id", "industry"], "left")
         .select("factor_id", "industry", corr.alias("exposure"))
     )
+
+
+def diagnostics_bundle(values: DataFrame, max_horizon: int, top_k: int, group_rows: int) -> DataFrame:
+    """Autocorrelation, top-k turnover and the IC decay of each factor, one row each."""
+    horizons = range(1, max_horizon + 1)
+    decay = ic_decay(values, max_horizon).groupBy("factor_id").agg(
+        *[F.max(F.when(F.col("horizon") == h, F.col("ic"))).alias(f"ic_decay_{h}") for h in horizons]
+    )
+    lagged = autocorrelation(values)
+    return lagged.join(topk_turnover(values, top_k, group_rows), "factor_id").join(decay, "factor_id")

@@ -121,7 +121,19 @@ _TWINS = {
 }
 
 
-@query("correlation_dedupe")
+@query(
+    "correlation_dedupe",
+    with_bars(
+        formula_ctes(_TWINS, keep="")
+        + """, c AS (SELECT a.factor_id AS l, b.factor_id AS r FROM fv a JOIN fv b ON a.symbol = b.symbol AND a.d = b.d AND a.factor_id <> b.factor_id GROUP BY 1, 2 HAVING count(*) >= 10 AND abs(corr(a.value, b.value)) >= 0.95),
+o AS (SELECT factor_id, CAST(row_number() OVER (ORDER BY n DESC, factor_id) AS INTEGER) AS place FROM (SELECT factor_id, count(*) AS n FROM fv GROUP BY 1)),
+nr AS (SELECT o.place, coalesce(list(y.place) FILTER (WHERE y.place < o.place), CAST([] AS INTEGER[])) AS near FROM o LEFT JOIN c ON c.l = o.factor_id LEFT JOIN o y ON y.factor_id = c.r GROUP BY 1),
+g(step, kept) AS (SELECT 0, CAST([] AS INTEGER[]) UNION ALL SELECT step + 1, CASE WHEN len(list_intersect(kept, near)) > 0 THEN kept ELSE list_append(kept, step + 1) END FROM g JOIN nr ON nr.place = step + 1),
+f AS (SELECT kept FROM g ORDER BY step DESC LIMIT 1),
+t AS (SELECT place, list_min(list_intersect(near, kept)) AS twin FROM nr, f)
+SELECT o.factor_id, o.place, twin IS NULL AS retained, r.factor_id AS representative FROM t JOIN o USING (place) LEFT JOIN o r ON r.place = t.twin"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def correlation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = inputs.panel(spark, sf_dir, None)
     values = fm.factor_values(panel, _TWINS, inputs.universe(sf_dir)[0])

@@ -203,7 +203,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = ft.build_features(prepared_bars(spark, sf_dir)).where(
         dataset.split_of(F.col("trading_date"), SPLIT) == "train"
     )
-    return rounded(ft.fit_scaler(train, _SCALED))
+    return rounded(ft.fit_scaler(train, _SCALED, inputs.bar_rows(sf_dir)))
 
 
 @query(
@@ -222,7 +222,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scaler_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ft.build_features(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *_SCALED)
     train = made.where(dataset.split_of(F.col("trading_date"), SPLIT) == "train")
-    return sealed(ft.apply_scaler(made, ft.fit_scaler(train, _SCALED), _SCALED))
+    return sealed(ft.apply_scaler(made, ft.fit_scaler(train, _SCALED, inputs.bar_rows(sf_dir)), _SCALED))
 
 
 @query(

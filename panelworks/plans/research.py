@@ -281,6 +281,30 @@ def industry_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.industry_exposures(latest_values(spark, sf_dir), industries))
 
 
+@query(
+    "diagnostics_bundle",
+    with_bars(
+        _BATCH_SQL
+        + _TURNOVER_SQL
+        + """, ja AS (SELECT a.factor_id, a.d, a.value AS v, b.value AS w FROM fv a JOIN fv b ON a.factor_id = b.factor_id AND a.symbol = b.symbol AND b.d = a.d - 1),
+ca AS (SELECT factor_id, d, count(*) AS n, stddev_pop(v) AS sv, stddev_pop(w) AS sw, covar_pop(v, w) AS c FROM ja GROUP BY 1, 2),
+au AS (SELECT factor_id, avg(c / (sv * sw)) AS a FROM ca WHERE n >= 3 AND sv > 1e-12 AND sw > 1e-12 GROUP BY 1),
+jh AS (SELECT f.factor_id, f.d, h.horizon, f.value AS v, p.close / nullif(f.close, 0) - 1 AS r FROM fv f CROSS JOIN (SELECT unnest([1, 5]) AS horizon) h
+  JOIN panel p ON p.symbol = f.symbol AND p.d = f.d + h.horizon WHERE p.close IS NOT NULL AND f.close IS NOT NULL),
+ch AS (SELECT factor_id, horizon, d, count(*) AS n, stddev_pop(v) AS sv, stddev_pop(r) AS sr, covar_pop(v, r) AS c FROM jh GROUP BY 1, 2, 3),
+dc AS (SELECT factor_id, avg(c / (sv * sr)) FILTER (WHERE horizon = 1) AS d1, avg(c / (sv * sr)) FILTER (WHERE horizon = 5) AS d5 FROM ch WHERE n >= 3 AND sv > 1e-12 AND sr > 1e-12 GROUP BY 1),
+tu AS (SELECT factor_id, avg(share) AS t FROM s GROUP BY 1)
+SELECT factor_id, round(a, 6) + 0.0 AS autocorrelation, round(t, 6) AS turnover, round(d1, 6) + 0.0 AS ic_decay_1, round(d5, 6) + 0.0 AS ic_decay_5
+FROM au JOIN tu USING (factor_id) JOIN dc USING (factor_id)"""
+    ),
+)
+def diagnostics_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ahead = diagnostics.forward_columns(5)
+    values = batch_values(spark, sf_dir, keep=tuple(ahead), extra=ahead)
+    bundle = diagnostics.diagnostics_bundle(values, 5, 5, inputs.universe(sf_dir)[0])
+    return rounded(bundle.select("factor_id", "autocorrelation", "turnover", "ic_decay_1", "ic_decay_5"))
+
+
 _RECENT = f"""SELECT 'recent' AS range_name, e - greatest(20, {4 * HORIZON}) AS day_from, e - {HORIZON} AS day_to, e - {2 * HORIZON} AS fwd_to
  FROM (SELECT any_value(n_days) - {HORIZON} - 100 AS e FROM calendar)"""
 

@@ -14,6 +14,7 @@ from panelworks.plans import inputs
 from panelworks.plans.formula_sql import formula_ctes
 from panelworks.plans.inputs import with_bars
 from panelworks.plans.registry import query, rounded
+from panelworks.sources.bars import payload_rows
 
 # --- bars with facts ---------------------------------------------------------------------------
 
@@ -89,6 +90,30 @@ def snapshot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.snapshot_report(bars.unionByName(bars.where(F.col("symbol") == 1)))
 
 
+@query(
+    "market_payload",
+    with_bars(
+        "SELECT CAST(symbol AS VARCHAR) AS symbol, trading_date, open, high, low, close, volume, round(amount, 2) AS amount FROM bars"
+    ),
+)
+def market_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars packed into one nested JSON document per symbol and read back."""
+    names = ("open", "high", "low", "close", "volume", "amount")
+    cells = F.sort_array(F.collect_list(F.struct(F.col("trading_date").cast("string").alias("t"), *names)))
+    packed = inputs.bars(spark, sf_dir).groupBy("symbol").agg(cells.alias("cells"))  # one calendar per symbol
+    # a field of an array of structs is an array; the matrix has one row, this symbol
+    matrix = [F.array(F.col(f"cells.{n}")).alias(n) for n in names]
+    body = F.to_json(
+        F.struct(
+            F.array(F.col("symbol").cast("string")).alias("symbols"),
+            F.col("cells.t").alias("dates"),
+            F.struct(*matrix).alias("bars"),
+        )
+    )
+    rows = payload_rows(packed.select(body.alias("body"))).drop("turnover")
+    return rows.withColumn("amount", F.round("amount", 2))
+
+
 @query("snapshot_digest")
 def snapshot_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.content_digest(inputs.bars(spark, sf_dir))

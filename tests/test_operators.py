@@ -322,3 +322,12 @@ def test_causality_audit_catches_a_planted_leak(spark):
     got = {r.builder: r for r in audits.causality_summary(report).collect()}
     assert got["features"].passed and got["features"].cases == 10
     assert not got["leak"].passed and got["leak"].value_violations > 0
+
+
+def test_large_scaler_fit_equals_small(spark):
+    rows = ft.build_features(bars_frame(spark, n=60))
+    names = ["ret_1", "volume_ratio_5", "realized_vol_60", "turnover"]
+    small = ft.fit_scaler(rows, names).first()
+    large = ft.fit_scaler(rows, names, n_rows=120, limit=10).first()
+    np.testing.assert_allclose(list(small), list(large), rtol=1e-12)
+    assert small.realized_vol_60_scale == 1.0
