@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from panelworks.session import GROUP_ROWS_PER_TASK, ensure_checkpoint_dir
 
 
+# A side table up to this many (narrow) rows is broadcast after it was counted.
+BROADCAST_ROWS = 2_000_000
+
+
+def _broadcast_if_small(side: DataFrame) -> DataFrame:
+    """Materialise a per-group table and broadcast it only when its counted size allows.
+
+    A larger one is joined by shuffle, where AQE splits skewed partitions.
+    """
+    kept = side.checkpoint()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def ordinal_rank(
     df: DataFrame,
     group: Sequence[str],
@@ -39,6 +52,7 @@ def ordinal_rank(
     runs = placed.groupBy(*group, "_task").agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    runs = _broadcast_if_small(runs)
     position = (F.col("_at") - F.col("_start") + F.col("_before") + 1).cast("long")
     return placed.join(runs, [*group, "_task"]).withColumn(out, position).drop("_task", "_at", "_start", "_before")
 
@@ -68,7 +82,7 @@ def with_group_stats(
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint()  # the input is read twice below
     totals = df.groupBy(*group).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(totals, list(group))
+    return df.join(_broadcast_if_small(totals), list(group))
 
 
 def average_rank(group: Sequence[str], value: Column) -> Column:

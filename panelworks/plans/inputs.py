@@ -64,10 +64,14 @@ def bars_with_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_turnover(bars(spark, sf_dir), capital(spark, sf_dir))
 
 
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 @lru_cache(maxsize=32)
 def universe(sf_dir: str, symbol: str = "l_suppkey", period: str = "week") -> tuple[int, int]:
     """(symbols, calendar days): two counts that bound every later group."""
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     items = table(spark, sf_dir, "lineitem")
     if symbol == "p_brand":
         items = items.join(
@@ -127,16 +131,16 @@ def with_bars(body: str) -> str:
 @lru_cache(maxsize=32)
 def users(sf_dir: str) -> int:
     """Distinct users: the largest cross-section of the signal panel."""
-    return table(SparkSession.getActiveSession(), sf_dir, "events").select("user_id").distinct().count()
+    return table(_session(), sf_dir, "events").select("user_id").distinct().count()
 
 
 @lru_cache(maxsize=32)
 def bar_rows(sf_dir: str) -> int:
     """Number of bars (filled cells of the grid)."""
-    items = table(SparkSession.getActiveSession(), sf_dir, "lineitem")
+    items = table(_session(), sf_dir, "lineitem")
     return items.select("l_suppkey", F.date_trunc("week", "l_shipdate")).distinct().count()
 
 
 @lru_cache(maxsize=32)
 def embedding_rows(sf_dir: str) -> int:
-    return table(SparkSession.getActiveSession(), sf_dir, "embeddings").count()
+    return table(_session(), sf_dir, "embeddings").count()
