@@ -38,7 +38,8 @@ def ic_decay(values: DataFrame, max_horizon: int) -> DataFrame:
     every cell per horizon.
     """
     horizons = range(1, max(1, max_horizon) + 1)
-    daily = values.groupBy("factor_id", "d").agg(
+    day = [name for name in ("slot", "factor_id", "d") if name in values.columns]
+    daily = values.groupBy(*day).agg(
         *[pearson(F.col("value"), F.col(f"fwd_{h}"), MIN_PAIRS, FLAT).alias(f"ic_{h}") for h in horizons]
     )
     means = daily.groupBy("factor_id").agg(*[F.avg(f"ic_{h}").alias(f"ic_{h}") for h in horizons])
@@ -50,8 +51,9 @@ def topk_turnover(values: DataFrame, top_k: int, group_rows: int) -> DataFrame:
     """Mean share of new top-k members between consecutive non-empty days."""
     key = ["factor_id", "d"]
     order = ["value", "symbol"]
-    ranked = with_group_stats(values, key, {"n": F.count(F.lit(1))}, group_rows, order=order)
-    ranked = ordinal_rank(ranked, key, order, "k", group_rows)
+    day = ["slot"] if "slot" in values.columns else key
+    ranked = with_group_stats(values, day, {"n": F.count(F.lit(1))}, group_rows, order=order)
+    ranked = ordinal_rank(ranked, day, order, "k", group_rows)
     members = ranked.where(F.col("k") > F.col("n") - F.least(F.lit(top_k), F.col("n"))).select("factor_id", "d", "symbol")
     # factors x calendar rows
     days = (

@@ -23,7 +23,6 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persistence baseline: each label predicted by its previous value, long."""
     made = lb.build_labels(prepared_bars(spark, sf_dir))
     order = Rolling().ordered
-    long = None
     cells = F.array(
         *[
             F.struct(
@@ -216,9 +215,6 @@ def event_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.event_weights(marks.withColumn("target", F.col("target").cast("double")), ["event"]))
 
 
-_SPLIT_OF = {0: "valid", 1: "time_test", 2: "instrument_test", 3: "double_oos"}
-
-
 @query(
     "split_degradation",
     """WITH s AS (SELECT o_orderkey % 4 AS k, avg(o_totalprice) / 100000 AS v FROM orders GROUP BY 1),
