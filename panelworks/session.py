@@ -30,9 +30,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back only when unset."""
+    """Use the shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    A folder of this machine is taken only where one machine runs everything.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelworks-ckpt-"))
+    if shared is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="panelworks-ckpt-")
+    context.setCheckpointDir(shared)
