@@ -80,7 +80,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         inverse = pow(_ODD, -1, 1 << 64)
         _POWERS[:] = [
-            np.multiply.accumulate(np.concatenate(([1], np.full(size - 1, x, dtype=np.uint64))).astype(np.uint64))
+            np.multiply.accumulate(np.append(np.ones(1, dtype=np.uint64), np.full(size - 1, x, dtype=np.uint64)))
             for x in (_ODD, inverse)
         ]
     return _POWERS[0][:n], _POWERS[1][:n]

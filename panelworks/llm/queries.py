@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, html_text, secrets, toxicity
+from panelworks.llm import bpe, html_text, line_dedup, ngram_join, secrets, toxicity
 from panelworks.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,16 @@ def byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op6_ngram_join")
+def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op9_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
