@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, secrets, toxicity
+from panelworks.llm import bpe, decontaminate, fingerprints, hmm_lm, html_text, line_dedup, ngram_join, secrets, toxicity
 from panelworks.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_hmm_scores")
+def hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op2_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op4_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op5_bpe")
 def byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
