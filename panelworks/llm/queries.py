@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import bpe, decontaminate, fingerprints, hmm_lm, html_text, line_dedup, ngram_join, secrets, toxicity
+import corpus_pipeline
+from panelworks.llm import bpe, decontaminate, fingerprints, hmm_lm, html_text, line_dedup, ngram_join, pii, secrets, toxicity
 from panelworks.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,11 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op8_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 @query("op9_secret_scans")
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
@@ -78,3 +84,8 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
