@@ -179,9 +179,9 @@ def soft_phase_metrics(rows: DataFrame, classes: int) -> DataFrame:
         (F.col("actual") == F.col("predicted")).cast("double").alias("target"),
         F.col("confidence").alias("prediction"),
     )
-    # three one-row tables
+    # three tables of one row, or of none for the calibration of no rows
     ece = expected_calibration_error(hits, ["key"]).select("ece")
-    return means.crossJoin(F.broadcast(ece)).crossJoin(F.broadcast(macro_f1(confusion(made), classes)))
+    return means.join(F.broadcast(ece), F.lit(True), "left").crossJoin(F.broadcast(macro_f1(confusion(made), classes)))
 
 
 # --- grouped contract, composites, comparisons --------------------------------------------------------
@@ -200,19 +200,30 @@ EVENT_FIELDS = (
 )
 
 
-def grouped_metrics(rows: DataFrame, group_rows: int) -> DataFrame:
+PHASE_FIELDS = ("soft_ce", "kl_divergence", "js_divergence", "brier_score", "ece", "macro_f1")
+
+
+def grouped_metrics(rows: DataFrame, phases: DataFrame, group_rows: int, classes: int = 5) -> DataFrame:
     """Long metrics per target and per group for scored label rows.
 
     ``rows`` holds ``group, name, task, row_id, target, prediction``; an invalid
-    label has a NULL target. Group rows carry the name ``aggregate``.
+    label has a NULL target. Group rows carry the name ``aggregate``. The phase group is one
+    distribution and has no targets of its own: ``phases`` holds ``targets, scores`` arrays of
+    the rows whose phase labels are all valid, and gives the rows of ``phase / aggregate``.
     """
     keys = ["group", "name"]
+    scored = rows.where(F.col("group") != "phase")
     binary = F.col("task") == "binary_event"
-    plain = regression_metrics(rows.where(~binary), keys).unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
-    event = event_metrics(rows.where(binary), keys, group_rows).unpivot(keys, list(EVENT_FIELDS), "metric", "value")
+    plain = regression_metrics(scored.where(~binary), keys).unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
+    event = event_metrics(scored.where(binary), keys, group_rows).unpivot(keys, list(EVENT_FIELDS), "metric", "value")
     targets = plain.unionByName(event)
     groups = targets.groupBy("group", F.lit("aggregate").alias("name"), "metric").agg(F.avg("value").alias("value"))
-    return targets.unionByName(groups)
+    shape = soft_phase_metrics(phases, classes).select(
+        F.lit("phase").alias("group"),
+        F.lit("aggregate").alias("name"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in PHASE_FIELDS],
+    )
+    return targets.unionByName(groups).unionByName(shape.unpivot(keys, list(PHASE_FIELDS), "metric", "value"))
 
 
 # Summary figure, label group, labels, metric.

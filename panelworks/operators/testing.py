@@ -121,60 +121,81 @@ def sharpe_report(returns: DataFrame, trials: int = 1, benchmark: float = 0.0) -
 # --- probability of backtest overfitting -----------------------------------------------------
 
 
-def block_sums(matrix: DataFrame, blocks: int) -> DataFrame:
-    """Sum and count per trial and time block, plus the blocks' near-equal cut.
+def block_sums(matrix: DataFrame, blocks: int, by: Sequence[str] = ()) -> DataFrame:
+    """Sum and count per trial and time block, with the period and block counts of each matrix.
 
-    ``matrix`` is long: ``trial_id, period, value``; periods are the calendar of
-    the matrix and are cut like a sequence split into ``blocks`` parts.
+    ``matrix`` is long: ``*by, trial_id, period, value``; the periods of one matrix are
+    its calendar and are cut like a sequence split into ``min(blocks, periods)``
+    parts, the first ones longer by one where the cut is uneven.
     """
-    periods = matrix.select("period").distinct()  # bounded by the calendar
-    cut = periods.select("period", (F.ntile(blocks).over(Window.orderBy("period")) - 1).alias("block"))
+    keys = list(by)
+    calendar = matrix.select(*keys, "period").distinct()  # bounded by the calendar
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("period")) - 1
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    cut = calendar.select(*keys, "period", at.alias("_at"), size.cast("int").alias("periods"))
+    cut = cut.withColumn("blocks", F.least(F.lit(blocks), F.col("periods")))
+    short, longer = F.floor(F.col("periods") / F.col("blocks")), F.col("periods") % F.col("blocks")
+    head = longer * (short + 1)
+    block = F.when(F.col("_at") < head, F.floor(F.col("_at") / (short + 1))).otherwise(
+        longer + F.floor((F.col("_at") - head) / short)
+    )
     return (
-        matrix.join(F.broadcast(cut), "period")
-        .groupBy("trial_id", "block")
-        .agg(F.sum("value").alias("total"), F.count("value").alias("present"))
+        matrix.join(cut.withColumn("block", block.cast("int")), [*keys, "period"])
+        .groupBy(*keys, "trial_id", "block")
+        .agg(
+            F.sum("value").alias("total"),
+            F.count("value").alias("present"),
+            F.first("periods").alias("periods"),
+            F.first("blocks").alias("blocks"),
+        )
     )
 
 
-def overfitting_probability(matrix: DataFrame, partitions: int = 8) -> DataFrame:
-    """Share of in-sample block choices whose best trial ranks low out of sample.
+def overfitting_probability(matrix: DataFrame, partitions: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """Share of in-sample block choices whose best trial ranks low out of sample, per matrix.
 
-    Every subset of 1 .. B/2 blocks is an in-sample choice (162 for B = 8). A
-    trial is one row of block sums, so a subset's means are array folds and the
-    winner of a subset is an aggregate maximum; trials are never gathered.
+    Every subset of 1 .. B/2 blocks is an in-sample choice (162 for B = 8), with B at
+    most the number of periods. Fewer than two trials or four periods count as
+    certain overfitting. A trial is one row of block sums, so a subset's means are array folds
+    and the winner of a subset is an aggregate maximum; trials are never gathered.
     """
-    blocks = max(2, partitions)
-    sums = block_sums(matrix, blocks)
-    trials = sums.groupBy("trial_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("block", F.struct("total", "present")))).alias("by_block")
+    keys, most = list(by), max(2, partitions)
+    sums = block_sums(matrix, most, keys)
+    trials = sums.groupBy(*keys, "trial_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("block", F.struct("total", "present")))).alias("by_block"),
+        F.first("periods").alias("periods"),
+        F.first("blocks").alias("blocks"),
     )
-    cells = F.array(*[F.try_element_at("by_block", F.lit(b)) for b in range(blocks)])
+    cells = F.array(*[F.try_element_at("by_block", F.lit(b)) for b in range(most)])
     ensure_checkpoint_dir(matrix.sparkSession)
     trials = trials.checkpoint()  # one small row per trial, read three times below
-    choices = [c for c in range(1, 2**blocks) if 1 <= c.bit_count() <= blocks // 2]
-    spread = trials.select(
-        "trial_id", cells.alias("cells"), F.explode(F.array(*[F.lit(c) for c in choices])).alias("choice")
-    )
-    picked = F.transform("cells", lambda c, b: F.when(F.getbit(F.col("choice"), b) == 1, c))
-    others = F.transform("cells", lambda c, b: F.when(F.getbit(F.col("choice"), b) == 0, c))
-    scored = spread.select(
-        "trial_id", "choice", _mean_of(picked).alias("inside"), _mean_of(others).alias("outside")
+    choices = F.array(*[F.lit(c) for c in range(1, 2**most) if c.bit_count() <= most // 2])
+    fitting = F.filter(
+        choices,
+        lambda c: (c < F.pow(F.lit(2), F.col("blocks"))) & (F.bit_count(c) <= F.floor(F.col("blocks") / 2)),
     )
+    spread = trials.select(*keys, "trial_id", "blocks", cells.alias("cells"), F.explode(fitting).alias("choice"))
+    own = F.slice("cells", F.lit(1), F.col("blocks"))
+    picked = F.transform(own, lambda c, b: F.when(F.getbit(F.col("choice"), b) == 1, c))
+    others = F.transform(own, lambda c, b: F.when(F.getbit(F.col("choice"), b) == 0, c))
+    scored = spread.select(*keys, "trial_id", "choice", _mean_of(picked).alias("inside"), _mean_of(others).alias("outside"))
     # best in sample, first trial on ties; NULL means never win
-    best = _best_by_choice(scored)
+    best = _best_by_choice(scored, keys)
     low = (
-        scored.join(F.broadcast(best), "choice")  # one row per choice
-        .groupBy("choice")
+        scored.join(best, [*keys, "choice"])
+        .groupBy(*keys, "choice")
         .agg(
             F.first("trials").alias("trials"),
             F.count_if(F.col("outside") <= F.col("best_outside")).alias("rank"),
         )
     )
     failed = (F.col("rank") <= F.col("trials") / 2).cast("double")
-    return low.agg(
-        F.coalesce(F.avg(failed), F.lit(1.0)).alias("pbo"),
-        F.coalesce(F.max("trials"), F.lit(0)).alias("trials"),
-        F.count(F.lit(1)).alias("choices"),
+    rates = low.groupBy(*keys).agg(F.avg(failed).alias("rate"), F.count(F.lit(1)).alias("choices"))
+    sizes = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("trials"), F.max("periods").alias("periods"))
+    joined = sizes.join(rates, keys, "left") if keys else sizes.crossJoin(rates)  # one row each
+    enough = (F.col("trials") >= 2) & (F.col("periods") >= 4)
+    return joined.select(
+        *keys, F.when(enough, F.coalesce("rate", F.lit(1.0))).otherwise(1.0).alias("pbo"), "trials", "choices"
     )
 
 
@@ -184,11 +205,11 @@ def _mean_of(cells: Column) -> Column:
     return F.when(count > 0, total / count)
 
 
-def _best_by_choice(scored: DataFrame) -> DataFrame:
+def _best_by_choice(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Out-of-sample mean of each choice's in-sample winner (smallest id on ties)."""
-    tops = scored.groupBy("choice").agg(F.count(F.lit(1)).alias("trials"), F.max("inside").alias("top"))
-    winners = scored.join(F.broadcast(tops), "choice").where(F.col("inside") == F.col("top"))
-    return winners.groupBy("choice").agg(
+    tops = scored.groupBy(*keys, "choice").agg(F.count(F.lit(1)).alias("trials"), F.max("inside").alias("top"))
+    winners = scored.join(tops, [*keys, "choice"]).where(F.col("inside") == F.col("top"))
+    return winners.groupBy(*keys, "choice").agg(
         F.first("trials").alias("trials"), F.min_by("outside", "trial_id").alias("best_outside")
     )
 

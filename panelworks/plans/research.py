@@ -631,6 +631,37 @@ def overfitting_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(testing.overfitting_probability(excess_returns(spark, sf_dir)), 8)
 
 
+@query(
+    "overfitting_by_brand",
+    """WITH m AS (SELECT p_brand AS brand, l_suppkey % 5 AS trial, date_trunc('year', l_shipdate) AS period, avg(l_extendedprice) / 1000 AS v
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#11' OR l_suppkey % 5 = 0 GROUP BY 1, 2, 3),
+sz AS (SELECT brand, count(DISTINCT trial) AS trials, count(DISTINCT period) AS n FROM m GROUP BY 1),
+p0 AS (SELECT brand, period, row_number() OVER (PARTITION BY brand ORDER BY period) - 1 AS i FROM (SELECT DISTINCT brand, period FROM m)),
+p1 AS (SELECT p0.*, n, least(6, n) AS b FROM p0 JOIN sz USING (brand)),
+p2 AS (SELECT brand, period, b, CASE WHEN i < (n % b) * (n // b + 1) THEN i // (n // b + 1) ELSE n % b + (i - (n % b) * (n // b + 1)) // (n // b) END AS k FROM p1),
+bs AS (SELECT brand, trial, b, k, sum(v) AS s, count(v) AS c FROM m JOIN p2 USING (brand, period) GROUP BY 1, 2, 3, 4),
+ch AS (SELECT unnest(range(1, 64)) AS ch),
+sc AS (SELECT brand, trial, ch, sum(s) FILTER (WHERE (ch >> k) & 1 = 1) / sum(c) FILTER (WHERE (ch >> k) & 1 = 1) AS i, sum(s) FILTER (WHERE (ch >> k) & 1 = 0) / sum(c) FILTER (WHERE (ch >> k) & 1 = 0) AS o
+  FROM bs JOIN ch ON ch < (1 << CAST(b AS INTEGER)) AND bit_count(ch) <= b // 2 GROUP BY 1, 2, 3),
+best AS (SELECT brand, ch, arg_max(o, row(i, -trial)) AS bo FROM sc WHERE i IS NOT NULL GROUP BY 1, 2),
+rk AS (SELECT brand, ch, count(*) AS t, count(*) FILTER (WHERE o <= bo) AS r FROM sc JOIN best USING (brand, ch) GROUP BY 1, 2),
+f AS (SELECT brand, avg(CASE WHEN r <= t / 2.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate, count(*) AS choices FROM rk GROUP BY 1)
+SELECT brand, CASE WHEN trials < 2 OR n < 4 THEN 1.0::DOUBLE ELSE round(rate, 8) END AS pbo, trials, choices FROM sz LEFT JOIN f USING (brand)""",
+)
+def overfitting_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One matrix per brand; one brand has a single trial, which counts as certain overfitting."""
+    items = inputs.table(spark, sf_dir, "lineitem").join(
+        inputs.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand")), F.col("l_partkey") == F.col("p_partkey")
+    )
+    trial = F.col("l_suppkey") % 5
+    matrix = (
+        items.where((F.col("brand") != "Brand#11") | (trial == 0))
+        .groupBy("brand", trial.alias("trial_id"), F.date_trunc("year", "l_shipdate").alias("period"))
+        .agg((F.avg("l_extendedprice") / 1000).alias("value"))
+    )
+    return rounded(testing.overfitting_probability(matrix, partitions=6, by=["brand"]), 8)
+
+
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = excess_returns(spark, sf_dir)
     return trials.select(F.col("trial_id").alias("series_id"), F.col("period").alias("position"), "value")

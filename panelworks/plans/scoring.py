@@ -94,12 +94,53 @@ def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.event_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
 
 
+def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lb.build_labels(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *lb.PHASES)
+    order = Rolling().ordered
+    pairs = made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in lb.PHASES})
+    known = F.col("markup").isNotNull() & F.col("_p_markup").isNotNull()
+    return pairs.where(known).select(
+        "symbol",
+        "trading_date",
+        F.array(*lb.PHASES).alias("targets"),
+        F.array(*[F.col(f"_p_{n}") for n in lb.PHASES]).alias("scores"),
+    )
+
+
+def _each(expression: str) -> str:
+    return "(" + " + ".join(expression.replace("#", str(i)) for i in range(1, 6)) + ")"
+
+
+_PHASE_CTES = (
+    ", ph AS (SELECT symbol, trading_date, "
+    + ", ".join(f"{n} AS t{i}, lag({n}) OVER s AS q{i}" for i, n in enumerate(lb.PHASES, 1))
+    + " FROM labs WINDOW s AS (PARTITION BY symbol ORDER BY trading_date)), "
+    + "a0 AS (SELECT *, greatest(q1, q2, q3, q4, q5) AS mq FROM ph WHERE t2 IS NOT NULL AND q2 IS NOT NULL), "
+    + f"a1 AS (SELECT *, {', '.join(f'exp(q{i} - mq) / ' + _each('exp(q# - mq)') + f' AS p{i}, t{i} / ' + _each('t#') + f' AS y{i}' for i in range(1, 6))} FROM a0), "
+    + f"a2 AS (SELECT *, -{_each('y# * ln(greatest(p#, 1e-12))')} AS ce, {_each('y# * ln(greatest(y#, 1e-12) / greatest(p#, 1e-12))')} AS kl,"
+    + f" 0.5 * {_each('y# * ln(greatest(y#, 1e-12) / greatest((y# + p#) / 2, 1e-12))')} + 0.5 * {_each('p# * ln(greatest(p#, 1e-12) / greatest((y# + p#) / 2, 1e-12))')} AS js,"
+    + f" {_each('(p# - y#) * (p# - y#)')} AS br, list_position([y1, y2, y3, y4, y5], greatest(y1, y2, y3, y4, y5)) - 1 AS act,"
+    + " list_position([p1, p2, p3, p4, p5], greatest(p1, p2, p3, p4, p5)) - 1 AS prd, greatest(p1, p2, p3, p4, p5) AS p FROM a1)"
+)
+_PHASE_SQL = LABELS_SQL + _PHASE_CTES
+_PHASE_FIGURES = f""", ec AS (SELECT sum(n * g) / sum(n) AS ece FROM (SELECT b, count(*) AS n, abs(avg(h) - avg(p)) AS g FROM (SELECT p, CASE WHEN act = prd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h, {_BINS} AS b FROM a2) GROUP BY 1)),
+f1 AS (SELECT avg(2 * pr * rc / greatest(pr + rc, 1e-12)) AS macro_f1 FROM (SELECT k, (SELECT count(*) FROM a2 WHERE act = k AND prd = k) / greatest((SELECT count(*) FROM a2 WHERE prd = k), 1)::DOUBLE AS pr,
+  (SELECT count(*) FROM a2 WHERE act = k AND prd = k) / greatest((SELECT count(*) FROM a2 WHERE act = k), 1)::DOUBLE AS rc FROM (SELECT unnest(range(5)) AS k))),
+pm AS (SELECT avg(ce) AS soft_ce, avg(kl) AS kl_divergence, avg(js) AS js_divergence, avg(br) AS brier_score, any_value(ece) AS ece, any_value(macro_f1) AS macro_f1 FROM a2, ec, f1)"""
+_PHASE_METRICS = ("soft_ce", "kl_divergence", "js_divergence", "brier_score", "ece", "macro_f1")
+
+
 _LONG_SQL = (
     ", lg AS ("
     + " UNION ALL ".join(f"SELECT grp, name, '{c}' AS metric, {c}::DOUBLE AS value FROM reg" for c in _REG)
     + " UNION ALL "
     + " UNION ALL ".join(f"SELECT grp, name, '{c}' AS metric, {c}::DOUBLE AS value FROM evm" for c in metrics.EVENT_FIELDS)
-    + "), al AS (SELECT * FROM lg UNION ALL SELECT grp, 'aggregate', metric, avg(value) FROM lg GROUP BY 1, 3)"
+    + ")"
+    + _PHASE_CTES
+    + _PHASE_FIGURES
+    + ", al AS (SELECT * FROM lg UNION ALL SELECT grp, 'aggregate', metric, avg(value) FROM lg GROUP BY 1, 3 UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'phase', 'aggregate', '{c}', {c}::DOUBLE FROM pm" for c in _PHASE_METRICS)
+    + ")"
 )
 
 
@@ -108,24 +149,43 @@ _LONG_SQL = (
     with_bars(SCORED_SQL + _REGRESSION_SQL + _EVENT_SQL + _LONG_SQL + 'SELECT grp AS "group", name, metric, round(value, 6) + 0.0 AS value FROM al'),
 )
 def grouped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.grouped_metrics(scored_labels(spark, sf_dir), inputs.bar_rows(sf_dir)))
-
+    return rounded(metrics.grouped_metrics(scored_labels(spark, sf_dir), phase_rows(spark, sf_dir), inputs.bar_rows(sf_dir)))
 
-def _figure(out: str, group: str, names: tuple[str, ...], metric: str) -> str:
-    listed = ", ".join(f"'{n}'" for n in names)
-    return f"coalesce(avg(value) FILTER (WHERE grp = '{group}' AND name IN ({listed}) AND metric = '{metric}'), 0) AS {out}"
 
-
-def _weighted(weights: dict[str, float]) -> str:
-    return " + ".join(f"{w}::DOUBLE * {name}" for name, w in weights.items())
+def _figure(out: str, group: str, names: str, metric: str) -> str:
+    return f"coalesce(avg(value) FILTER (WHERE grp = '{group}' AND name IN ({names}) AND metric = '{metric}'), 0) AS {out}"
 
 
+_SLOPES = "'ma5_slope', 'ma10_slope', 'ma20_slope', 'ma30_slope', 'ma60_slope', 'ma120_slope'"
+_EVENTS = "'sc_score', 'bc_score', 'spring_score', 'upthrust_score', 'sos_score', 'sow_score'"
+_PRIMITIVES = "'trend_direction', 'wyckoff_trend_strength', 'trading_range_score', 'support_distance', 'resistance_distance', 'breakout_strength', 'breakdown_strength', 'false_breakout_score', 'effort_result_divergence'"
 _COMPOSITE_SQL = (
     ", sm AS (SELECT "
-    + ", ".join(_figure(*part) for part in metrics.SUMMARY_PARTS)
-    + " FROM al), cp AS (SELECT *, "
-    + ", ".join(f"{_weighted(w)} AS {name}" for name, w in metrics.COMPONENTS.items())
-    + ", 0.6 * phase_macro_f1 + 0.2 * (1 - least(greatest(phase_js_divergence / ln(2), 0), 1)) + 0.2 * (1 - least(greatest(phase_ece, 0), 1)) AS phase FROM sm)"
+    + ", ".join(
+        [
+            _figure("slope_r", "ma", _SLOPES, "pearson"),
+            _figure("slope_s", "ma", _SLOPES, "sign_accuracy"),
+            _figure("align", "ma", "'bull_alignment_score', 'bear_alignment_score'", "spearman"),
+            _figure("tight", "ma", "'compression_score'", "pearson"),
+            _figure("pb", "bollinger", "'percent_b'", "pearson"),
+            _figure("bz", "bollinger", "'boll_zscore'", "pearson"),
+            _figure("bw", "bollinger", "'bandwidth'", "pearson"),
+            _figure("sq", "bollinger", "'squeeze_score'", "spearman"),
+            _figure("ex", "bollinger", "'boll_expansion_score'", "spearman"),
+            _figure("primitive", "wyckoff_primitives", _PRIMITIVES, "spearman"),
+            _figure("pf", "phase", "'aggregate'", "macro_f1"),
+            _figure("pj", "phase", "'aggregate'", "js_divergence"),
+            _figure("pe", "phase", "'aggregate'", "ece"),
+            _figure("er", "events", _EVENTS, "relative_pr"),
+            _figure("ef", "events", _EVENTS, "f1"),
+            _figure("e1", "events", _EVENTS, "precision_at_top1pct"),
+            _figure("e5", "events", _EVENTS, "precision_at_top5pct"),
+        ]
+    )
+    + """ FROM al), cp AS (SELECT 0.40 * slope_r + 0.30 * slope_s + 0.15 * align + 0.15 * tight AS ma,
+  0.30 * pb + 0.25 * bz + 0.20 * bw + 0.15 * sq + 0.10 * ex AS boll, primitive,
+  0.60 * pf + 0.20 * (1 - least(greatest(pj / ln(2), 0), 1)) + 0.20 * (1 - least(greatest(pe, 0), 1)) AS phase,
+  0.60 * er + 0.20 * ef + 0.10 * e1 + 0.10 * e5 AS event FROM sm)"""
 )
 _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
 
@@ -140,57 +200,23 @@ _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
         + _COMPOSITE_SQL
         + "SELECT "
         + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _COMPOSITE_COLUMNS)
-        + f", round({_weighted(metrics.COMPOSITE)}, 6) + 0.0 AS composite, "
-        + ", ".join(f"round({_weighted(w)}, 6) + 0.0 AS select_{stage}" for stage, w in metrics.STAGES.items())
+        + """, round(0.20 * ma + 0.20 * boll + 0.25 * primitive + 0.15 * phase + 0.20 * event, 6) + 0.0 AS composite,
+ round(0.50 * ma + 0.50 * boll, 6) + 0.0 AS select_ma_bollinger, round(0.20 * ma + 0.20 * boll + 0.60 * primitive, 6) + 0.0 AS select_wyckoff_primitives,
+ round(0.10 * ma + 0.10 * boll + 0.20 * primitive + 0.25 * phase + 0.35 * event, 6) + 0.0 AS select_wyckoff_phase_events"""
         + " FROM cp"
     ),
 )
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = metrics.grouped_metrics(scored_labels(spark, sf_dir), inputs.bar_rows(sf_dir))
+    long = metrics.grouped_metrics(scored_labels(spark, sf_dir), phase_rows(spark, sf_dir), inputs.bar_rows(sf_dir))
     scored = metrics.composite_scores(metrics.metric_summary(long))
     stages = [f"select_{stage}" for stage in metrics.STAGES]
     return rounded(scored.select(*_COMPOSITE_COLUMNS, "composite", *stages))
 
 
-def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lb.build_labels(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *lb.PHASES)
-    order = Rolling().ordered
-    pairs = made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in lb.PHASES})
-    known = F.col("markup").isNotNull() & F.col("_p_markup").isNotNull()
-    return pairs.where(known).select(
-        "symbol",
-        "trading_date",
-        F.array(*lb.PHASES).alias("targets"),
-        F.array(*[F.col(f"_p_{n}") for n in lb.PHASES]).alias("scores"),
-    )
-
-
-def _each(expression: str) -> str:
-    return "(" + " + ".join(expression.replace("#", str(i)) for i in range(1, 6)) + ")"
-
-
-_PHASE_SQL = (
-    LABELS_SQL
-    + ", ph AS (SELECT symbol, trading_date, "
-    + ", ".join(f"{n} AS t{i}, lag({n}) OVER s AS q{i}" for i, n in enumerate(lb.PHASES, 1))
-    + " FROM labs WINDOW s AS (PARTITION BY symbol ORDER BY trading_date)), "
-    + "a0 AS (SELECT *, greatest(q1, q2, q3, q4, q5) AS mq FROM ph WHERE t2 IS NOT NULL AND q2 IS NOT NULL), "
-    + f"a1 AS (SELECT *, {', '.join(f'exp(q{i} - mq) / ' + _each('exp(q# - mq)') + f' AS p{i}, t{i} / ' + _each('t#') + f' AS y{i}' for i in range(1, 6))} FROM a0), "
-    + f"a2 AS (SELECT *, -{_each('y# * ln(greatest(p#, 1e-12))')} AS ce, {_each('y# * ln(greatest(y#, 1e-12) / greatest(p#, 1e-12))')} AS kl,"
-    + f" 0.5 * {_each('y# * ln(greatest(y#, 1e-12) / greatest((y# + p#) / 2, 1e-12))')} + 0.5 * {_each('p# * ln(greatest(p#, 1e-12) / greatest((y# + p#) / 2, 1e-12))')} AS js,"
-    + f" {_each('(p# - y#) * (p# - y#)')} AS br, list_position([y1, y2, y3, y4, y5], greatest(y1, y2, y3, y4, y5)) - 1 AS act,"
-    + " list_position([p1, p2, p3, p4, p5], greatest(p1, p2, p3, p4, p5)) - 1 AS prd, greatest(p1, p2, p3, p4, p5) AS p FROM a1)"
-)
-
-
 @query(
     "soft_phase_metrics",
     with_bars(
-        _PHASE_SQL
-        + f""", ec AS (SELECT sum(n * g) / sum(n) AS ece FROM (SELECT b, count(*) AS n, abs(avg(h) - avg(p)) AS g FROM (SELECT p, CASE WHEN act = prd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h, {_BINS} AS b FROM a2) GROUP BY 1)),
-f1 AS (SELECT avg(2 * pr * rc / greatest(pr + rc, 1e-12)) AS macro_f1 FROM (SELECT k, (SELECT count(*) FROM a2 WHERE act = k AND prd = k) / greatest((SELECT count(*) FROM a2 WHERE prd = k), 1)::DOUBLE AS pr,
-  (SELECT count(*) FROM a2 WHERE act = k AND prd = k) / greatest((SELECT count(*) FROM a2 WHERE act = k), 1)::DOUBLE AS rc FROM (SELECT unnest(range(5)) AS k)))
-SELECT round(avg(ce), 6) AS soft_ce, round(avg(kl), 6) AS kl_divergence, round(avg(js), 6) AS js_divergence, round(avg(br), 6) AS brier_score, round(any_value(ece), 6) AS ece, round(any_value(macro_f1), 6) AS macro_f1 FROM a2, ec, f1"""
+        _PHASE_SQL + _PHASE_FIGURES + "SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in _PHASE_METRICS) + " FROM pm"
     ),
 )
 def soft_phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
