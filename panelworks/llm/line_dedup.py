@@ -50,13 +50,12 @@ def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(number) > short, 1).otherwise(0)).cast("int")
 
 
-def segment_buckets(line: Column, edits: int = EDITS) -> Column:
-    """Hashes of the own segments and of the substrings where a shorter line's segments may stand.
+def segment_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
+    """Hashes (some NULL) of the own segments and of the substrings where a shorter line's segments may stand.
 
     A segment i of a line shorter by ``less`` is looked for at a shift of at most i - 1 from its place
     counted from the left, and of at most edits + 1 - i counted from the right.
     """
-    size = F.length(line)
     keys = []
     for less in range(edits + 1):
         length = size - less
@@ -69,7 +68,7 @@ def segment_buckets(line: Column, edits: int = EDITS) -> Column:
                 part = F.substring(line, start + shift, span)
                 keys.append(F.when(inside, F.xxhash64(length, F.lit(number), part)))
     # the segments themselves are the unshifted places at equal length
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)
 
 
 def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
@@ -84,46 +83,49 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
     long = lambda x: F.lit(x).cast("long")
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, j: Column) -> Column:
-        char = F.get(F.col("_two"), j)
-        equal = long(0)
-        for k in range(width):
-            same = F.coalesce(F.get(F.col("_one"), j + (k - edits)) == char, F.lit(False))
-            equal = equal.bitwiseOR(F.when(same, long(1 << k)).otherwise(long(0)))
-
-        def with_equal(eq: Column) -> Column:
-            vp, vn = acc["vp"], acc["vn"]
-            carried = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(long(full))
-            return let(F.struct(carried.alias("d0")), with_zero)
-
-        def with_zero(x: Column) -> Column:
-            d0, vp, vn = x["d0"], acc["vp"], acc["vn"]
-            up = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(long(full)))
-            return let(F.struct(d0.alias("d0"), up.alias("hp"), d0.bitwiseAND(vp).alias("hn")), with_rows)
-
-        def with_rows(x: Column) -> Column:
-            d0, hp, hn = x["d0"], x["hp"], x["hn"]
-            down = F.shiftright(d0, 1)
-            rim = F.when(d0.bitwiseAND(long(top)) == 0, 1).otherwise(0)
-            past = (j - (F.col("_rows") - edits)).cast("int")  # columns since the rim met the last row
-            at = F.col("_bits")
-            last = F.get(at, past)
-            plus = F.when(hp.bitwiseAND(last) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(last) != 0, 1).otherwise(0)
-            return F.struct(
-                hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(long(full))).alias("vp"),
-                down.bitwiseAND(hp).alias("vn"),
-                (acc["far"] + F.when(past < 0, rim).otherwise(plus)).alias("far"),
-            )
-
-        return let(equal, with_equal)
-
-    start = F.struct(long(full ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("far"))
-    bits = F.array(*[long(1 << k) for k in range(2 * edits - 1, -1, -1)])
-    shaped = pairs.withColumns(
-        {"_one": F.split(a, ""), "_two": F.split(b, ""), "_rows": F.length(a), "_columns": F.length(b), "_bits": bits}
-    ).where(F.abs(F.col("_rows") - F.col("_columns")) <= edits)
-    far = F.aggregate(F.sequence(F.lit(0), F.col("_columns") - 1), start, step)["far"]
-    return shaped.where(far <= edits).drop("_one", "_two", "_rows", "_columns", "_bits")
+    def distance(x: Column) -> Column:
+        one, two, rows = x["one"], x["two"], x["rows"]
+        bits = F.array(*[long(1 << k) for k in range(2 * edits - 1, -1, -1)])
+
+        def step(acc: Column, j: Column) -> Column:
+            def with_char(char: Column) -> Column:
+                equal = long(0)
+                for k in range(width):
+                    same = F.coalesce(F.get(one, j + (k - edits)) == char, F.lit(False))
+                    equal = equal.bitwiseOR(F.when(same, long(1 << k)).otherwise(long(0)))
+                return let(equal, with_equal)
+
+            def with_equal(eq: Column) -> Column:
+                vp, vn = acc["vp"], acc["vn"]
+                carried = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(long(full))
+                return let(carried, with_zero)
+
+            def with_zero(d0: Column) -> Column:
+                vp, vn = acc["vp"], acc["vn"]
+                up = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(long(full)))
+                return let(F.struct(d0.alias("d0"), up.alias("hp"), d0.bitwiseAND(vp).alias("hn")), with_rows)
+
+            def with_rows(y: Column) -> Column:
+                d0, hp, hn = y["d0"], y["hp"], y["hn"]
+                down = F.shiftright(d0, 1)
+                rim = F.when(d0.bitwiseAND(long(top)) == 0, 1).otherwise(0)
+                past = (j - (rows - edits)).cast("int")  # columns since the rim met the last row
+                last = F.get(bits, past)
+                plus = F.when(hp.bitwiseAND(last) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(last) != 0, 1).otherwise(0)
+                return F.struct(
+                    hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(long(full))).alias("vp"),
+                    down.bitwiseAND(hp).alias("vn"),
+                    (acc["far"] + F.when(past < 0, rim).otherwise(plus)).alias("far"),
+                )
+
+            return let(F.get(two, j), with_char)
+
+        start = F.struct(long(full ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("far"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(two) - 1), start, step)["far"]
+
+    # bound once per pair: the optimiser would repeat a plain column's split at every step
+    chars = F.struct(F.split(a, "").alias("one"), F.split(b, "").alias("two"), F.length(a).alias("rows"))
+    return pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).where(let(chars, distance) <= edits)
 
 
 def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -144,8 +146,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     )
     distinct = kept(distinct)
-    texts = lines.select("line").distinct().withColumn("key", F.xxhash64("line"))
-    members = kept(shared_buckets(texts.select(F.explode(segment_buckets(F.col("line"), edits)).alias("bucket"), "key")))
+    texts = lines.select("line").distinct().select("line", F.xxhash64("line").alias("key"), F.length("line").alias("size"))
+    buckets = texts.select(F.explode(segment_buckets(F.col("line"), F.col("size"), edits)).alias("bucket"), "key")
+    members = kept(shared_buckets(buckets.where("bucket IS NOT NULL")))
     found = connected(members, lambda pairs: linked_lines(pairs, lines.select("line", "key"), edits))
     if found is None:
         placed = distinct.withColumn("component", F.concat(F.lit("d"), F.hex("digest")))
