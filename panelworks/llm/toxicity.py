@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import batches, broadcast_if_small, remainder, whole_text
+from panelworks.llm.common import batches, broadcast_if_small, kept, remainder, whole_text
 
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
@@ -106,30 +106,36 @@ def _class_counts(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on labelled rows; callers leave held-out rows out of ``labels``.
 
-    What reaches the driver is bounded: at most ``2**BITS`` pairs of counts and
-    ``fit_rows`` rows of at most ``MAX_FEATURES`` features.
+    What reaches the driver is bounded: ``MAX_FEATURES`` ratios and ``fit_rows`` rows
+    of as many features at most.
     """
     rows = labelled(docs, labels)
-    counts = (
+    counts = kept(
         rows.mapInArrow(_class_counts, "bin int, clean long, toxic long")
         .groupBy("bin")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .toPandas()
     )
-    sizes = counts[counts["bin"] == -1]
-    clean, toxic = (int(sizes[c].sum()) for c in ("clean", "toxic"))
+    sizes = counts.where("bin = -1").first()
+    clean, toxic = (sizes.clean, sizes.toxic) if sizes else (0, 0)
     prior = np.log((toxic + 1.0) / (clean + 1.0))
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if not clean or not toxic:
         return ToxicityModel(weights, float(prior))
-    counts = counts[counts["bin"] >= 0]
-    bins, p, q = (counts[c].to_numpy() for c in ("bin", "toxic", "clean"))
-    ratio = np.log((p + SMOOTHING) / (toxic + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (clean + 2 * SMOOTHING))
+    p, q = F.col("toxic") + SMOOTHING, F.col("clean") + SMOOTHING
+    log_ratio = F.log(p / (toxic + 2 * SMOOTHING)) - F.log(q / (clean + 2 * SMOOTHING))
     # the standard error of a log ratio makes rare n-grams compete fairly with common ones
-    telling = np.abs(ratio) / np.sqrt(1 / (p + SMOOTHING) + 1 / (q + SMOOTHING))
-    best = np.lexsort((bins, -telling))[:MAX_FEATURES]
+    telling = F.abs("ratio") / F.sqrt(1 / p + 1 / q)
+    best = (
+        counts.where("bin >= 0")
+        .withColumn("ratio", log_ratio)
+        .orderBy(telling.desc(), "bin")
+        .limit(MAX_FEATURES)
+        .select("bin", "ratio")
+        .collect()
+    )
+    bins, ratio = np.array([r.bin for r in best], dtype=np.int64), np.array([r.ratio for r in best])
     slot = np.full(1 << BITS, -1, dtype=np.int32)
-    slot[bins[best]] = np.arange(len(best))
+    slot[bins] = np.arange(len(bins))
     shared = docs.sparkSession.sparkContext.broadcast(slot)
 
     def features(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     draw = F.xxhash64("doc_id", F.lit("fit"))
     sample = rows if total <= fit_rows else rows.where(F.pmod(draw, F.lit(total)) < fit_rows)
     fitted = sample.mapInArrow(features, "features binary, toxic int").limit(fit_rows).collect()
-    w, b = _logistic([np.frombuffer(r.features, dtype=np.int32) for r in fitted], [r.toxic for r in fitted], ratio[best], prior)
-    weights[bins[best]] = (w * ratio[best]).astype(np.float32)
+    active = [np.frombuffer(r.features, dtype=np.int32) for r in fitted]
+    w, b = _logistic(active, [r.toxic for r in fitted], ratio, prior)
+    weights[bins] = (w * ratio).astype(np.float32)
     return ToxicityModel(weights, b)
 
 
