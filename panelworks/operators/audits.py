@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators.dataset import evenly_spaced
+from panelworks.operators.prepare import normal_draw
 from panelworks.operators.ranking import average_ranks_by_value, ordinal_rank
 
 # Fixed values of the audits.
 SHORTCUT_LIMIT = 0.9999
 FLAT_VARIANCE = 1e-15
-AUDIT_ROWS = 10_000
 MIN_KAPPA = 0.60
 PERTURBED = ("open", "high", "low", "close", "volume", "amount", "turnover")
 
@@ -23,17 +23,10 @@ PERTURBED = ("open", "high", "low", "close", "volume", "amount", "turnover")
 # --- shortcut leakage ------------------------------------------------------------------------
 
 
-def audit_sample(rows: DataFrame, total_rows: int, limit: int = AUDIT_ROWS) -> DataFrame:
-    """Evenly spaced rows by (symbol, trading_date); the sampling rule of the audit."""
-    placed = ordinal_rank(rows.withColumn("_all", F.lit(0)), ["_all"], ["symbol", "trading_date"], "_k", total_rows)
-    keep = evenly_spaced(F.col("_k") - 1, F.lit(total_rows), limit)
-    return placed.where(keep).withColumnRenamed("_k", "row_id").drop("_all")
-
-
-def _average_rank_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _average_rank_columns(rows: DataFrame, columns: Sequence[str], n_rows: int) -> DataFrame:
     """Wide table with an average rank per column, through one long ranking."""
     long = rows.select("row_id", *columns).unpivot("row_id", list(columns), "name", "value")
-    ranked = average_ranks_by_value(long, ["name"], "value", "rank")
+    ranked = average_ranks_by_value(long, ["name"], "value", "rank", n_rows)
     return ranked.groupBy("row_id").pivot("name", list(columns)).agg(F.first("rank"))
 
 
@@ -95,14 +88,16 @@ def _correlation() -> Column:
     return F.when(flat | (F.col("n") < 2), 0.0).otherwise(F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
 
 
-def shortcut_leakage(rows: DataFrame, features: Sequence[str], targets: Sequence[str], limit: float = SHORTCUT_LIMIT) -> DataFrame:
+def shortcut_leakage(
+    rows: DataFrame, features: Sequence[str], targets: Sequence[str], n_rows: int, limit: float = SHORTCUT_LIMIT
+) -> DataFrame:
     """Every feature/target pair: correlations, equality rate, affine fit, violation flag.
 
-    ``rows`` holds complete numeric columns and ``row_id``.
+    ``rows`` holds complete numeric columns and ``row_id``, ``n_rows`` of them; all are audited.
     """
     values = _pair_moments(rows, features, targets, ranked=False)
     both = list(dict.fromkeys([*features, *targets]))
-    ranks = _pair_moments(_average_rank_columns(rows, both), features, targets, ranked=True)
+    ranks = _pair_moments(_average_rank_columns(rows, both, n_rows), features, targets, ranked=True)
     spearman = ranks.select("feature", "target", _correlation().alias("spearman"))
     sloped = (F.col("n") >= 3) & (F.col("sxx") / F.col("n") >= FLAT_VARIANCE)
     slope = F.when(sloped, F.col("sxy") / F.col("sxx")).otherwise(0.0)
@@ -163,7 +158,8 @@ def perturbed_bars(bars: DataFrame, cases: DataFrame, columns: Sequence[str] = P
         *[F.col(c).alias(f"_{c}") for c in names],
     )
     joined = copies.join(moved, ["case_id", "position"], "left")
-    noise = {c: 1 + 2 * F.randn(i) for i, c in enumerate(names)}
+    place = F.concat_ws("|", F.col("case_id").cast("string"), F.col("position").cast("string"))
+    noise = {c: 1 + 2 * normal_draw(place, c, 0) for c in names}
     changed = {
         c: F.when(~future, F.col(c))
         .when(F.col("mode") == 0, F.col(f"_{c}") * 1000)

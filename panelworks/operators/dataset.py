@@ -19,7 +19,6 @@ STRIDE = 5
 MIN_LISTING_DAYS = 160
 MIN_QUALITY = 0.80
 GAP_DAYS = 40
-HASHED_SYMBOLS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -112,14 +111,13 @@ def hashed_symbols(symbols: DataFrame, limit: int, seed: int = 42) -> DataFrame:
 
 
 def symbol_list_hash(symbols: DataFrame) -> DataFrame:
-    """Hash of the sorted symbol list; refuses universes that exceed one string."""
-    text = F.col("symbol").cast("string")
-    unique = symbols.select(text.alias("symbol")).distinct()
-    allowed = unique.agg(F.count(F.lit(1)).alias("n")).where(
-        F.when(F.col("n") <= HASHED_SYMBOLS, True).otherwise(F.raise_error(F.lit("too many symbols for one list hash")))
+    """Order-free hash of the distinct symbols: 60-bit parts of their hashes are summed, for universes of any size."""
+    unique = symbols.select(F.sha2(F.col("symbol").cast("string"), 256).alias("digest")).distinct()
+    parts = [F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(3)]
+    sums = unique.agg(
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"p{i}") for i, p in enumerate(parts)]
     )
-    joined = unique.agg(F.array_join(F.array_sort(F.collect_list("symbol")), "|").alias("names"))
-    return allowed.crossJoin(joined).select("n", F.sha2("names", 256).alias("symbols_hash"))
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", "p0", "p1", "p2"), 256).alias("symbols_hash"))
 
 
 def eligible_samples(
@@ -195,7 +193,7 @@ def evenly_spaced(index: Column, total: Column, wanted: int) -> Column:
     return (total <= wanted) | hits[0] | hits[1] | hits[2] | (index == total - 1)
 
 
-def chronological_parts(rows: DataFrame, order: str, share: float = 0.8, n_rows: int = 0) -> DataFrame:
+def chronological_parts(rows: DataFrame, order: str, share: float = 0.8, *, n_rows: int) -> DataFrame:
     """Mark the first ``share`` of all rows by ``order`` as train, the rest as test."""
     total = rows.agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordinal_rank(rows.withColumn("_all", F.lit(0)), ["_all"], [order], "_k", n_rows)

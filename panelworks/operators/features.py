@@ -226,8 +226,8 @@ def _quartiles_by_rank(rows: DataFrame, columns: Sequence[str], tie: Sequence[st
 
 def fit_scaler(
     rows: DataFrame,
-    columns: Sequence[str] = CONTINUOUS,
-    n_rows: int = 0,
+    columns: Sequence[str],
+    n_rows: int,
     tie: Sequence[str] = ("symbol", "trading_date"),
     floor: float = 1e-6,
     limit: int = GROUP_ROWS_PER_TASK,

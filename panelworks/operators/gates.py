@@ -234,8 +234,10 @@ def candidate_set_hash(candidates: DataFrame, scope: str, member: str) -> DataFr
     )
 
 
-def frozen_values(values: DataFrame, freezes: DataFrame) -> DataFrame:
-    """Factor values of frozen, still valid finalists only; at most three of them."""
+def frozen_values(values: DataFrame, freezes: DataFrame, most: int = 3) -> DataFrame:
+    """Factor values of frozen, still valid finalists only; more than ``most`` of them are refused."""
     allowed = freezes.where(F.col("frozen") & ~F.coalesce(F.col("invalidated"), F.lit(False)))
-    best = allowed.orderBy("selection_rank").limit(3).select("factor_id")
+    size = allowed.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    fits = F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} frozen finalists")))
+    best = allowed.crossJoin(F.broadcast(size)).where(fits).select("factor_id")
     return values.join(F.broadcast(best), "factor_id", "left_semi")

@@ -27,11 +27,11 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("target").isNotNull() & F.col("prediction").isNotNull())
 
 
-def regression_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def regression_metrics(rows: DataFrame, keys: Sequence[str], group_rows: int) -> DataFrame:
     """MAE, RMSE, Pearson, average-rank Spearman and sign accuracy."""
     kept = complete(rows)
-    ranked = average_ranks_by_value(kept, keys, "target", "_rt")
-    ranked = average_ranks_by_value(ranked, keys, "prediction", "_rp")
+    ranked = average_ranks_by_value(kept, keys, "target", "_rt", group_rows)
+    ranked = average_ranks_by_value(ranked, keys, "prediction", "_rp", group_rows)
     gap = F.col("prediction") - F.col("target")
     zero = F.lit(0.0)
     return ranked.groupBy(*keys).agg(
@@ -214,7 +214,7 @@ def grouped_metrics(rows: DataFrame, phases: DataFrame, group_rows: int, classes
     keys = ["group", "name"]
     scored = rows.where(F.col("group") != "phase")
     binary = F.col("task") == "binary_event"
-    plain = regression_metrics(scored.where(~binary), keys).unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
+    plain = regression_metrics(scored.where(~binary), keys, group_rows).unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
     event = event_metrics(scored.where(binary), keys, group_rows).unpivot(keys, list(EVENT_FIELDS), "metric", "value")
     targets = plain.unionByName(event)
     groups = targets.groupBy("group", F.lit("aggregate").alias("name"), "metric").agg(F.avg("value").alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,18 @@ def scale_prices(bars: DataFrame, factor: float) -> DataFrame:
     return bars.withColumns({name: F.col(name) * factor for name in (*PRICES, "amount")})
 
 
+def normal_draw(key: Column, name: str, seed: int) -> Column:
+    """Standard normal number that depends on a row's key alone (Box-Muller on two halves of an MD5)."""
+    digest = F.md5(F.concat_ws("|", key, F.lit(name), F.lit(seed)))
+    one, two = (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9))
+    scale = float(1 << 32)
+    return F.sqrt(-2 * F.log((one + 1) / scale)) * F.cos(2 * math.pi * two / scale)
+
+
 def add_price_noise(bars: DataFrame, scale: float = 0.00075, seed: int = 42) -> DataFrame:
-    """Multiplicative noise on the prices; high and low keep enclosing the body."""
-    noise = {name: F.randn(seed + i) * scale for i, name in enumerate(PRICES)}
+    """Multiplicative noise on the prices, the same wherever a row is processed; high and low keep enclosing the body."""
+    key = F.concat_ws("|", F.col("symbol").cast("string"), F.col("trading_date").cast("string"))
+    noise = {name: normal_draw(key, name, seed) * scale for name in PRICES}
     noisy = bars.withColumns({f"_n_{k}": v for k, v in noise.items()})
     noisy = noisy.withColumns({name: F.col(name) * (1 + F.col(f"_n_{name}")) for name in PRICES})
     noisy = noisy.withColumn("amount", F.col("amount") * (1 + F.col("_n_close"))).drop(*[f"_n_{k}" for k in PRICES])

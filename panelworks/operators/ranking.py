@@ -85,24 +85,30 @@ def with_group_stats(
     return df.join(_broadcast_if_small(totals), list(group))
 
 
-def average_rank(group: Sequence[str], value: Column) -> Column:
-    """0-based rank inside ``group`` where equal values share their mean rank."""
-    same = Window.partitionBy(*group, value)
-    first = F.rank().over(Window.partitionBy(*group).orderBy(value)) - 1
-    return first + (F.count(F.lit(1)).over(same) - 1) / 2
-
-
-def average_ranks_by_value(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks_by_value(
+    df: DataFrame, group: Sequence[str], value: str, out: str, group_rows: int, limit: int = GROUP_ROWS_PER_TASK
+) -> DataFrame:
     """Average ranks through a value histogram.
 
     Equal values are counted before anything is ordered, so a value that fills
-    a third of the rows is one histogram row. NULL values keep a NULL rank.
+    a third of the rows is one histogram row. The histogram of a group of up to ``limit``
+    rows is ordered by one task; that of a larger one is range-partitioned on group and
+    value, and the earlier tasks' counts are added. NULL values keep a NULL rank.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(
-        *group, value, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") - 1) / 2).alias(out)
-    )
+    if group_rows <= limit:
+        below = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(below), F.lit(0))
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        counts = counts.repartitionByRange(*group, value).withColumn("_task", F.spark_partition_id()).checkpoint()
+        runs = counts.groupBy(*group, "_task").agg(F.sum("_n").alias("_rows"))
+        earlier = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+        runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+        below = Window.partitionBy(*group, "_task").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.join(_broadcast_if_small(runs), [*group, "_task"])
+        before = F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_before")
+    ranks = counts.select(*group, value, (before + (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, [*group, value], "left")
 
 

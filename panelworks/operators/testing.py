@@ -302,7 +302,7 @@ def _stationary_means(expected_length: float, seed: int):
 
 
 def cohort_statistics(
-    series: DataFrame, alpha: float = 0.05, min_dsr: float = 0.5, max_pbo: float = 0.35, cohort_rows: int = 200
+    series: DataFrame, cohort_rows: int, alpha: float = 0.05, min_dsr: float = 0.5, max_pbo: float = 0.35
 ) -> DataFrame:
     """Joint verdict for every candidate of one experiment.
 

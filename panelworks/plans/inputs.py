@@ -6,7 +6,8 @@ per supplier, share capital is a quarterly aggregate, and signals are events.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,11 +65,41 @@ def bars_with_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_turnover(bars(spark, sf_dir), capital(spark, sf_dir))
 
 
+_COUNTS: dict[tuple, object] = {}
+
+
+def forget_counts() -> None:
+    """Count again at the next use (timings that include the counting)."""
+    _COUNTS.clear()
+
+
+def counted(*names: str) -> Callable:
+    """Remember a count of the named tables for as long as their files stay the same."""
+
+    def remember(count: Callable) -> Callable:
+        @wraps(count)
+        def known(sf_dir: str, *more: str):
+            files = []
+            for name in names:
+                facts = table(_session(), sf_dir, name).select(
+                    "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+                )
+                files += sorted(map(tuple, facts.distinct().collect()))  # one row per file
+            key = (count.__name__, sf_dir, more, tuple(files))
+            if key not in _COUNTS:
+                _COUNTS[key] = count(sf_dir, *more)
+            return _COUNTS[key]
+
+        return known
+
+    return remember
+
+
 def _session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-@lru_cache(maxsize=32)
+@counted("lineitem", "part")
 def universe(sf_dir: str, symbol: str = "l_suppkey", period: str = "week") -> tuple[int, int]:
     """(symbols, calendar days): two counts that bound every later group."""
     spark = _session()
@@ -128,19 +159,19 @@ def with_bars(body: str) -> str:
     return f"WITH {BARS_SQL.strip()}\n{body.strip()}"
 
 
-@lru_cache(maxsize=32)
+@counted("events")
 def users(sf_dir: str) -> int:
     """Distinct users: the largest cross-section of the signal panel."""
     return table(_session(), sf_dir, "events").select("user_id").distinct().count()
 
 
-@lru_cache(maxsize=32)
+@counted("lineitem")
 def bar_rows(sf_dir: str) -> int:
     """Number of bars (filled cells of the grid)."""
     items = table(_session(), sf_dir, "lineitem")
     return items.select("l_suppkey", F.date_trunc("week", "l_shipdate")).distinct().count()
 
 
-@lru_cache(maxsize=32)
+@counted("embeddings")
 def embedding_rows(sf_dir: str) -> int:
     return table(_session(), sf_dir, "embeddings").count()

@@ -250,7 +250,9 @@ def hashed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "symbol_list_hash",
-    "SELECT count(*) AS n, sha256(string_agg(s, '|' ORDER BY s)) AS symbols_hash FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s FROM lineitem)",
+    """WITH d AS (SELECT sha256(s) AS h FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s FROM lineitem)),
+p AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b, sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)) AS c FROM d)
+SELECT n, sha256(concat_ws(':', CAST(n AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR))) AS symbols_hash FROM p""",
 )
 def symbol_list_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.symbol_list_hash(inputs.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol")))
@@ -383,8 +385,7 @@ def audited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = joined.withColumn("l_planted", 3 * F.col("f_ret_1") + 2)
     names = [c for c in planted.columns if c[:2] in ("f_", "l_")]
     filled = reduce(lambda df, c: df.withColumn(c, F.coalesce(c, F.lit(0.0))), names, planted)
-    total = inputs.bar_rows(sf_dir)
-    return audits.audit_sample(filled, total)
+    return filled.withColumn("row_id", F.concat_ws("|", "symbol", "trading_date"))
 
 
 _X, _Y = [f"f_{c}" for c in _AUDITED[0]], [f"l_{c}" for c in _AUDITED[1]] + ["l_planted"]
@@ -400,8 +401,7 @@ _X, _Y = [f"f_{c}" for c in _AUDITED[0]], [f"l_{c}" for c in _AUDITED[1]] + ["l_
         + ", "
         + ", ".join(f"coalesce(labs.{c}, 0)::DOUBLE AS l_{c}" for c in _AUDITED[1])
         + ", coalesce(3 * feats.ret_1 + 2, 0) AS l_planted FROM feats JOIN labs USING (symbol, trading_date))"
-        + ", keep AS (SELECT DISTINCT unnest(list_append(list_transform(range(0, 9999), lambda k: CAST(floor(k * ((n - 1) / 9999.0::DOUBLE)) AS BIGINT)), n - 1)) AS i FROM (SELECT any_value(n) AS n FROM j))"
-        + ", a AS (SELECT j.* FROM j SEMI JOIN keep USING (i)), lx AS (SELECT i, feature, x FROM (UNPIVOT (SELECT i, "
+        + ", a AS (SELECT * FROM j), lx AS (SELECT i, feature, x FROM (UNPIVOT (SELECT i, "
         + ", ".join(_X)
         + " FROM a) ON "
         + ", ".join(_X)
@@ -417,7 +417,7 @@ SELECT feature, target, round(corr(x, y), 5) + 0.0 AS pearson, round(corr(rx.r,
     ),
 )
 def shortcut_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = audits.shortcut_leakage(audited_rows(spark, sf_dir), _X, _Y)
+    pairs = audits.shortcut_leakage(audited_rows(spark, sf_dir), _X, _Y, inputs.bar_rows(sf_dir))
     columns = ["feature", "target", "pearson", "spearman", "exact_equality_rate", "violation"]
     return rounded(pairs.select(*columns), 5, exact_equality_rate=6)
 

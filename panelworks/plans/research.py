@@ -710,4 +710,4 @@ def cohort_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = ev.rank_ic_series(pairs).select(
         F.col("factor_id").alias("candidate_id"), position.alias("position"), F.col("rank_ic").alias("value")
     )
-    return rounded(testing.cohort_statistics(series))
+    return rounded(testing.cohort_statistics(series, cohort_rows=len(_SMALL_BATCH)))

@@ -79,7 +79,7 @@ _REG = ("mae", "rmse", "pearson", "spearman", "sign_accuracy")
 )
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored_labels(spark, sf_dir).where(F.col("task") != "binary_event")
-    return rounded(metrics.regression_metrics(rows, ["group", "name"]))
+    return rounded(metrics.regression_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
 
 
 _EVENT_COLUMNS = (*metrics.EVENT_FIELDS, "prevalence")
@@ -351,7 +351,9 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dataset.chronological_parts(vectors(spark, sf_dir), "id", n_rows=inputs.embedding_rows(sf_dir))
-    noise = F.array(*[F.randn(i) for i in range(64)])
+    # draws depend on the row's id alone, not on where the row is processed
+    part = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit(i))), 1, 8), 16, 10).cast("double")
+    noise = F.array(*[part(i) / float(1 << 32) - 0.5 for i in range(64)])
     return rows.withColumns({"random": noise, "raw": F.slice("vector", 1, 8), "is_even": (F.col("label") % 2).cast("double")})
 
 
@@ -359,7 +361,7 @@ def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = probe_rows(spark, sf_dir).withColumn("target", F.col("label"))
     weights = neighbors.fit_linear_probe(rows.where(F.col("part") == "train"))
-    return rounded(neighbors.evaluate_linear_probe(rows.where(F.col("part") == "test"), weights))
+    return rounded(neighbors.evaluate_linear_probe(rows.where(F.col("part") == "test"), weights, inputs.embedding_rows(sf_dir)))
 
 
 @query("classification_probe")
@@ -372,4 +374,4 @@ def classification_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("probe_suite")
 def probe_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs_by_name = {"embedding": "vector", "random": "random", "raw": "raw"}
-    return rounded(neighbors.probe_suite(probe_rows(spark, sf_dir), inputs_by_name, ["label", "is_even"]))
+    return rounded(neighbors.probe_suite(probe_rows(spark, sf_dir), inputs_by_name, ["label", "is_even"], inputs.embedding_rows(sf_dir)))

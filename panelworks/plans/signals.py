@@ -139,9 +139,24 @@ def price_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("symbol", "trading_date", "open", "high", "low", "close", "volume")
 
 
-@query("price_noise")
+def _noised(name: str) -> str:
+    key = f"md5(concat_ws('|', CAST(symbol AS VARCHAR), CAST(trading_date AS VARCHAR), '{name}', '42'))"
+    one, two = (f"CAST(CAST('0x' || substr({key}, {at}, 8) AS UBIGINT) AS DOUBLE)" for at in (1, 9))
+    draw = f"sqrt(-2 * ln(({one} + 1) / 4294967296)) * cos(2 * pi() * {two} / 4294967296)"
+    return f"1 + 0.00075 * ({draw})"
+
+
+@query(
+    "price_noise",
+    with_bars(
+        "SELECT symbol, trading_date, round(o, 6) AS open, round(greatest(h, o, c), 6) AS high, round(least(l, o, c), 6) AS low, round(c, 6) AS close, round(a, 4) AS amount FROM (SELECT symbol, trading_date, "
+        + ", ".join(f"{n} * ({_noised(n)}) AS {n[0]}" for n in ("open", "high", "low", "close"))
+        + f", amount * ({_noised('close')}) AS a FROM bars)"
+    ),
+)
 def price_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.add_price_noise(inputs.bars(spark, sf_dir))
+    noisy = prepare.add_price_noise(inputs.bars(spark, sf_dir))
+    return rounded(noisy.select("symbol", "trading_date", "open", "high", "low", "close", "amount"), 6, amount=4)
 
 
 @query(

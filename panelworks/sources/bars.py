@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,9 @@ def write_bars(bars: DataFrame, root: str) -> str:
     path = f"{root}/{snapshot_id}"
     try:
         existing = spark.read.parquet(path).count()
-    except Exception:  # noqa: BLE001 - the folder does not exist yet
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         existing = None
     if existing is None:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

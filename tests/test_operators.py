@@ -105,10 +105,22 @@ def test_running_extreme_blocks(spark):
 
 def test_average_ranks(spark):
     df = spark.createDataFrame([(0, 0.0), (0, 0.0), (0, 0.0), (0, 1.0), (0, 1.0)], "g int, v double")
-    got = sorted(r.k for r in ranking.average_ranks_by_value(df, ["g"], "v", "k").collect())
+    got = sorted(r.k for r in ranking.average_ranks_by_value(df, ["g"], "v", "k", 5).collect())
     assert got == [1.0, 1.0, 1.0, 3.5, 3.5]
 
 
+def test_average_ranks_of_large_groups(spark):
+    """The range path gives the ranks of the window path."""
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v) if v < 9 else None) for g, v in zip(rng.integers(0, 3, 300), rng.integers(0, 10, 300))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    small, large = (
+        sorted(map(tuple, ranking.average_ranks_by_value(df, ["g"], "v", "k", n, limit=10).collect()), key=repr)
+        for n in (10, 300)
+    )
+    assert small == large
+
+
 def test_formula_tables(spark):
     texts = ["close ts_mean_20 ts_delay_5 cs_rank", "close lead_3", "close div", "close ts_mean_7", "ret cs_rank"]
     df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "seq int, rpn array<string>")
@@ -327,7 +339,7 @@ def test_causality_audit_catches_a_planted_leak(spark):
 def test_large_scaler_fit_equals_small(spark):
     rows = ft.build_features(bars_frame(spark, n=60))
     names = ["ret_1", "volume_ratio_5", "realized_vol_60", "turnover"]
-    small = ft.fit_scaler(rows, names).first()
+    small = ft.fit_scaler(rows, names, n_rows=10).first()
     large = ft.fit_scaler(rows, names, n_rows=120, limit=10).first()
     np.testing.assert_allclose(list(small), list(large), rtol=1e-12)
     assert small.realized_vol_60_scale == 1.0
