@@ -185,8 +185,10 @@ def _logistic(
     return w, b
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row and its ``score``; a map, no shuffle."""
+def score(
+    docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",), out: str = "score"
+) -> DataFrame:
+    """``keep`` columns of every row and its score under the name ``out``; a map, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [c for c in keep if c != "text"]
 
@@ -194,11 +196,11 @@ def score(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id"
         for batch in batches(rows, text="_scored"):
             scores = pa.array([shared.value.score(t) for t in batch.column("_scored").to_pylist()], type=pa.float64())
             kept_columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept_columns, scores], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*kept_columns, scores], names=[*keep, out])
 
     chosen = docs.select(*fields, *(["text"] if "text" in keep else []), whole_text("text").alias("_scored"))
     schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(scored, f"{schema}, score double")
+    return chosen.mapInArrow(scored, f"{schema}, `{out}` double")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -209,7 +211,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents whose score stays below ``threshold``, with all their columns."""
     model = train(docs, training_labels(labels))
-    scored = score(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") < threshold).drop("score")
+    scored = score(docs, model, keep=docs.columns, out="_toxicity")
+    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
 
 
