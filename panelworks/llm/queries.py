@@ -54,12 +54,37 @@ def byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-@query("op6_ngram_join")
+NGRAM_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS w FROM documents),
+t AS (SELECT doc_id, string_split(w, ' ') AS l FROM d WHERE w <> ''),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i : i + 4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM t)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.c + y.c - k)
+  UNION ALL SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.w = '' AND y.w = '' AND x.doc_id <> y.doc_id),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc),
+c AS (SELECT doc AS doc_id, min(root) AS class_id FROM r GROUP BY 1),
+k AS (SELECT class_id, count(*) AS class_size FROM c GROUP BY 1),
+f AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links, class_size FROM c JOIN k USING (class_id) LEFT JOIN f USING (doc_id)"""
+
+LINES_SQL = r"""WITH RECURSIVE o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+l AS (SELECT doc_id, line_no, lower(trim(raw)) AS line FROM o WHERE regexp_matches(lower(trim(raw)), '^\S+(\s+\S+){4}')),
+u AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first, row_number() OVER (ORDER BY line) AS id FROM l GROUP BY line),
+e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id WHERE levenshtein(a.line, b.line) <= 2),
+r AS (SELECT id, id AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS class FROM r GROUP BY 1),
+m AS (SELECT doc_id, line_no, class FROM l JOIN u USING (line) JOIN c USING (id)),
+k AS (SELECT class, min(row(doc_id, line_no)) AS keep, count(*) AS class_size FROM m GROUP BY 1)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, struct_extract_at(keep, 1) AS class_doc_id, CAST(struct_extract_at(keep, 2) AS INTEGER) AS class_line_no, class_size, row(doc_id, line_no) = keep AS stays
+FROM m JOIN k USING (class) WHERE class_size > 1"""
+
+
+@query("op6_ngram_join", NGRAM_SQL)
 def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", LINES_SQL)
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
