@@ -90,44 +90,77 @@ def promotion_gate(evidence: DataFrame, limits: GateLimits | None = None) -> Dat
 
 
 def staged_promotion_gate(evidence: DataFrame, limits: GateLimits | None = None) -> DataFrame:
-    """Every failed stage of the eight-stage gate as (gate, reason) pairs."""
+    """Every failed stage of the staged gate as (gate, reason) pairs.
+
+    ``critical_flags`` is an array of flag names; ``final_oos_reason`` replaces the plain
+    reason where it is known; governance is three parts: evidence, experiment and freeze.
+    """
     m = limits or GateLimits()
     c = F.col
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     quality, stable = F.coalesce("has_quality", F.lit(False)), F.coalesce("has_stability", F.lit(False))
     cost, exposed = F.coalesce("has_cost", F.lit(False)), F.coalesce("has_exposure", F.lit(False))
     traded, formal = F.coalesce("has_tradability", F.lit(False)), F.coalesce("formal", F.lit(False))
     sound = F.coalesce("tradability_eligible", F.lit(False)) & F.coalesce("tradability_passed", F.lit(False))
-    won = F.coalesce("walkforward_passed", F.lit(False))
+    won, governed = F.coalesce("walkforward_passed", F.lit(False)), F.coalesce("has_governance", F.lit(False))
+    consistency = F.coalesce("ic_sign_consistency", F.lit(0.0))
+    # Gate names and reason texts, which callers match.
     rules = [
-        ("DATA_QUALITY", ~quality, "report missing"),
-        ("DATA_QUALITY", quality & (F.coalesce("critical_flags", F.lit(0)) > 0), "critical quality flags"),
-        ("DISCOVERY_IC", ~won, "walk-forward failed"),
-        ("DISCOVERY_IC", won & _below("window_pass_ratio", m.min_window_pass_ratio), "window pass ratio below limit"),
-        ("STABILITY", ~stable, "report missing"),
-        ("STABILITY", stable & _below("ic_sign_consistency", m.min_sign_consistency), "sign consistency below limit"),
-        ("STABILITY", stable & F.coalesce(c("worst_regime_ic") <= 0, F.lit(False)), "worst regime IC not positive"),
-        ("MULTIPLE_TESTING", _no("statistics_passed"), "statistics failed"),
-        ("FINAL_OOS", _no("final_oos_passed"), "final evaluation failed"),
-        ("FINAL_OOS", F.coalesce(c("oos_audit_status") != "PASSED", F.lit(False)), "audit not passed"),
-        ("COST_SENSITIVITY", ~cost, "report missing"),
-        ("COST_SENSITIVITY", cost & _below("break_even_bps", m.min_break_even_bps), "break-even cost below limit"),
-        ("EXPOSURE_NEUTRALIZATION", ~exposed, "report missing"),
+        ("DATA_QUALITY", ~quality, "data quality report missing"),
+        (
+            "DATA_QUALITY",
+            quality & (F.coalesce(F.size("critical_flags"), F.lit(0)) > 0),
+            text("critical quality flags: ", F.array_join("critical_flags", ", ")),
+        ),
+        ("DISCOVERY_IC", ~won, "walk-forward discovery gate failed"),
+        (
+            "DISCOVERY_IC",
+            won & _below("window_pass_ratio", m.min_window_pass_ratio),
+            f"window pass ratio < {m.min_window_pass_ratio}",
+        ),
+        ("STABILITY", ~stable, "stability report missing"),
+        (
+            "STABILITY",
+            stable & (consistency < m.min_sign_consistency),
+            text("ic sign consistency ", consistency.cast("string"), f" < {m.min_sign_consistency}"),
+        ),
+        (
+            "STABILITY",
+            stable & F.coalesce(c("worst_regime_ic") <= 0, F.lit(False)),
+            text("worst regime ic <= 0 (", c("worst_regime_ic").cast("string"), ")"),
+        ),
+        ("MULTIPLE_TESTING", _no("statistics_passed"), "FDR adjusted p-value > threshold (or DSR/PBO failed)"),
+        (
+            "FINAL_OOS",
+            _no("final_oos_passed"),
+            F.coalesce(F.when(c("final_oos_reason") != "", c("final_oos_reason")), F.lit("final oos evaluation failed")),
+        ),
+        (
+            "FINAL_OOS",
+            F.coalesce(c("oos_audit_status") != "PASSED", F.lit(False)),
+            text("oos audit status ", c("oos_audit_status")),
+        ),
+        ("COST_SENSITIVITY", ~cost, "cost sensitivity report missing"),
+        ("COST_SENSITIVITY", cost & _below("break_even_bps", m.min_break_even_bps), f"break-even cost < {m.min_break_even_bps}bps"),
+        ("EXPOSURE_NEUTRALIZATION", ~exposed, "exposure report missing"),
         (
             "EXPOSURE_NEUTRALIZATION",
             exposed & F.coalesce(F.abs("liquidity_exposure") > m.max_liquidity_exposure, F.lit(False)),
-            "liquidity exposure above limit",
+            text("liquidity exposure ", c("liquidity_exposure").cast("string"), " exceeds limit"),
         ),
         (
             "EXPOSURE_NEUTRALIZATION",
             exposed & F.coalesce(c("ic_retained_ratio") < m.min_retained_ratio, F.lit(False)),
-            "retained IC below limit",
+            text("neutralized ic retained ratio ", c("ic_retained_ratio").cast("string"), f" < {m.min_retained_ratio}"),
         ),
-        ("RESEARCH_GOVERNANCE", _no("has_governance"), "evidence missing"),
-        ("TRADABILITY_CAPACITY", formal & ~traded, "assessment missing"),
-        ("TRADABILITY_CAPACITY", traded & ~sound, "assessment failed"),
+        ("RESEARCH_GOVERNANCE", ~governed, "governance evidence missing (experiment lineage / freeze required)"),
+        ("RESEARCH_GOVERNANCE", governed & _no("has_experiment"), "experiment_id missing"),
+        ("RESEARCH_GOVERNANCE", governed & _no("has_freeze"), "candidate_freeze missing"),
+        ("TRADABILITY_CAPACITY", formal & ~traded, "tradability assessment artifact missing"),
+        ("TRADABILITY_CAPACITY", traded & ~sound, "tradability/capacity gate failed"),
     ]
     pairs = F.array_compact(
-        F.array(*[F.when(rule, F.struct(F.lit(g).alias("gate"), F.lit(r).alias("reason"))) for g, rule, r in rules])
+        F.array(*[F.when(rule, F.struct(F.lit(g).alias("gate"), (r if isinstance(r, Column) else F.lit(r)).alias("reason"))) for g, rule, r in rules])
     )
     gated = evidence.withColumn("failed_gates", pairs)
     return gated.withColumn("passed", F.size("failed_gates") == 0)

@@ -189,7 +189,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         flag(8).alias("tradability_eligible"),
         flag(6).alias("tradability_passed"),
         flag(23).alias("has_quality"),
-        (k % 4).cast("int").alias("critical_flags"),
+        F.slice(F.array(*map(F.lit, ("STALE", "GAP", "SPIKE"))), F.lit(1), (k % 4).cast("int")).alias("critical_flags"),
         flag(29).alias("has_stability"),
         ((k % 20) / 20).alias("ic_sign_consistency"),
         ((k % 9) / 100 - 0.02).alias("worst_regime_ic"),
@@ -197,6 +197,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 12).cast("double").alias("break_even_bps"),
         ((k % 7) / 10).alias("ic_retained_ratio"),
         flag(37).alias("has_governance"),
+        flag(41).alias("has_experiment"),
+        flag(43).alias("has_freeze"),
+        F.when(k % 14 == 0, "OOS_IC_BELOW_MINIMUM").alias("final_oos_reason"),
     )
 
 
@@ -243,28 +246,31 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAGED = [
-    ("k % 23 = 0", "DATA_QUALITY: report missing"),
-    ("k % 23 <> 0 AND k % 4 > 0", "DATA_QUALITY: critical quality flags"),
-    ("k % 2 = 0", "DISCOVERY_IC: walk-forward failed"),
-    ("k % 2 <> 0 AND (k % 10) / 10.0::DOUBLE < 0.6", "DISCOVERY_IC: window pass ratio below limit"),
-    ("k % 29 = 0", "STABILITY: report missing"),
-    ("k % 29 <> 0 AND (k % 20) / 20.0::DOUBLE < 0.55", "STABILITY: sign consistency below limit"),
-    ("k % 29 <> 0 AND (k % 9) / 100.0::DOUBLE - 0.02::DOUBLE <= 0", "STABILITY: worst regime IC not positive"),
-    ("k % 3 = 0", "MULTIPLE_TESTING: statistics failed"),
-    ("k % 7 = 0", "FINAL_OOS: final evaluation failed"),
-    ("k % 9 = 0 AND k % 2 = 0", "FINAL_OOS: audit not passed"),
-    ("k % 31 = 0", "COST_SENSITIVITY: report missing"),
-    ("k % 31 <> 0 AND k % 12 < 5", "COST_SENSITIVITY: break-even cost below limit"),
-    ("k % 13 = 0", "EXPOSURE_NEUTRALIZATION: report missing"),
-    ("k % 13 <> 0 AND k % 4 <> 0 AND (k % 100) / 100.0::DOUBLE > 0.8", "EXPOSURE_NEUTRALIZATION: liquidity exposure above limit"),
-    ("k % 13 <> 0 AND (k % 7) / 10.0::DOUBLE < 0.3::DOUBLE", "EXPOSURE_NEUTRALIZATION: retained IC below limit"),
-    ("k % 37 = 0", "RESEARCH_GOVERNANCE: evidence missing"),
-    ("k % 3 = 1 AND k % 19 = 0", "TRADABILITY_CAPACITY: assessment missing"),
-    ("k % 19 <> 0 AND (k % 8 = 0 OR k % 6 = 0)", "TRADABILITY_CAPACITY: assessment failed"),
+    ("k % 23 = 0", "'data quality report missing'", "DATA_QUALITY"),
+    ("k % 23 <> 0 AND k % 4 > 0", "'critical quality flags: ' || array_to_string(['STALE', 'GAP', 'SPIKE'][1:k % 4], ', ')", "DATA_QUALITY"),
+    ("k % 2 = 0", "'walk-forward discovery gate failed'", "DISCOVERY_IC"),
+    ("k % 2 <> 0 AND (k % 10) / 10.0::DOUBLE < 0.6", "'window pass ratio < 0.6'", "DISCOVERY_IC"),
+    ("k % 29 = 0", "'stability report missing'", "STABILITY"),
+    ("k % 29 <> 0 AND (k % 20) / 20.0::DOUBLE < 0.55", "'ic sign consistency ' || CAST((k % 20) / 20.0::DOUBLE AS VARCHAR) || ' < 0.55'", "STABILITY"),
+    ("k % 29 <> 0 AND (k % 9) / 100.0::DOUBLE - 0.02::DOUBLE <= 0", "'worst regime ic <= 0 (' || CAST((k % 9) / 100.0::DOUBLE - 0.02::DOUBLE AS VARCHAR) || ')'", "STABILITY"),
+    ("k % 3 = 0", "'FDR adjusted p-value > threshold (or DSR/PBO failed)'", "MULTIPLE_TESTING"),
+    ("k % 7 = 0", "CASE WHEN k % 14 = 0 THEN 'OOS_IC_BELOW_MINIMUM' ELSE 'final oos evaluation failed' END", "FINAL_OOS"),
+    ("k % 9 = 0 AND k % 2 = 0", "'oos audit status FAILED'", "FINAL_OOS"),
+    ("k % 31 = 0", "'cost sensitivity report missing'", "COST_SENSITIVITY"),
+    ("k % 31 <> 0 AND k % 12 < 5", "'break-even cost < 5.0bps'", "COST_SENSITIVITY"),
+    ("k % 13 = 0", "'exposure report missing'", "EXPOSURE_NEUTRALIZATION"),
+    ("k % 13 <> 0 AND k % 4 <> 0 AND (k % 100) / 100.0::DOUBLE > 0.8", "'liquidity exposure ' || CAST((k % 100) / 100.0::DOUBLE AS VARCHAR) || ' exceeds limit'", "EXPOSURE_NEUTRALIZATION"),
+    ("k % 13 <> 0 AND (k % 7) / 10.0::DOUBLE < 0.3::DOUBLE", "'neutralized ic retained ratio ' || CAST((k % 7) / 10.0::DOUBLE AS VARCHAR) || ' < 0.3'", "EXPOSURE_NEUTRALIZATION"),
+    ("k % 37 = 0", "'governance evidence missing (experiment lineage / freeze required)'", "RESEARCH_GOVERNANCE"),
+    ("k % 37 <> 0 AND k % 41 = 0", "'experiment_id missing'", "RESEARCH_GOVERNANCE"),
+    ("k % 37 <> 0 AND k % 43 = 0", "'candidate_freeze missing'", "RESEARCH_GOVERNANCE"),
+    ("k % 3 = 1 AND k % 19 = 0", "'tradability assessment artifact missing'", "TRADABILITY_CAPACITY"),
+    ("k % 19 <> 0 AND (k % 8 = 0 OR k % 6 = 0)", "'tradability/capacity gate failed'", "TRADABILITY_CAPACITY"),
 ]
+_STAGED_SQL = ", ".join(f"CASE WHEN {rule} THEN '{gate}: ' || {reason} END" for rule, reason, gate in _STAGED)
 
 
-@query("staged_promotion_gate", _E + f"SELECT k AS candidate_id, {_listed(_STAGED)} AS failed FROM e")
+@query("staged_promotion_gate", _E + f"SELECT k AS candidate_id, list_filter([{_STAGED_SQL}], lambda x: x IS NOT NULL) AS failed FROM e")
 def staged_promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = gates.staged_promotion_gate(evidence(spark, sf_dir))
     failed = F.transform("failed_gates", lambda g: F.concat_ws(": ", g["gate"], g["reason"])).alias("failed")
