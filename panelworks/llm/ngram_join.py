@@ -1,18 +1,16 @@
 """Near-duplicate documents: N-gram Jaccard join with Bayesian pruning of candidates.
 
 Documents are sets of word shingles (five lower-cased words; all words of a
-shorter text). Equal word sequences are one class from the start. Candidates
-share a band of MinHash values. The values of a candidate pair are compared a
-few at a time; the pair is dropped as soon as the posterior probability that
-its similarity reaches the threshold falls below ``TOLERANCE``. What is left is
-verified exactly on the shingle sets of the two whole texts.
-
-Groups of copies never become pairs: in each round the members of a bucket meet
-one leader of the bucket, and links join members to components. Rounds go on
-with new leaders while buckets hold many members of different components; the
-pairs of different components that are left at the end are all tested, so only
-pairs that are joined already are never looked at. Afterwards the links of each
-document are counted exactly inside its component, block against block.
+shorter text). Equal word sequences are one class from the start. Classes that
+share a band of MinHash values are candidates; the connected groups of
+candidates are the families. A family is dealt out in blocks of about ``BLOCK``
+classes, and each block meets each block of its family in a task of its own, so
+that no group is gathered and no pair ever becomes a row. There the MinHash
+values of all pairs are compared a few at a time; a pair is dropped as soon as the
+posterior probability that its similarity reaches the threshold falls below
+``TOLERANCE``. What is left is verified exactly on the shingle sets of the two
+whole texts. A task returns, per class, its number of links and one link towards
+the rest of its group, from which the connected classes follow.
 
 Defined results: NULL and empty texts are one class of equal documents; rows
 that repeat a document are members of its class; a NULL ``doc_id`` is kept and
@@ -28,12 +26,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - used as pa.compute
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.common import arrow_batch, batches, broadcast_if_small, kept, mixed, span_hashes, word_spans
-from panelworks.llm.linking import connected, shared_buckets
+from panelworks.llm.linking import components, shared_buckets
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At the threshold a pair misses all bands with probability (1 - 0.8**4)**24, about 3 in a million.
@@ -42,8 +40,8 @@ HASHES = BANDS * ROWS
 #: Pairs are dropped when reaching the threshold is less likely than this.
 TOLERANCE = 1e-4
 STEP = 16
-#: Documents of one block when links are counted inside a component.
-BLOCK = 1024
+#: Classes of one block; a task holds two blocks.
+BLOCK = 512
 
 _SEEDS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).astype(np.uint32)
@@ -99,102 +97,103 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return tuple(next(m for m in range(n + 1) if tail(m, n) >= tolerance) for n in range(HASHES + 1))
 
 
-def _signatures(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows, text="words"):
-        sizes, values, bands = [], [], []
+        bands = []
         for text in batch.column("words").to_pylist():
             found = shingles(text)
             lows = signature(found)
-            sizes.append(len(found))
-            values.append(lows.tobytes())
             keys = np.zeros(BANDS, dtype=np.uint64)
             for row in range(ROWS):
                 keys = mixed(keys * np.uint64(31) + lows[row::ROWS])
-            keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
-            bands.append(keys.view(np.int64) if len(found) else [])
+            bands.append(mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64) if len(found) else [])
+        columns = {c: batch.column(c) for c in ("doc_id", "key", "digest")}
         yield arrow_batch(
-            {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "size": sizes, "values": values, "bands": bands},
-            [batch.column("doc_id").type, pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())],
+            columns | {"bands": bands}, [batch.column("doc_id").type, pa.int64(), pa.binary(), pa.list_(pa.int64())]
         )
 
 
-def _plausible(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates whose MinHash values leave the threshold within reach."""
+def plausible(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Pairs of two blocks of signatures that leave the threshold within reach, compared step by step."""
     least = least_matches()
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        one, two = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-            for c in ("values_a", "values_b")
-        )
-        alive = np.arange(batch.num_rows)
-        matches = np.zeros(batch.num_rows, dtype=np.int64)
-        for n in range(STEP, HASHES + 1, STEP):
-            matches[alive] += (one[alive, n - STEP : n] == two[alive, n - STEP : n]).sum(axis=1)
-            alive = alive[matches[alive] >= least[n]]
-        yield batch.select(["a", "b"]).take(pa.array(alive))
-
-
-def _verified(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        keep, last, of_last = [], None, None
-        for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if b != last:
-                last, of_last = b, shingles(b)
-            keep.append(similarity(shingles(a), of_last) >= THRESHOLD)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-
-
-def _sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
-    return df.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-
-
-def links_of(pairs: DataFrame, classes: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class keys whose similarity reaches the threshold."""
-    sized = pairs.join(_sided(classes, "a", "size", "values"), "a").join(_sided(classes, "b", "size", "values"), "b")
-    close = F.least("size_a", "size_b") >= THRESHOLD * F.greatest("size_a", "size_b")
-    left = kept(sized.where(close).select("a", "b", "values_a", "values_b").mapInArrow(_plausible, "a binary, b binary"))
-    wanted = kept(left.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = words.join(broadcast_if_small(wanted), "key", "left_semi").dropDuplicates(["key"])
-    texts = texts.select("key", F.col("words").alias("text"))
-    whole = left.join(_sided(texts, "a", "text"), "a").join(_sided(texts, "b", "text"), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary")
-
-
-def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
-    """(documents with their class key, classes, components of linked classes or None, words by key)."""
-    words = docs.select("doc_id", normal_text("text").alias("words")).withColumn("key", F.unhex(F.md5("words")))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    marked = kept(
-        words.mapInArrow(_signatures, f"doc_id {id_type}, key binary, size long, values binary, bands array<long>")
-    )
-    classes = marked.groupBy("key").agg(
-        F.first("size").alias("size"), F.first("values").alias("values"), F.first("bands").alias("bands")
-    )
-    classes = kept(classes)
-    members = kept(shared_buckets(classes.select(F.explode("bands").alias("bucket"), "key")))
-    found = connected(members, lambda pairs: links_of(pairs, classes, words))
-    return marked, classes, found, words
+    matches = np.zeros((len(one), len(two)), dtype=np.int16)
+    alive: tuple[np.ndarray, ...] | None = None
+    for n in range(STEP, HASHES + 1, STEP):
+        if alive is None:
+            for k in range(n - STEP, n):
+                matches += one[:, k, None] == two[None, :, k]
+            alive = np.nonzero(matches >= least[n])
+        else:
+            matches[alive] += (one[alive[0], n - STEP : n] == two[alive[1], n - STEP : n]).sum(axis=1, dtype=np.int16)
+            stay = matches[alive] >= least[n]
+            alive = (alive[0][stay], alive[1][stay])
+    found = np.zeros((len(one), len(two)), dtype=bool)
+    found[alive] = True
+    return found
 
 
 def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links of the documents of two blocks of one component (or of one block with itself)."""
+    """Link counts and connecting links of the classes of two blocks of one family (or of one block with itself)."""
     _, first, second = (k.as_py() for k in key)
-    sides = [rows.filter(pa.compute.equal(rows["block"], b)) for b in ((first,) if first == second else (first, second))]
-    sets = [[shingles(t) for t in s["words"].to_pylist()] for s in sides]
-    sets_a, sets_b = sets[0], sets[-1]
+    sides = []
+    for block in (first,) if first == second else (first, second):
+        found: dict[int, tuple[str, int]] = {}
+        part = rows.filter(pc.equal(rows["block"], block))
+        for k, words, copies in zip(*(part[c].to_pylist() for c in ("key", "words", "copies")), strict=True):
+            found[k] = (words, copies)  # rows that repeat an id and a text come once
+        keys = sorted(found)
+        sets = [shingles(found[k][0]) for k in keys]
+        sides.append((keys, sets, np.array([found[k][1] for k in keys], dtype=np.int64)))
+    (keys_a, sets_a, copies_a), (keys_b, sets_b, copies_b) = sides[0], sides[-1]
+    counts: dict[int, int] = {}
+    near: dict[int, int] = {}
+    if keys_a and keys_b:
+        signs_a, signs_b = (np.array([signature(s) for s in sets]) for sets in (sets_a, sets_b))
+        linked = plausible(signs_a, signs_b)
+        if first == second:
+            linked &= ~np.tri(len(keys_a), dtype=bool)  # each pair once
+        linked = _verified(linked, sets_a, sets_b)
+        if first == second:
+            linked |= linked.T
+            counts = dict(zip(keys_a, (linked @ copies_a).tolist()))
+        else:
+            counts = dict(zip(keys_a, (linked @ copies_b).tolist())) | dict(zip(keys_b, (copies_a @ linked).tolist()))
+        near = _connecting(linked, keys_a, keys_b)
+    out = [k for k, n in counts.items() if n]
+    return pa.table(
+        {
+            "key": pa.array(out, type=pa.int64()),
+            "links": pa.array([counts[k] for k in out], type=pa.int64()),
+            "near": pa.array([near[k] for k in out], type=pa.int64()),
+        }
+    )
+
+
+def _verified(pairs: np.ndarray, sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+    """The pairs that truly reach the threshold: few are compared one by one, many by counting."""
+    one, two = np.nonzero(pairs)
+    if len(one) < 4 * (len(sets_a) + len(sets_b)):
+        good = np.zeros_like(pairs)
+        for i, j in zip(one.tolist(), two.tolist()):
+            good[i, j] = similarity(sets_a[i], sets_b[j]) >= THRESHOLD
+        return good
     shared = shared_counts(sets_a, sets_b)
     size_a, size_b = (np.array([len(s) for s in x], dtype=np.float64) for x in (sets_a, sets_b))
-    union = size_a[:, None] + size_b[None, :] - shared
-    linked = shared >= THRESHOLD * union - 1e-9
-    copies_a, copies_b = (np.asarray(s["copies"].to_pylist(), dtype=np.int64) for s in (sides[0], sides[-1]))
-    if first == second:
-        np.fill_diagonal(linked, False)
-        out = [(sides[0]["key"].to_pylist(), linked @ copies_b)]
-    else:
-        out = [(sides[0]["key"].to_pylist(), linked @ copies_b), (sides[1]["key"].to_pylist(), copies_a @ linked)]
-    return pa.table({"key": pa.array([k for ks, _ in out for k in ks], type=pa.binary()), "links": pa.array(np.concatenate([n for _, n in out]))})
+    return pairs & (shared >= THRESHOLD * (size_a[:, None] + size_b[None, :] - shared) - 1e-9)
+
+
+def _connecting(linked: np.ndarray, keys_a: list[int], keys_b: list[int]) -> dict[int, int]:
+    """For every key, the smallest key of its connected group in the two blocks."""
+    lows_a, lows_b = np.array(keys_a), np.array(keys_b)
+    far = np.iinfo(np.int64).max
+    while True:
+        new_b = np.minimum(lows_b, np.where(linked, lows_a[:, None], far).min(axis=0))
+        new_a = np.minimum(lows_a, np.where(linked, new_b[None, :], far).min(axis=1))
+        if keys_a == keys_b:  # one block: both sides are the same classes
+            new_a = new_b = np.minimum(new_a, new_b)
+        if (new_a == lows_a).all() and (new_b == lows_b).all():
+            return dict(zip(keys_b, new_b.tolist())) | dict(zip(keys_a, new_a.tolist()))
+        lows_a, lows_b = new_a, new_b
 
 
 def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -232,35 +231,37 @@ def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndar
     return shared.astype(np.float64)
 
 
-def link_counts(classes: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, links): for each class of a component, the documents of other classes that it links to.
-
-    A component is dealt out in blocks of about ``BLOCK`` classes; each block meets each
-    other block of its component in a task of its own, which returns one count per class.
-    """
-    sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = found.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    placed = kept(placed.join(classes.select("key", "copies"), "key"))
-    texts = words.join(broadcast_if_small(placed.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    rows = placed.join(texts.select("key", "words"), "key")
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with their digest, classes with component, links and copies)."""
+    words = docs.select("doc_id", normal_text("text").alias("words"))
+    words = words.withColumns({"digest": F.unhex(F.md5("words")), "key": F.xxhash64("words")})
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    marked = kept(words.mapInArrow(_bands, f"doc_id {id_type}, key long, digest binary, bands array<long>"))
+    # equal texts are told by the digest; the shorter key names classes while they are linked
+    copies = marked.groupBy("digest", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lowest"))
+    copies = kept(copies)
+    members = shared_buckets(marked.select(F.explode("bands").alias("bucket"), "key").distinct())
+    low = F.min("key").over(Window.partitionBy("bucket"))
+    families = components(members.select(F.col("key").alias("a"), low.alias("b")))
+    sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = families.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = kept(placed.join(copies, "key").select("component", "block", "blocks", "copies", "lowest", F.col("digest").alias("of")))
+    # one text of each class: that of its smallest id
+    mine = (words["digest"] == placed["of"]) & words["doc_id"].eqNullSafe(placed["lowest"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = rows.select("component", "key", "copies", "words", "block", other)
+    met = words.join(broadcast_if_small(placed), mine).select("component", "key", "copies", "words", "block", other)
     met = met.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
-    counted = met.groupBy("component", "first", "second").applyInArrow(_block_links, "key binary, links long")
-    return counted.groupBy("key").agg(F.sum("links").alias("links"))
-
-
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class key, class keys with component and counts)."""
-    marked, classes, found, words = similar_classes(docs)
-    copies = kept(marked.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lowest")))
-    if found is None:
-        alone = copies.withColumns({"component": F.col("key"), "links": F.lit(0).cast("long")})
-        return marked, alone
-    links = kept(link_counts(copies, found, words))
-    groups = copies.join(found, "key", "left").join(links, "key", "left")
-    filled = {"component": F.coalesce("component", "key"), "links": F.coalesce("links", F.lit(0).cast("long"))}
-    return marked, kept(groups.withColumns(filled))
+    found = kept(
+        met.groupBy("component", "first", "second").applyInArrow(_block_links, "key long, links long, near long")
+    )
+    linked = components(found.select(F.col("key").alias("a"), F.col("near").alias("b")))
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    groups = copies.join(linked, "key", "left").join(links, "key", "left")
+    filled = {
+        "component": F.coalesce(F.concat(F.lit("k"), F.col("component").cast("string")), F.hex("digest")),
+        "links": F.coalesce("links", F.lit(0).cast("long")),
+    }
+    return marked.select("doc_id", "digest"), kept(groups.withColumns(filled))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,22 +273,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked, groups = _grouped(docs)
     whole = groups.groupBy("component").agg(F.min("lowest").alias("class_id"), F.sum("copies").alias("class_size"))
     of_key = groups.join(whole, "component").select(
-        "key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size"
+        "digest", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size"
     )
-    return marked.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_links", "class_size")
+    return marked.join(of_key, "digest").select("doc_id", "class_id", "n_links", "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each class stays, with all its columns: the one with the smallest id, NULL last."""
     marked, groups = _grouped(docs)
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
-    rows = marked.groupBy("key", "doc_id").count().join(groups.select("key", "component"), "key")
+    rows = marked.groupBy("digest", "doc_id").count().join(groups.select("digest", "component"), "digest")
     first = rows.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     )
-    is_first = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    is_first = (F.col("digest") == F.col("first.digest")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     placed = rows.join(first, "component").select(
-        F.col("key").alias("_key"), named.alias("_id"), is_first.alias("first"), "count"
+        F.col("digest").alias("_key"), named.alias("_id"), is_first.alias("first"), "count"
     )
     several = kept(placed.where("NOT first OR count > 1"))
     own = [F.col(f"`{c}`") for c in docs.columns]
