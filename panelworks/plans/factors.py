@@ -216,6 +216,25 @@ def oos_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_evaluation(evaluation(spark, sf_dir, ev.oos_ranges(n_days, HORIZON)))
 
 
+def _won(part: str) -> str:
+    return f"coalesce(bool_or(passed) FILTER (WHERE range_name = '{part}'), FALSE)"
+
+
+@query(
+    "oos_verdict",
+    with_bars(
+        FLAGSHIP_SQL
+        + evaluation_sql(OOS_RANGES)
+        + f"SELECT factor_id, {_won('validation')} AND {_won('test')} AS passed, list_filter(["
+        + ", ".join(f"CASE WHEN NOT {_won(n)} THEN '{n}_failed' END" for n in ("train", "validation", "test"))
+        + "], lambda x: x IS NOT NULL) AS failure_reasons FROM evaluated GROUP BY factor_id"
+    ),
+)
+def oos_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_days = inputs.universe(sf_dir)[1]
+    return ev.oos_verdict(evaluation(spark, sf_dir, ev.oos_ranges(n_days, HORIZON)))
+
+
 def brand_month_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query on brand x month bars (enough symbols at the smallest scale)."""
     symbols, n_days = inputs.universe(sf_dir, "p_brand", "month")
