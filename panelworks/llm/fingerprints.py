@@ -37,6 +37,8 @@ from panelworks.llm.common import batches, mixed, span_hashes, whole_text
 PIECE = 160
 CELLS, GROWTH = 24, 4
 CHARS_PER_RANGE = 4_000_000
+#: The table of range heads is broadcast, so there are at most this many ranges.
+MOST_RANGES = 200_000
 SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
@@ -212,7 +214,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     facts = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text")), F.count(F.lit(1))).first()
     lowest, highest, chars, n = facts[0] or 0, facts[1] or 0, facts[2] or 0, facts[3]
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(max(-(-chars // CHARS_PER_RANGE), least), n // 8))
+    ranges = max(1, min(max(-(-chars // CHARS_PER_RANGE), least), n // 8, MOST_RANGES))
     placed = rows.withColumn("range", _range_of(F.col("doc_id"), lowest, highest, ranges))
     # the first document of every range that is not empty, and the range before it (one row per range)
     tops = placed.groupBy("range").agg(F.max("doc_id").alias("top"))
