@@ -71,6 +71,21 @@ def segment_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
     return F.array(*keys)
 
 
+def may_be_close(a: Column, b: Column, size: Column, edits: int = EDITS) -> Column:
+    """A necessary condition that costs a few comparisons: of ``3 * edits`` pieces of one line each edit
+    spoils at most one, and every other piece stands in the other line, shifted by at most ``edits``."""
+    parts = 3 * edits
+    found = F.lit(0)
+    for number in range(1, parts + 1):
+        start, span = _segment(size, number, parts - 1)
+        piece = F.substring(a, start, span)
+        here = F.lit(False)
+        for shift in sorted(range(-edits, edits + 1), key=abs):
+            here = here | (piece == F.substring(b, start + shift, span))
+        found = found + F.when(here, 1).otherwise(0)
+    return found >= parts - edits
+
+
 def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     """The rows whose two lines, each longer than ``edits``, differ by at most ``edits`` edits.
 
@@ -88,6 +103,9 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
         bits = F.array(*[long(1 << k) for k in range(2 * edits - 1, -1, -1)])
 
         def step(acc: Column, j: Column) -> Column:
+            # past this, the last columns cannot bring the distance back
+            lost = acc["far"] > 3 * edits
+
             def with_char(char: Column) -> Column:
                 equal = long(0)
                 for k in range(width):
@@ -118,14 +136,16 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
                     (acc["far"] + F.when(past < 0, rim).otherwise(plus)).alias("far"),
                 )
 
-            return let(F.get(two, j), with_char)
+            return F.when(lost, acc).otherwise(let(F.get(two, j), with_char))
 
         start = F.struct(long(full ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("far"))
         return F.aggregate(F.sequence(F.lit(0), F.size(two) - 1), start, step)["far"]
 
     # bound once per pair: the optimiser would repeat a plain column's split at every step
     chars = F.struct(F.split(a, "").alias("one"), F.split(b, "").alias("two"), F.length(a).alias("rows"))
-    return pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).where(let(chars, distance) <= edits)
+    close = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits)
+    close = close.withColumn("_size", F.length(a)).where(may_be_close(F.col(a), F.col(b), F.col("_size"), edits))
+    return close.where(let(chars, distance) <= edits).drop("_size")
 
 
 def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:

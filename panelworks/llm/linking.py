@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import kept
 
-MAX_ROUNDS = 6
+MAX_ROUNDS = 2
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
