@@ -206,6 +206,45 @@ def test_decontamination_finds_planted_items(spark):
     assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == set(range(120)) - {d for d, _ in want}
 
 
+def test_loose_paraphrases_are_found_like_by_brute_force(spark, monkeypatch):
+    """Items of which 45 to 70 % of the words are left, with the answer; the space is fitted on a part of the passages."""
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 1_000)
+    rng = random.Random(21)
+    bench = [(item(rng, rng.randrange(18, 60)).split(), item(rng, 6).split()) for _ in range(40)]
+    docs, want = [], set()
+    for d in range(200):
+        own = item(rng, 300).replace("b", "w").split()
+        own = [f"b{rng.randrange(3000)}" if rng.random() < 0.15 else w for w in own]
+        if d < 160:
+            body, answer = bench[d % 40]
+            left = math.ceil((0.45, 0.5, 0.55, 0.7)[d // 40] * (len(body) + 6)) - 6
+            stay = set(rng.sample(range(len(body)), max(0, left)))
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = [w if k in stay else f"p{rng.randrange(999)}" for k, w in enumerate(body)] + answer
+            want.add((d, d % 40))
+        docs.append((d, " ".join(own)))
+    marks = [(i, " ".join(body) + ". " + " ".join(answer)) for i, (body, answer) in enumerate(bench)]
+    items = decontaminate.Benchmark(marks)
+    brute = set()
+    for d, text in docs:
+        ids = [items.terms.get(w, -1) for w in decontaminate.words_of(text)]
+        for i, (s, a) in enumerate(zip(items.sequences, items.answers, strict=True)):
+            for at in range(0, len(ids), 16):
+                region = ids[max(0, at - len(s)) : at + 32 + len(s)]
+                share = decontaminate.common_subsequence(decontaminate._bits(s), len(s), region) / len(s)
+                if share >= 0.6 or share >= 0.45 and decontaminate.common_subsequence(decontaminate._bits(a), len(a), region) >= 0.8 * len(a):
+                    brute.add((d, i))
+                    break
+    assert want <= brute
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, spark.createDataFrame(marks, "item_id long, text string")).collect()}
+    assert got == brute
+
+
+def test_emphasis_marks_are_no_part_of_a_word():
+    assert decontaminate.words_of("the _quick_ __brown__ fox") == ["the", "quick", "brown", "fox"]
+
+
 def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
     marks = spark.createDataFrame([(1, "The cat sat on the mat and the dog of the house saw it all")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contaminated(odd_docs, marks).collect()} == {1, 2}
