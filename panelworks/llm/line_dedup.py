@@ -10,9 +10,10 @@ banded bit-parallel edit distance; linked lines form classes. The first line of
 a class (by document id, then line number) stays, the others go.
 
 Defined results: NULL and empty texts have no lines to compare and stay as they
-are; shorter lines always stay; a NULL ``doc_id`` sorts last. Rows that repeat a
-``doc_id`` are one document for the purpose of places: equal lines at one place
-count as one, and what goes, goes from each of them.
+are; shorter lines always stay; a NULL ``doc_id`` sorts last. A document is told
+by its ``doc_id`` and the digest of its text, so documents that share an id (or
+have none) lose only their own repeats; of several texts under one id the one
+with the smallest digest comes first at a place. Rows equal in both are one document.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import broadcast_if_small, kept
+from panelworks.llm.common import broadcast_if_small, kept, whole_text
 from panelworks.llm.linking import connected, shared_buckets
 
 EDITS = 2
@@ -32,11 +33,15 @@ def compared(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5(whole_text()))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of the lines long enough to be compared; line numbers from 0."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    every = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
-    lines = every.select("doc_id", "line_no", compared(F.col("raw")).alias("line"))
+    """(doc_id, of, line_no, line) of the lines long enough to be compared, ``of`` being the digest of the
+    whole text; line numbers from 0."""
+    every = docs.select("doc_id", text_digest().alias("of"), F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "raw"))
+    lines = every.select("doc_id", "of", "line_no", compared(F.col("raw")).alias("line"))
     # so many words: a word, then blanks and a word again
     return lines.where(F.col("line").rlike(rf"^\S+(\s+\S+){{{MIN_WORDS - 1}}}"))
 
@@ -158,10 +163,10 @@ def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> Data
     return within_edits(both, "line_a", "line_b", edits).select("a", "b")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(doc_id, line_no, class_doc_id, class_line_no, class_size, stays) of every line of a class of several lines."""
+def _classes(docs: DataFrame, edits: int) -> DataFrame:
+    """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
     lines = lines_of(docs).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))})
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
     distinct = lines.groupBy("digest").agg(
         F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     )
@@ -180,15 +185,20 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     whole = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
     several = placed.join(whole.where("class_size > 1"), "component").select("digest", "keep", "class_size")
     several = kept(several)
-    own = lines.select("doc_id", "line_no", "digest").join(broadcast_if_small(several), "digest")
-    stays = (F.col("line_no") == F.col("keep.line_no")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
-    return own.select(
+    own = lines.select("doc_id", "of", "line_no", "digest").join(broadcast_if_small(several), "digest")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
+    return own.withColumn("stays", first.eqNullSafe(F.col("keep"))).drop("digest")
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc_id, line_no, class_doc_id, class_line_no, class_size, stays) of every line of a class of several lines."""
+    return _classes(docs, edits).select(
         "doc_id",
         "line_no",
         F.col("keep.doc_id").alias("class_doc_id"),
         F.col("keep.line_no").alias("class_line_no"),
         "class_size",
-        stays.alias("stays"),
+        "stays",
     )
 
 
@@ -197,9 +207,10 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     Documents that had no text to begin with stay.
     """
-    gone = line_classes(docs, edits).where("NOT stays").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    gone = kept(gone).withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
+    gone = _classes(docs, edits).where("NOT stays").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("_gone"))
+    gone = kept(gone).withColumnsRenamed({"doc_id": "_doc_id", "of": "_of"})
+    mine = docs["doc_id"].eqNullSafe(gone["_doc_id"]) & (text_digest() == gone["_of"])
+    joined = docs.join(gone, mine, "left")
     kept_lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
     changed = joined.withColumn("text", text)

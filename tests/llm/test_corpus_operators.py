@@ -179,6 +179,29 @@ def test_lines_of_odd_tables(odd_docs, no_docs):
     assert 2 not in ids and {3, 4, 5, 6, 7, 8, 1} <= set(ids) and ids.count(1) == 2
 
 
+def test_shared_and_missing_ids_lose_only_their_own_text(spark):
+    said = "a line of many words that stands in several documents"
+    rows = [
+        (1, f"{said}\nthe first document says something else here too"),
+        (None, f"nothing of this was ever said before by anyone\n{said}"),
+        (None, "some other words of a clean text stand here\nthis second line was never repeated at all"),
+        (None, said),
+        (7, "the seventh has one line of its own to tell\nand a shared one at the same place here"),
+        (7, "its namesake tells another tale in many words\nand a shared one at the same place here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS of", "'y' AS digest")
+    left = line_dedup.without_repeated_lines(docs)
+    assert left.columns == docs.columns
+    got = sorted(r.text for r in left.collect())
+    assert sum("and a shared one" in t for t in got) == 1
+    got = sorted(t.split("\nand a shared")[0] for t in got)
+    assert got == sorted([rows[0][1], rows[1][1].split("\n")[0], rows[2][1], *(r[1].split("\n")[0] for r in rows[4:])])
+    marks = spark.createDataFrame([(1, "nothing of this was ever said before by anyone")], "item_id long, text string")
+    clean = decontaminate.without_benchmark(docs, marks)
+    assert clean.columns == docs.columns
+    assert sorted(r.text for r in clean.collect()) == sorted(t for k, (_, t) in enumerate(rows) if k != 1)
+
+
 def item(rng, n):
     return " ".join(f"b{rng.randrange(3000)}" if rng.random() < 0.7 else rng.choice(("the", "of", "and", "to")) for _ in range(n))
 
