@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier in the corpus; ``n_chars`` follows the text."""
-    left = line_dedup.without_repeated_lines(docs)
+    left = line_dedup.without_repeated_lines(docs, every_line=True)
     size = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")
     return left.withColumn("n_chars", size)
 

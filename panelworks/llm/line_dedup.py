@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations alone.
 
-Lines of at least ``MIN_WORDS`` words are compared in lower case without outer
-blanks. Equal lines are one class from the start. A line of n characters is cut
+Lines are compared in lower case without outer blanks: those of at least
+``MIN_WORDS`` words, or with ``every_line`` (as in the pipeline) all that hold
+anything but blanks, counted in characters. Equal lines are one class from the start. A line of n characters is cut
 into ``EDITS + 1`` segments; of two lines within ``EDITS`` edits one holds a
 segment of the other, near the segment's place. Each line therefore enters the
 buckets of its own segments and of those substrings that the lengths and places
@@ -10,10 +11,13 @@ banded bit-parallel edit distance; linked lines form classes. The first line of
 a class (by document id, then line number) stays, the others go.
 
 Defined results: NULL and empty texts have no lines to compare and stay as they
-are; shorter lines always stay; a NULL ``doc_id`` sorts last. A document is told
+are; lines not compared always stay; a NULL ``doc_id`` sorts last. A document is told
 by its ``doc_id`` and the digest of its text, so documents that share an id (or
 have none) lose only their own repeats; of several texts under one id the one
 with the smallest digest comes first at a place. Rows equal in both are one document.
+A line of fewer than ``MIN_WORDS`` words is close to another at one edit for every
+``CHARS_PER_EDIT`` characters of the shorter one, at most ``EDITS``: on sf0.1, two
+edits join 106 of 150 such lines under ten characters with some other word.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from panelworks.llm.linking import connected, shared_buckets
 
 EDITS = 2
 MIN_WORDS = 5
+CHARS_PER_EDIT = 10
+#: a word, then blanks and a word again
+WORDY = rf"^\S+(\s+\S+){{{MIN_WORDS - 1}}}"
 
 
 def compared(line: Column) -> Column:
@@ -37,13 +44,12 @@ def text_digest() -> Column:
     return F.unhex(F.md5(whole_text()))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """(doc_id, of, line_no, line) of the lines long enough to be compared, ``of`` being the digest of the
     whole text; line numbers from 0."""
     every = docs.select("doc_id", text_digest().alias("of"), F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "raw"))
     lines = every.select("doc_id", "of", "line_no", compared(F.col("raw")).alias("line"))
-    # so many words: a word, then blanks and a word again
-    return lines.where(F.col("line").rlike(rf"^\S+(\s+\S+){{{MIN_WORDS - 1}}}"))
+    return lines.where(F.col("line").rlike(r"\S" if every_line else WORDY))
 
 
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -76,6 +82,22 @@ def segment_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
     return F.array(*keys)
 
 
+def own_edits(line: Column, size: Column, edits: int = EDITS) -> Column:
+    """The edits within which a line is close to others; of two lines the smaller number holds."""
+    return F.when(line.rlike(WORDY), edits).otherwise(F.least(F.lit(edits), F.floor(size / CHARS_PER_EDIT).cast("int")))
+
+
+def all_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
+    """Buckets at each number of edits that may hold for a pair of the line."""
+    own = own_edits(line, size, edits)
+    parts = []
+    for e in range(1, edits + 1):
+        # pairs of a number below this line's own have a short line in them
+        wanted = (own == e) | (own > e) & (size < CHARS_PER_EDIT * (e + 1) + e)
+        parts.append(F.when(wanted, segment_buckets(line, size, e)).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*parts)
+
+
 def may_be_close(a: Column, b: Column, size: Column, edits: int = EDITS) -> Column:
     """A necessary condition that costs a few comparisons: of ``3 * edits`` pieces of one line each edit
     spoils at most one, and every other piece stands in the other line, shifted by at most ``edits``."""
@@ -153,28 +175,33 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
     return close.where(let(chars, distance) <= edits).drop("_size")
 
 
-def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The pairs (a, b) of line keys within ``edits`` edits."""
+def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
+    """The pairs (a, b) of line keys within ``edits`` edits, or within those of their own."""
     wanted = kept(pairs)
     keys = kept(wanted.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     texts = kept(lines.join(broadcast_if_small(keys), "key", "left_semi").select("key", "line").distinct())
     both = wanted.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    return within_edits(both, "line_a", "line_b", edits).select("a", "b")
+    close = within_edits(both, "line_a", "line_b", edits)
+    if every_line:
+        own = F.least(*[own_edits(F.col(c), F.length(c), edits) for c in ("line_a", "line_b")])
+        close = close.where((own >= edits) | (F.levenshtein("line_a", "line_b") <= own))
+    return close.select("a", "b")
 
 
-def _classes(docs: DataFrame, edits: int) -> DataFrame:
+def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
-    lines = lines_of(docs).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))})
+    lines = lines_of(docs, every_line).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))})
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
     distinct = lines.groupBy("digest").agg(
         F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     )
     distinct = kept(distinct)
     texts = lines.select("line").distinct().select("line", F.xxhash64("line").alias("key"), F.length("line").alias("size"))
-    buckets = texts.select(F.explode(segment_buckets(F.col("line"), F.col("size"), edits)).alias("bucket"), "key")
+    cut = all_buckets if every_line else segment_buckets
+    buckets = texts.select(F.explode(cut(F.col("line"), F.col("size"), edits)).alias("bucket"), "key")
     members = kept(shared_buckets(buckets.where("bucket IS NOT NULL")))
-    found = connected(members, lambda pairs: linked_lines(pairs, lines.select("line", "key"), edits))
+    found = connected(members, lambda pairs: linked_lines(pairs, lines.select("line", "key"), edits, every_line))
     if found is None:
         placed = distinct.withColumn("component", F.concat(F.lit("d"), F.hex("digest")))
     else:
@@ -190,9 +217,9 @@ def _classes(docs: DataFrame, edits: int) -> DataFrame:
     return own.withColumn("stays", first.eqNullSafe(F.col("keep"))).drop("digest")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, class_size, stays) of every line of a class of several lines."""
-    return _classes(docs, edits).select(
+    return _classes(docs, edits, every_line).select(
         "doc_id",
         "line_no",
         F.col("keep.doc_id").alias("class_doc_id"),
@@ -202,12 +229,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
     """All documents, without the lines that repeat an earlier one; documents left with no text go.
 
     Documents that had no text to begin with stay.
     """
-    gone = _classes(docs, edits).where("NOT stays").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("_gone"))
+    gone = _classes(docs, edits, every_line).where("NOT stays").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("_gone"))
     gone = kept(gone).withColumnsRenamed({"doc_id": "_doc_id", "of": "_of"})
     mine = docs["doc_id"].eqNullSafe(gone["_doc_id"]) & (text_digest() == gone["_of"])
     joined = docs.join(gone, mine, "left")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -202,6 +203,46 @@ def test_shared_and_missing_ids_lose_only_their_own_text(spark):
     assert sorted(r.text for r in clean.collect()) == sorted(t for k, (_, t) in enumerate(rows) if k != 1)
 
 
+def test_short_and_unspaced_lines_are_compared(spark):
+    rng = random.Random(12)
+    bases = ["All rights reserved.", "Page 7", "版权所有不得转载违者必究追究其法律责任谢谢大家", "x", "https://example.com/a/long/path?of=one", "\ta b c d e f", "next >", "a b c d e f g"]
+    bases += ["".join(rng.choice("abc ") for _ in range(n)) for n in range(1, 26) for _ in range(2)]
+    docs = []
+    for d in range(60):
+        own = []
+        for _ in range(4):
+            line = list(rng.choice(bases))
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                line[rng.randrange(len(line))] = rng.choice("qé版")
+            own.append("".join(line))
+        docs.append((d, "\n".join(own)))
+    docs += [(100, "Page 7"), (101, "page 7 "), (102, "Page 8"), (103, bases[2]), (104, bases[2][:-1] + "版")]
+    places = [(d, n, line.lower().strip(" ")) for d, t in docs for n, line in enumerate(t.split("\n")) if line.strip()]
+    group = list(range(len(places)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    def own_edits(line):
+        return 2 if re.match(line_dedup.WORDY, line) else min(2, len(line) // 10)
+
+    for i in range(len(places)):
+        for j in range(i):
+            a, b = places[i][2], places[j][2]
+            if a == b or edit_distance(a, b) <= min(own_edits(a), own_edits(b)):
+                a, b = top(i), top(j)
+                group[max(a, b)] = min(a, b)
+    sizes = Counter(map(top, range(len(places))))
+    want = {(d, n): top(i) == i for i, (d, n, _) in enumerate(places) if sizes[top(i)] > 1}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.stays for r in line_dedup.line_classes(frame, every_line=True).collect()}
+    assert got == want and not got[101, 0] and not got[104, 0]
+    left = {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, frame.withColumn("n_chars", F.lit(1)), "").collect()}
+    assert 101 not in left and 104 not in left
+
+
 def item(rng, n):
     return " ".join(f"b{rng.randrange(3000)}" if rng.random() < 0.7 else rng.choice(("the", "of", "and", "to")) for _ in range(n))
 
