@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelworks.llm import bpe, decontaminate, fingerprints, hmm_lm, html_text, line_dedup, ngram_join, pii, secrets, toxicity
+from panelworks.llm import (
+    bpe,
+    decontaminate,
+    fingerprints,
+    hmm_lm,
+    html_text,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    prefix_trie,
+    repair,
+    secrets,
+    toxicity,
+)
 from panelworks.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +125,46 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the crc32 of an id is folded bit by bit over its digits, as DuckDB has no such function
+TRIE_SQL = r"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS g,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))),
+  lambda s, y: list_reduce(list_prepend(xor(s, y), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+l AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+f AS (SELECT i.c, t.p AS d, x, g FROM i JOIN t ON t.c = i.b AND t.p <= i.h
+  UNION ALL SELECT i.c, t.p - i.h + least(i.h, coalesce(l.n, 0)), x, g FROM i JOIN t ON t.c = i.c AND t.p > i.h LEFT JOIN l ON l.c = i.b),
+q AS (SELECT c, d, length(x) AS z, md5(string_agg(g, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM f UNION ALL SELECT c, 0, 0, '' FROM i),
+n AS (SELECT d, k, min(c) AS v, count(*) AS m, max(z) AS z FROM q GROUP BY 1, 2),
+w AS (SELECT q.c, q.d, n.v FROM q JOIN n USING (d, k)),
+u AS (SELECT n.d, n.v, n.m, (n.m - 1) * n.z AS own, p.v AS up FROM n LEFT JOIN w p ON p.c = n.v AND p.d = n.d - 1),
+s AS (SELECT a.v, a.d, sum(b.own) AS saved FROM u b JOIN w a ON a.c = b.v AND a.d <= b.d GROUP BY 1, 2),
+h AS (SELECT up AS v, d - 1 AS d, count(*) AS n FROM u WHERE up IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT w.v, w.d, string_agg(CAST(w.c AS VARCHAR), ',' ORDER BY w.c) AS ids FROM w JOIN (SELECT c, max(d) AS d FROM w GROUP BY 1) USING (c, d) GROUP BY 1, 2),
+b AS (SELECT a.v, a.d, count(*) AS leaves FROM u b LEFT JOIN h ON h.v = b.v AND h.d = b.d JOIN w a ON a.c = b.v AND a.d <= b.d WHERE h.n IS NULL GROUP BY 1, 2)
+SELECT u.v AS conv_id, CAST(u.d AS BIGINT) AS depth, u.up AS parent_conv_id, u.m AS n_convs, coalesce(h.n, 0) AS n_children, b.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM u JOIN s USING (v, d) JOIN b USING (v, d) LEFT JOIN h USING (v, d) LEFT JOIN e USING (v, d)"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_structure_repair")
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_packing")
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return placed.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
