@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import combinations_with_replacement
@@ -51,6 +52,14 @@ PLAIN_CASE = re.compile("[^\x00-\u012f\u0131-\u017f]|<[|]")
 MARKS = ".,!?;:*$#"
 
 
+def _plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # fast, and inside the bound
+    except UnicodeEncodeError:
+        return not PLAIN_CASE.search(text)
+    return "<|" not in text
+
+
 class ChunkEncoder:
     """Ids of texts as packed unsigned 16-bit numbers, remembering the ids of chunks between blanks.
 
@@ -59,40 +68,57 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(f.ids, dtype="<u2").tobytes() for c, f in zip(chunks, found)}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        # the letters of lower-case words below the bound of PLAIN_CASE, as the model spells their bytes
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [chr(c) for c in range(128, 0x180) if chr(c).isalpha()]
+        self.spelling = {ord(c): spelled(c)[0][0] for c in letters}
+        self.model = self.tokenizer.model  # a word of letters is one piece, which normal forms leave alone
+
+    def _ids(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.islower() and (chunk.isascii() or not PLAIN_CASE.search(chunk)):
+            ids = [token.id for token in self.model.tokenize(chunk.translate(self.spelling))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _remembered(self, chunk: str) -> bytes:
+        ids = self.known.get(chunk)
+        if ids is None:
+            ids = self._ids(chunk)
+            if len(chunk) <= REMEMBERED_LENGTH:
+                self.known[chunk] = ids
+        return ids
+
+    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """Ids of chunks that are not remembered."""
-        parts = {}
-        for c in chunks:
-            core = c.rstrip(MARKS)
-            parts[c] = (core, c[len(core) :]) if core[-1:].isalpha() else (c,)
-        known = {p: self.known.get(p) for ps in parts.values() for p in ps}
-        known |= self._encode([p for p, ids in known.items() if ids is None])
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        found = {c: b"".join([known[p] for p in ps]) for c, ps in parts.items()}
-        self.known.update((c, ids) for c, ids in (known | found).items() if len(c) <= REMEMBERED_LENGTH)
+        found = {}
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            if len(core) < len(c) and core[-1:].isalpha():
+                found[c] = self._remembered(core) + self._remembered(c[len(core) :])
+                if len(c) <= REMEMBERED_LENGTH:
+                    self.known[c] = found[c]
+            else:
+                found[c] = self._remembered(c)
         return found
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        plain = [t if PLAIN_CASE.search(t) else t.lower() for t in texts]
+        plain = [t.lower() if _plain(t) else t for t in texts]
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in plain]
         ids = [list(map(self.known.get, chunks)) for chunks in cut]
         new = {c for chunks, found in zip(cut, ids) if None in found for c, i in zip(chunks, found) if i is None}
-        learned = self._learn(list(new)) if new else {}
+        learned = self._learn(new) if new else {}
         return [
             b"".join([learned[c] if i is None else i for c, i in zip(chunks, found)] if None in found else found)
             for chunks, found in zip(cut, ids)
