@@ -1,16 +1,15 @@
-"""Multiple testing, Sharpe statistics, overfitting probability, bootstrap."""
+"""Multiple testing, Sharpe statistics, overfitting probability."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import erfc, normal_cdf
+from panelworks.operators.bootstrap import moving_block_bootstrap, stationary_bootstrap  # noqa: F401
 from panelworks.operators.ranking import ordinal_rank, running_extreme
 from panelworks.session import ensure_checkpoint_dir
 
@@ -214,90 +213,6 @@ def _best_by_choice(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# --- bootstrap -------------------------------------------------------------------------------
-
-
-def moving_block_bootstrap(
-    series: DataFrame, block_length: int = 10, iterations: int = 500, seed: int = 0, confidence: float = 0.95
-) -> DataFrame:
-    """Confidence interval of each series' mean from resampled blocks.
-
-    ``series`` holds ``series_id, position, value``. A series is one array (a
-    time series over the calendar); every iteration of every series is a row, so
-    the resampling spreads over the cluster.
-    """
-    return _bootstrap(series, iterations, confidence, _moving_block_means(block_length, seed), max(4, block_length))
-
-
-def stationary_bootstrap(
-    series: DataFrame, expected_length: float = 10.0, iterations: int = 500, seed: int = 0, confidence: float = 0.95
-) -> DataFrame:
-    """Like the block bootstrap with geometric block lengths on a circle."""
-    return _bootstrap(series, iterations, confidence, _stationary_means(expected_length, seed), 4)
-
-
-def _bootstrap(series: DataFrame, iterations: int, confidence: float, resample, min_length: int) -> DataFrame:
-    arrays = (
-        series.where(F.col("value").isNotNull())
-        .groupBy("series_id")
-        .agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("cells"))
-        .select("series_id", F.transform("cells", lambda c: c["value"]).alias("values"))
-    )
-    id_type = arrays.schema["series_id"].dataType.simpleString()
-    chunk = 50  # iterations per row keep the rows small and the tasks many
-    parts = arrays.where(F.size("values") >= min_length).withColumn(
-        "start", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(chunk)))
-    )
-    parts = parts.withColumn("stop", F.least(F.col("start") + chunk, F.lit(iterations)))
-    estimates = parts.repartition("series_id", "start").mapInPandas(resample, f"series_id {id_type}, estimate double")
-    tail = (1 - confidence) / 2
-    bounds = estimates.groupBy("series_id").agg(
-        F.percentile("estimate", F.lit(tail)).alias("ci_lower"),
-        F.percentile("estimate", F.lit(1 - tail)).alias("ci_upper"),
-        F.count(F.lit(1)).alias("iterations"),
-    )
-    total = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
-    points = arrays.select("series_id", (total / F.size("values")).alias("point_estimate"))
-    return points.join(bounds, "series_id", "left").fillna(0, ["iterations"])
-
-
-def _generator(seed: int, series_id: object, start: int) -> np.random.Generator:
-    key = [seed, start, *str(series_id).encode()]
-    return np.random.default_rng(key)
-
-
-def _moving_block_means(block_length: int, seed: int):
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                values = np.asarray(row.values, dtype=float)
-                rng = _generator(seed, row.series_id, row.start)
-                blocks = -(-len(values) // block_length)
-                starts = rng.integers(0, len(values) - block_length + 1, size=(row.stop - row.start, blocks))
-                index = (starts[:, :, None] + np.arange(block_length)).reshape(len(starts), -1)[:, : len(values)]
-                yield pd.DataFrame({"series_id": row.series_id, "estimate": values[index].mean(axis=1)})
-
-    return resample
-
-
-def _stationary_means(expected_length: float, seed: int):
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                values = np.asarray(row.values, dtype=float)
-                n, times = len(values), row.stop - row.start
-                rng = _generator(seed, row.series_id, row.start)
-                jump = rng.random((times, n)) < 1 / expected_length
-                jump[:, 0] = True
-                fresh = rng.integers(0, n, size=(times, n))
-                steps = np.arange(n)
-                origin = np.maximum.accumulate(np.where(jump, steps, 0), axis=1)
-                index = (np.take_along_axis(fresh, origin, axis=1) + steps - origin) % n
-                yield pd.DataFrame({"series_id": row.series_id, "estimate": values[index].mean(axis=1)})
-
-    return resample
-
-
 # --- a cohort of candidates --------------------------------------------------------------------
 
 

@@ -662,19 +662,66 @@ def overfitting_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(testing.overfitting_probability(matrix, partitions=6, by=["brand"]), 8)
 
 
+_BOOTSTRAPPED = ("mean", "sharpe", "hit_rate", "correlation", "median")
+
+
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials = excess_returns(spark, sf_dir)
-    return trials.select(F.col("trial_id").alias("series_id"), F.col("period").alias("position"), "value")
+    """Every symbol's excess returns, with the day's mean return as companion."""
+    panel = inputs.panel(spark, sf_dir, None)
+    days = panel.groupBy("d").agg(F.avg("ret").alias("companion"))
+    joined = panel.join(F.broadcast(days), "d")  # one row per day
+    excess = (F.col("ret") - F.col("companion")).alias("value")
+    return joined.select(F.col("symbol").alias("series_id"), F.col("d").alias("position"), excess, "companion")
+
+
+# every resampled value is a row here, so the statistics come from plain aggregates
+_VALUES_SQL = """, v AS (SELECT symbol AS id, row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS k, ret - m AS x, m AS y
+  FROM (SELECT *, avg(ret) OVER (PARTITION BY d) AS m FROM panel) WHERE ret IS NOT NULL),
+sz AS (SELECT id, count(*) AS n FROM v GROUP BY 1),
+its AS (SELECT unnest(range(0, 500)) AS it)"""
+
+
+def _draw_sql(part: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5('0:' || id || ':' || it || ':' || j), {1 + 13 * part}, 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+
 
+_SPREAD_SQL = """, st AS (SELECT id, it, avg(x) AS mean, CASE WHEN stddev_samp(x) > 1e-12 THEN avg(x) / stddev_samp(x) END AS sharpe,
+  avg(CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit_rate, corr(x, y) AS correlation, median(x) AS median FROM sm GROUP BY 1, 2),
+lg AS (UNPIVOT st ON mean, sharpe, hit_rate, correlation, median INTO NAME statistic VALUE e)
+SELECT id AS series_id, statistic, round(max(CASE WHEN it < 0 THEN e END), 6) + 0.0 AS point_estimate,
+  round(quantile_cont(CASE WHEN it >= 0 THEN e END, 0.025), 6) + 0.0 AS ci_lower, round(quantile_cont(CASE WHEN it >= 0 THEN e END, 0.975), 6) + 0.0 AS ci_upper,
+  count(*) FILTER (WHERE it >= 0) AS iterations FROM lg GROUP BY 1, 2"""
 
-@query("moving_block_bootstrap")
+
+@query(
+    "moving_block_bootstrap",
+    with_bars(
+        _VALUES_SQL
+        + f""", b AS (SELECT id, it, n, j, CAST(floor({_draw_sql(0)} * (n - 9)) AS BIGINT) AS s, least(10, n - j * 10) AS w
+  FROM (SELECT id, it, n, unnest(range(0, CAST(ceil(n / 10.0) AS BIGINT))) AS j FROM sz, its WHERE n >= 10)),
+e AS (SELECT id, it, s + unnest(range(0, w)) AS k FROM b),
+sm AS (SELECT id, it, x, y FROM e JOIN v USING (id, k) UNION ALL SELECT id, -1, x, y FROM v)"""
+        + _SPREAD_SQL
+    ),
+)
 def moving_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testing.moving_block_bootstrap(_series(spark, sf_dir))
+    return rounded(testing.moving_block_bootstrap(_series(spark, sf_dir), statistics=_BOOTSTRAPPED))
 
 
-@query("stationary_bootstrap")
+@query(
+    "stationary_bootstrap",
+    with_bars(
+        _VALUES_SQL
+        + f""", b AS (SELECT id, it, n, j, CAST(floor({_draw_sql(0)} * n) AS BIGINT) AS s, CAST(floor(ln(1 - {_draw_sql(1)}) / ln(1 - 1 / 10.0::DOUBLE)) AS BIGINT) + 1 AS w
+  FROM (SELECT id, it, n, unnest(range(0, n)) AS j FROM sz, its WHERE n >= 4)),
+f AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY id, it ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM b),
+e AS (SELECT id, it, (s + unnest(range(0, CAST(least(w, n - done) AS BIGINT)))) % n AS k FROM f WHERE done < n),
+sm AS (SELECT id, it, x, y FROM e JOIN v USING (id, k) UNION ALL SELECT id, -1, x, y FROM v)"""
+        + _SPREAD_SQL
+    ),
+)
 def stationary_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testing.stationary_bootstrap(_series(spark, sf_dir))
+    return rounded(testing.stationary_bootstrap(_series(spark, sf_dir), statistics=_BOOTSTRAPPED))
 
 
 @query(
