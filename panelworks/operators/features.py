@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from panelworks.functions.elementwise import finite
 from panelworks.functions.rolling import Rolling
 from panelworks.functions.scalar import clip
-from panelworks.operators.ranking import ordinal_rank
-from panelworks.session import GROUP_ROWS_PER_TASK
+from panelworks.operators.quantiles import exact_quantiles
 
 # Fixed value: keeps ratios over a zero range finite.
 EPS = 1e-8
@@ -203,55 +202,19 @@ def seal_quality(features: DataFrame, optional: Sequence[str] = OPTIONAL) -> Dat
     return features.withColumn("quality_mask", F.col("quality_mask") * complete.cast("double"))
 
 
-def _quartiles_by_rank(rows: DataFrame, columns: Sequence[str], tie: Sequence[str], n_rows: int, limit: int) -> DataFrame:
-    """Exact quartiles of every column from the rows at the needed positions.
-
-    One long ranking serves all columns; a column's values may span any number
-    of tasks, and only six rows per column leave the ranking.
-    """
-    long = rows.unpivot(list(tie), list(columns), "name", "value").where(F.col("value").isNotNull())
-    counts = long.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))  # one row per column
-    ranked = ordinal_rank(long, ["name"], ["value", *tie], "_k", n_rows, limit).join(F.broadcast(counts), "name")
-    shares = (0.25, 0.5, 0.75)
-    at = [(F.col("_n") - 1) * q for q in shares]
-    ends = [end for a in at for end in (F.floor(a), F.ceil(a))]
-    picked = ranked.where((F.col("_k") - 1).isin(*ends))
-    parts = []
-    for i, a in enumerate(at):
-        low = F.max(F.when(F.col("_k") - 1 == F.floor(a), F.col("value")))
-        high = F.max(F.when(F.col("_k") - 1 == F.ceil(a), F.col("value")))
-        parts.append((low + (high - low) * F.max(a - F.floor(a))).alias(f"q{i}"))
-    return picked.groupBy("name").agg(*parts)
-
-
-def fit_scaler(
-    rows: DataFrame,
-    columns: Sequence[str],
-    n_rows: int,
-    tie: Sequence[str] = ("symbol", "trading_date"),
-    floor: float = 1e-6,
-    limit: int = GROUP_ROWS_PER_TASK,
-) -> DataFrame:
+def fit_scaler(rows: DataFrame, columns: Sequence[str] = CONTINUOUS, floor: float = 1e-6) -> DataFrame:
     """Median and robust scale per column, one row: ``<name>_median, <name>_scale``.
 
-    Percentiles are exact. Spark's own aggregate keeps every distinct value in
-    one buffer, so beyond ``limit`` rows (``n_rows`` is the known bound) they come
-    from distributed ranks. A column without data gets 0 and 1.
+    Quartiles are exact. A column without data gets 0 and 1.
     """
-    if n_rows <= limit:
-        shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        quartiles = rows.agg(*[F.percentile(name, shares).alias(name) for name in columns])
-    else:
-        by_name = _quartiles_by_rank(rows, columns, tie, n_rows, limit)
-        quartiles = by_name.agg(
-            *[F.max(F.when(F.col("name") == name, F.array("q0", "q1", "q2"))).alias(name) for name in columns]
-        )
-    parts = []
+    quartiles = exact_quantiles(rows, columns, (0.25, 0.5, 0.75))
+    cells = {}
     for name in columns:
-        spread = (F.col(name)[2] - F.col(name)[0]) / 1.349
-        parts.append(F.coalesce(F.col(name)[1], F.lit(0.0)).alias(f"{name}_median"))
-        parts.append(F.when(spread > floor, spread).otherwise(1.0).alias(f"{name}_scale"))
-    return quartiles.select(*parts)
+        low, middle, high = quartiles[name]
+        spread = 0.0 if middle is None else (high - low) / 1.349
+        cells[f"{name}_median"] = 0.0 if middle is None else middle
+        cells[f"{name}_scale"] = spread if spread > floor else 1.0
+    return rows.sparkSession.createDataFrame([tuple(cells.values())], ", ".join(f"{c} double" for c in cells))
 
 
 def apply_scaler(features: DataFrame, scaler: DataFrame, columns: Sequence[str] = CONTINUOUS, limit: float = 8.0) -> DataFrame:

@@ -184,7 +184,12 @@ SPLIT = dataset.TimeSplit(
     (date(1998, 9, 1), date(2000, 3, 31)),
     (date(2000, 6, 1), date(2001, 12, 31)),
 )
-_SCALED = ("ret_1", "volume_ratio_20", "realized_vol_20", "turnover")
+_SCALED = ft.CONTINUOUS
+
+
+def _spread_sql(c: str) -> str:
+    spread = f"(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349"
+    return f"CASE WHEN {spread} > 1e-6 THEN {spread} ELSE 1 END"
 
 
 @query(
@@ -193,7 +198,7 @@ _SCALED = ("ret_1", "volume_ratio_20", "realized_vol_20", "turnover")
         FEATURES_SQL
         + "SELECT "
         + ", ".join(
-            f"round(quantile_cont({c}, 0.5), 6) + 0.0 AS {c}_median, round((quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349, 6) AS {c}_scale"
+            f"round(coalesce(quantile_cont({c}, 0.5), 0), 6) + 0.0 AS {c}_median, round({_spread_sql(c)}, 6) AS {c}_scale"
             for c in _SCALED
         )
         + " FROM feats WHERE trading_date BETWEEN DATE '1995-01-01' AND DATE '1998-06-30'"
@@ -203,7 +208,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = ft.build_features(prepared_bars(spark, sf_dir)).where(
         dataset.split_of(F.col("trading_date"), SPLIT) == "train"
     )
-    return rounded(ft.fit_scaler(train, _SCALED, inputs.bar_rows(sf_dir)))
+    return rounded(ft.fit_scaler(train, _SCALED))
 
 
 @query(
@@ -212,7 +217,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         FEATURES_SQL
         + ", s AS (SELECT "
         + ", ".join(
-            f"quantile_cont({c}, 0.5) AS {c}_m, (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349 AS {c}_s" for c in _SCALED
+            f"coalesce(quantile_cont({c}, 0.5), 0) AS {c}_m, {_spread_sql(c)} AS {c}_s" for c in _SCALED
         )
         + " FROM feats WHERE trading_date BETWEEN DATE '1995-01-01' AND DATE '1998-06-30') SELECT symbol, trading_date, "
         + ", ".join(_seal(f"greatest(-8, least(8, coalesce(({c} - {c}_m) / {c}_s, 0)))", c) for c in _SCALED)
@@ -222,7 +227,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scaler_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ft.build_features(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *_SCALED)
     train = made.where(dataset.split_of(F.col("trading_date"), SPLIT) == "train")
-    return sealed(ft.apply_scaler(made, ft.fit_scaler(train, _SCALED, inputs.bar_rows(sf_dir)), _SCALED))
+    return sealed(ft.apply_scaler(made, ft.fit_scaler(train, _SCALED), _SCALED))
 
 
 @query(
@@ -372,19 +377,17 @@ def spaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- audits ----------------------------------------------------------------------------------------
 
-_AUDITED = (("ret_1", "range_position", "volume_ratio_20", "log1p_volume"), ("trend_direction", "percent_b", "volume_expansion", "close_ma5_distance"))
+_AUDITED = ((*ft.CONTINUOUS, *ft.STATES), tuple(lb.LABELS))
 
 
 def audited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from functools import reduce
-
     bars = prepared_bars(spark, sf_dir)
     x = ft.build_features(bars).select("symbol", "trading_date", *[F.col(c).alias(f"f_{c}") for c in _AUDITED[0]])
     y = lb.build_labels(bars).select("symbol", "trading_date", *[F.col(c).alias(f"l_{c}") for c in _AUDITED[1]])
     joined = x.join(y, ["symbol", "trading_date"])
     planted = joined.withColumn("l_planted", 3 * F.col("f_ret_1") + 2)
     names = [c for c in planted.columns if c[:2] in ("f_", "l_")]
-    filled = reduce(lambda df, c: df.withColumn(c, F.coalesce(c, F.lit(0.0))), names, planted)
+    filled = planted.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     return filled.withColumn("row_id", F.concat_ws("|", "symbol", "trading_date"))
 
 
@@ -397,7 +400,7 @@ _X, _Y = [f"f_{c}" for c in _AUDITED[0]], [f"l_{c}" for c in _AUDITED[1]] + ["l_
         FEATURES_SQL
         + LABELS_SQL[len(PREPARED_SQL):]
         + ", j AS (SELECT row_number() OVER (ORDER BY symbol, trading_date) - 1 AS i, count(*) OVER () AS n, "
-        + ", ".join(f"coalesce(feats.{c}, 0) AS f_{c}" for c in _AUDITED[0])
+        + ", ".join(f"coalesce(feats.{c}, 0)::DOUBLE AS f_{c}" for c in _AUDITED[0])
         + ", "
         + ", ".join(f"coalesce(labs.{c}, 0)::DOUBLE AS l_{c}" for c in _AUDITED[1])
         + ", coalesce(3 * feats.ret_1 + 2, 0) AS l_planted FROM feats JOIN labs USING (symbol, trading_date))"
@@ -412,8 +415,10 @@ _X, _Y = [f"f_{c}" for c in _AUDITED[0]], [f"l_{c}" for c in _AUDITED[1]] + ["l_
         + """ INTO NAME target VALUE y)),
 rx AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM lx),
 ry AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY y) + (count(*) OVER (PARTITION BY target, y) - 1) / 2.0::DOUBLE AS r FROM ly)
-SELECT feature, target, round(corr(x, y), 5) + 0.0 AS pearson, round(corr(rx.r, ry.r), 5) + 0.0 AS spearman, round(avg(CASE WHEN x = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS exact_equality_rate,
- abs(corr(x, y)) > 0.9999 AND regr_r2(y, x) > 0.9999 AS violation FROM rx JOIN ry USING (i) GROUP BY 1, 2"""
+SELECT feature, target, round(p, 5) + 0.0 AS pearson, round(s, 5) + 0.0 AS spearman, round(e, 6) AS exact_equality_rate, abs(p) > 0.9999 AND p * p > 0.9999 AS violation
+FROM (SELECT feature, target, CASE WHEN var_pop(x) <= 1e-15 OR var_pop(y) <= 1e-15 THEN 0 ELSE covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END AS p,
+  CASE WHEN var_pop(rx.r) <= 1e-15 OR var_pop(ry.r) <= 1e-15 THEN 0 ELSE covar_pop(rx.r, ry.r) / sqrt(var_pop(rx.r) * var_pop(ry.r)) END AS s,
+  avg(CASE WHEN x = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS e FROM rx JOIN ry USING (i) GROUP BY 1, 2)"""
     ),
 )
 def shortcut_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from panelworks.functions import scalar
 from panelworks.operators import audits, dataset, diagnostics, evaluate, formulas, neighbors, neutralize, selection, splits, testing
 from panelworks.operators import features as ft
 from panelworks.operators import grid, labels, ranking, seeds
+from panelworks.operators.quantiles import exact_quantiles
 
 
 def panel_of(spark, matrix, name="close"):
@@ -336,13 +337,38 @@ def test_causality_audit_catches_a_planted_leak(spark):
     assert not got["leak"].passed and got["leak"].value_violations > 0
 
 
-def test_large_scaler_fit_equals_small(spark):
+def test_scaler_fit_equals_numpy(spark):
     rows = ft.build_features(bars_frame(spark, n=60))
     names = ["ret_1", "volume_ratio_5", "realized_vol_60", "turnover"]
-    small = ft.fit_scaler(rows, names, n_rows=10).first()
-    large = ft.fit_scaler(rows, names, n_rows=120, limit=10).first()
-    np.testing.assert_allclose(list(small), list(large), rtol=1e-12)
-    assert small.realized_vol_60_scale == 1.0
+    fitted = ft.fit_scaler(rows, names).first()
+    for name in names:
+        values = [r[0] for r in rows.select(name).collect() if r[0] is not None]
+        low, middle, high = np.quantile(values, [0.25, 0.5, 0.75]) if values else (0.0, 0.0, 0.0)
+        scale = (high - low) / 1.349
+        assert fitted[f"{name}_median"] == pytest.approx(middle, rel=1e-12)
+        assert fitted[f"{name}_scale"] == pytest.approx(scale if scale > 1e-6 else 1.0, rel=1e-12)
+    assert fitted.realized_vol_60_scale == 1.0
+
+
+@pytest.mark.parametrize("ordered, accuracy", [(200_000, 10_000), (5, 20), (1, 3)])
+def test_exact_quantiles_of_ties_tails_and_gaps(spark, ordered, accuracy):
+    rng = np.random.default_rng(2)
+    columns = {
+        "normal": rng.normal(size=3000),
+        "ties": np.where(rng.random(3000) < 0.6, 0.0, rng.integers(-3, 4, 3000)),
+        "tail": np.exp(rng.normal(size=3000) * 12),
+        "one": np.full(3000, 7.0),
+        "gaps": np.where(rng.random(3000) < 0.9, np.nan, rng.normal(size=3000)),
+        "none": np.full(3000, np.nan),
+    }
+    frame = [tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*columns.values())]
+    rows = spark.createDataFrame(frame, ", ".join(f"{c} double" for c in columns))
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = exact_quantiles(rows, list(columns), shares, ordered, accuracy)
+    assert got.pop("none") == [None] * len(shares)
+    for name, found in got.items():
+        values = columns[name][~np.isnan(columns[name])]
+        np.testing.assert_allclose(found, np.quantile(values, shares), rtol=1e-12, atol=1e-300)
 
 
 @pytest.mark.parametrize("n_trials, n_periods", [(1, 20), (3, 3), (4, 5), (6, 8), (5, 21)])
