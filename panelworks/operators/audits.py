@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelworks.operators.dataset import evenly_spaced
 from panelworks.operators.prepare import normal_draw
 from panelworks.operators.ranking import average_ranks_by_value, ordinal_rank
+from panelworks.session import ensure_checkpoint_dir
 
 # Fixed values of the audits.
 SHORTCUT_LIMIT = 0.9999
@@ -135,26 +136,35 @@ def causality_cases(bars: DataFrame, total_rows: int, cases: int = 500, minimum:
     return chosen.select(case.alias("case_id"), "symbol", "cutoff", (case % 5).cast("int").alias("mode"))
 
 
-def perturbed_bars(bars: DataFrame, cases: DataFrame, columns: Sequence[str] = PERTURBED) -> DataFrame:
-    """One copy of a case's symbol per case, with all rows after the cutoff changed.
+#: Rows before and after a cutoff that a case rebuilds: more than the longest window of features and labels.
+CONE = (256, 64)
 
-    Modes: scaled up, scaled down (turnover kept), reversed, noisy, shuffled.
-    The case table is small (its size is a parameter), each copy is one symbol.
+
+def cones(bars: DataFrame, cases: DataFrame, back: int = CONE[0], ahead: int = CONE[1]) -> DataFrame:
+    """The rows around every case's cutoff: what a rolling window can carry a later change to, and the later rows.
+
+    The case table is small (its size is a parameter) and a case takes at most ``back + ahead + 1`` rows,
+    however long its symbol is.
     """
-    names = [c for c in columns if c in bars.columns]
     ordered = Window.partitionBy("symbol").orderBy("trading_date")
-    placed = bars.withColumn("position", F.row_number().over(ordered) - 1)
-    copies = placed.join(F.broadcast(cases), "symbol")
+    placed = bars.withColumn("position", F.row_number().over(ordered) - 1).alias("p")
+    near = F.col("position").between(F.col("cutoff") - back, F.col("cutoff") + ahead)
+    return placed.join(F.broadcast(cases.alias("c")), (F.col("p.symbol") == F.col("c.symbol")) & near).drop(F.col("c.symbol"))
+
+
+def perturbed_bars(copies: DataFrame, columns: Sequence[str] = PERTURBED) -> DataFrame:
+    """Cases' rows with everything after the cutoff changed.
+
+    Modes: scaled up, scaled down (turnover kept), reversed, noisy, shuffled.
+    """
+    names = [c for c in columns if c in copies.columns]
     future = F.col("position") > F.col("cutoff")
-    by_case = Window.partitionBy("case_id", future)
-    key = (
-        F.when(F.col("mode") == 2, -F.col("position"))
-        .when(F.col("mode") == 4, F.xxhash64("case_id", "position"))
-        .otherwise(F.col("position"))
-    )
+    place = F.when(F.col("mode") == 2, -F.col("position")).when(F.col("mode") == 4, F.lit(0)).otherwise(F.col("position"))
+    draw = F.when(F.col("mode") == 4, F.md5(F.concat_ws(":", F.col("case_id").cast("string"), F.col("position").cast("string"))))
+    by_case = Window.partitionBy("case_id").orderBy(place, draw, "position")
     moved = copies.where(future).select(
         "case_id",
-        (F.col("cutoff") + F.row_number().over(by_case.orderBy(key, "position"))).alias("position"),
+        (F.col("cutoff") + F.row_number().over(by_case)).alias("position"),
         *[F.col(c).alias(f"_{c}") for c in names],
     )
     joined = copies.join(moved, ["case_id", "position"], "left")
@@ -177,24 +187,30 @@ def causality_audit(
     builders: dict[str, Callable[..., DataFrame]],
     rtol: float = 1e-5,
     atol: float = 1e-8,
+    back: int = CONE[0],
+    ahead: int = CONE[1],
 ) -> DataFrame:
-    """Per case and builder: rows up to the cutoff whose values or gaps changed."""
-    copies = perturbed_bars(bars, cases)
-    cutoffs = copies.where(F.col("position") == F.col("cutoff")).select("case_id", "symbol", F.col("trading_date").alias("_cut"))
+    """Per case and builder: rows up to the cutoff whose values or gaps changed.
+
+    Both sides are built from the same rows around the cutoff, so a difference comes from the later rows alone.
+    """
+    ensure_checkpoint_dir(bars.sparkSession)
+    copies = cones(bars, cases, back, ahead).checkpoint()  # cases x cone rows, built twice by every builder
+    cutoffs = copies.where(F.col("position") == F.col("cutoff")).select("case_id", "mode", F.col("trading_date").alias("_cut"))
     reports = []
     for name, build in builders.items():
-        base = build(bars, by=("symbol",))
-        columns = [c for c in base.columns if c not in ("symbol", "trading_date")]
-        after = build(copies, by=("case_id",)).join(F.broadcast(cutoffs), "case_id")
-        after = after.where(F.col("trading_date") <= F.col("_cut"))
-        joined = after.alias("a").join(base.alias("b"), ["symbol", "trading_date"])
+        before, after = build(copies, by=("case_id",)), build(perturbed_bars(copies), by=("case_id",))
+        columns = [c for c in before.columns if c not in ("case_id", "trading_date")]
+        joined = after.alias("a").join(before.alias("b"), ["case_id", "trading_date"]).join(F.broadcast(cutoffs), "case_id")
         gap, moved = F.lit(False), F.lit(False)
         for c in columns:
             a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
             gap = gap | (a.isNull() != b.isNull())
             moved = moved | F.coalesce(F.abs(a - b) > atol + rtol * F.abs(b), F.lit(False))
         reports.append(
-            joined.groupBy("case_id").agg(
+            joined.where(F.col("trading_date") <= F.col("_cut"))
+            .groupBy("case_id", "mode")
+            .agg(
                 F.lit(name).alias("builder"),
                 F.count(F.lit(1)).alias("rows_checked"),
                 F.count_if(moved).alias("value_violations"),
@@ -207,11 +223,12 @@ def causality_audit(
     return combined
 
 
-def causality_summary(report: DataFrame) -> DataFrame:
+def causality_summary(report: DataFrame, by: Sequence[str] = ("builder",)) -> DataFrame:
     """Violating cases per builder; an audit without cases does not pass."""
     bad = (F.col("value_violations") > 0) | (F.col("validity_violations") > 0)
-    return report.groupBy("builder").agg(
+    return report.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases"),
+        F.sum("rows_checked").alias("rows_checked"),
         F.count_if(F.col("value_violations") > 0).alias("value_violations"),
         F.count_if(F.col("validity_violations") > 0).alias("validity_violations"),
         (F.count_if(bad) == 0).alias("passed"),

@@ -427,17 +427,47 @@ def shortcut_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.select(*columns), 5, exact_equality_rate=6)
 
 
-_CASES_SQL = """SELECT 'features' AS builder, 60::BIGINT AS cases, 0::BIGINT AS value_violations, 0::BIGINT AS validity_violations, count(*) > 60 AS passed FROM bars
-UNION ALL SELECT 'labels', 60::BIGINT, 0::BIGINT, 0::BIGINT, count(*) > 60 FROM bars"""
+_CASES = 500
 
 
-@query("causality_audit", with_bars(_CASES_SQL))
-def causality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features and labels must not react to any change of later bars."""
+def next_close(rows: DataFrame, by=("symbol",)) -> DataFrame:
+    """A builder that looks one row ahead, for the audit to find."""
+    from pyspark.sql import Window
+
+    ahead = F.lead("close").over(Window.partitionBy(*by).orderBy("trading_date"))
+    return rows.select(*by, "trading_date", ahead.alias("next_close"))
+
+
+# causal builders must not react; the planted one sees what the first later row became
+_CASES_SQL = f""", r AS (SELECT symbol, trading_date, close, row_number() OVER (PARTITION BY symbol ORDER BY trading_date) - 1 AS p, count(*) OVER (PARTITION BY symbol) AS m FROM bars),
+u AS (SELECT *, row_number() OVER (ORDER BY symbol, trading_date) - 1 AS k, count(*) OVER () AS n FROM r WHERE p < m - 1),
+ks AS (SELECT DISTINCT k FROM (SELECT unnest(list_append(list_transform(range(0, {_CASES - 1}), lambda i: CAST(floor(i * ((n - 1) / {_CASES - 1}.0::DOUBLE)) AS BIGINT)), n - 1)) AS k FROM (SELECT DISTINCT n FROM u))),
+c AS (SELECT symbol, p AS cutoff, m, k, k % 5 AS mode, least(p, {audits.CONE[0]}) + 1 AS rows FROM u WHERE n <= {_CASES} OR k IN (SELECT k FROM ks)),
+f AS (SELECT c.*, r.p, r.close, CASE mode WHEN 2 THEN -r.p WHEN 4 THEN 0 ELSE r.p END AS o, CASE WHEN mode = 4 THEN md5(concat_ws(':', k, r.p)) END AS q
+  FROM c JOIN r ON r.symbol = c.symbol AND r.p BETWEEN cutoff + 1 AND cutoff + {audits.CONE[1]}),
+h AS (SELECT k, any_value(mode) AS mode, any_value(rows) AS rows, arg_min(close, p) AS b, first(close ORDER BY o, q, p) AS a FROM f GROUP BY 1),
+l AS (SELECT mode, rows, abs(a * CASE mode WHEN 0 THEN 1000 WHEN 1 THEN 0.01 WHEN 3 THEN 3 ELSE 1 END - b) > 1e-8 + 1e-5 * abs(b) AS bad FROM h),
+s AS (SELECT unnest(['features', 'labels']) AS builder, mode, rows, FALSE AS bad FROM l UNION ALL SELECT 'next_close', mode, rows, bad FROM l)
+SELECT builder, count(*) AS cases, CAST(sum(rows) AS BIGINT) AS rows_checked, count(*) FILTER (WHERE bad) AS value_violations, 0::BIGINT AS validity_violations, count(*) FILTER (WHERE bad) = 0 AS passed FROM s"""
+
+
+def _causality(spark: SparkSession, sf_dir: str, modes: tuple[int, ...]) -> DataFrame:
     bars = prepared_bars(spark, sf_dir)
-    cases = audits.causality_cases(bars, inputs.bar_rows(sf_dir), cases=60)
-    report = audits.causality_audit(bars, cases, {"features": ft.build_features, "labels": lb.build_labels})
-    return audits.causality_summary(report)
+    cases = audits.causality_cases(bars, inputs.bar_rows(sf_dir), cases=_CASES).where(F.col("mode").isin(*modes))
+    builders = {"features": ft.build_features, "labels": lb.build_labels, "next_close": next_close}
+    return audits.causality_summary(audits.causality_audit(bars, cases, builders))
+
+
+@query("causality_audit", with_bars(_CASES_SQL + " GROUP BY 1"))
+def causality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and labels must not react to any change of later bars; a builder that looks ahead must."""
+    return _causality(spark, sf_dir, (0, 1, 2, 3, 4))
+
+
+@query("future_invariance", with_bars(_CASES_SQL + " WHERE mode = 0 GROUP BY 1"))
+def future_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases whose later bars are a thousand times larger."""
+    return _causality(spark, sf_dir, (0,))
 
 
 @query("price_scale_invariance")
