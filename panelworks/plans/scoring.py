@@ -375,3 +375,17 @@ def classification_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs_by_name = {"embedding": "vector", "random": "random", "raw": "raw"}
     return rounded(neighbors.probe_suite(probe_rows(spark, sf_dir), inputs_by_name, ["label", "is_even"], inputs.embedding_rows(sf_dir)))
+
+
+@query(
+    "probe_gram",
+    """WITH p AS (SELECT label::DOUBLE AS label, (label % 2)::DOUBLE AS is_even, embedding AS vector, CASE WHEN row_number() OVER (ORDER BY vec_id) <= least(greatest(1, floor(count(*) OVER () * 0.8)), greatest(1, count(*) OVER () - 1)) THEN 'train' ELSE 'test' END AS part FROM embeddings),
+t AS (SELECT row_number() OVER () AS i, label, is_even, list_transform(vector[1:8], lambda v: v::DOUBLE) AS v FROM p WHERE part = 'train'),
+x AS (SELECT i, 'label' AS target, list_concat(v, [1.0::DOUBLE, label]) AS r FROM t UNION ALL SELECT i, 'is_even', list_concat(v, [1.0::DOUBLE, is_even]) FROM t),
+c AS (SELECT i, target, len(r) AS n, generate_subscripts(r, 1) - 1 AS k, unnest(r) AS v FROM x)
+SELECT 'raw' AS input, a.target, CAST(a.k * a.n + b.k AS INTEGER) AS cell, round(sum(a.v * b.v), 4) + 0.0 AS value FROM c a JOIN c b USING (i, target) GROUP BY a.target, a.n, a.k, b.k""",
+)
+def probe_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums from which the linear probes of the suite are solved."""
+    train = probe_rows(spark, sf_dir).where(F.col("part") == "train")
+    return rounded(neighbors.probe_grams(train, ["raw"], ["label", "is_even"]), 4)

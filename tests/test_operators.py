@@ -274,6 +274,44 @@ def test_linear_probe_matches_ridge(spark):
     np.testing.assert_allclose(got, np.linalg.solve(d.T @ d + 1e-3 * np.eye(4), d.T @ y), atol=1e-9)
 
 
+def test_probe_suite_fits_every_pair_from_its_own_rows(spark):
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(size=(120, 3)), rng.normal(size=(120, 2))
+    a, b = x @ [1.0, -2.0, 0.5] + 0.1 * rng.normal(size=120), z[:, 0] + rng.normal(size=120)
+    rows = [
+        (x[i].tolist(), z[i].tolist(), float(a[i]), None if i % 7 == 0 else float(b[i]), "train" if i < 90 else "test")
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "x array<double>, z array<double>, a double, b double, part string")
+    got = {(r["input"], r["target"]): r for r in neighbors.probe_suite(df, {"first": "x", "second": "z"}, ["a", "b"], 120).collect()}
+    assert len(got) == 4
+    for (name, target), row in got.items():
+        vectors, values = {"first": x, "second": z}[name], {"a": a, "b": b}[target]
+        known = np.array([target == "a" or i % 7 != 0 for i in range(120)])
+        train, test = known & (np.arange(120) < 90), known & (np.arange(120) >= 90)
+        d = np.column_stack([vectors, np.ones(120)])
+        w = np.linalg.solve(d[train].T @ d[train] + 1e-3 * np.eye(d.shape[1]), d[train].T @ values[train])
+        predicted = d[test] @ w
+        assert row.pearson == pytest.approx(np.corrcoef(predicted, values[test])[0, 1], abs=1e-9)
+        assert row.mae == pytest.approx(np.abs(predicted - values[test]).mean(), abs=1e-9)
+
+
+def test_softmax_probe_equals_plain_gradient_steps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4))
+    y = np.argmax(x[:, :3] + 0.5 * rng.normal(size=(150, 3)), axis=1)
+    w, bias = np.random.default_rng(42).normal(0, 0.01, (4, 3)), np.zeros(3)
+    for _ in range(8):
+        p = np.exp(x @ w + bias)
+        error = p / p.sum(axis=1, keepdims=True) - np.eye(3)[y]
+        w, bias = w - 0.05 * x.T @ error / 150, bias - 0.05 * error.mean(axis=0)
+    df = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y)], "vector array<double>, target int").repartition(3)
+    got = neighbors.fit_classification_probe(df, 3, steps=8)
+    np.testing.assert_allclose(got, np.vstack([w, bias]), atol=1e-9)
+    report = neighbors.classification_probe(df, df, 3, steps=8).first()
+    assert report.accuracy == pytest.approx((np.argmax(x @ w + bias, axis=1) == y).mean())
+
+
 def test_evenly_spaced_is_linspace(spark):
     for n, k in ((100, 7), (64, 64), (29036, 500), (5, 9), (357, 128)):
         got = [r.id for r in spark.range(n).where(dataset.evenly_spaced(F.col("id"), F.lit(n), k)).orderBy("id").collect()]
