@@ -31,6 +31,8 @@ from panelworks.llm.linking import connected, shared_buckets
 EDITS = 2
 MIN_WORDS = 5
 CHARS_PER_EDIT = 10
+#: lines of one block of a bucket
+BLOCK = 64
 #: a word, then blanks and a word again
 WORDY = rf"^\S+(\s+\S+){{{MIN_WORDS - 1}}}"
 
@@ -61,43 +63,65 @@ def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(number) > short, 1).otherwise(0)).cast("int")
 
 
-def segment_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
-    """Hashes (some NULL) of the own segments and of the substrings where a shorter line's segments may stand.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift): where segment ``number`` of a line shorter by ``less`` may stand.
 
-    A segment i of a line shorter by ``less`` is looked for at a shift of at most i - 1 from its place
-    counted from the left, and of at most edits + 1 - i counted from the right.
+    It is looked for at a shift of at most number - 1 from its place counted from the left, and of at most
+    edits + 1 - number counted from the right. Unshifted places at equal length are a line's own segments.
     """
-    keys = []
+    found = []
     for less in range(edits + 1):
-        length = size - less
         for number in range(1, edits + 2):
-            start, span = _segment(length, number, edits)
             lowest = max(-(number - 1), less - (edits + 1 - number))
             highest = min(number - 1, less + (edits + 1 - number))
-            for shift in range(lowest, highest + 1):
-                inside = (start + shift >= 1) & (start + shift + span - 1 <= size) & (length > edits)
-                part = F.substring(line, start + shift, span)
-                keys.append(F.when(inside, F.xxhash64(length, F.lit(number), part)))
-    # the segments themselves are the unshifted places at equal length
+            found += [(less, number, shift) for shift in range(lowest, highest + 1)]
+    return found
+
+
+def segment_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
+    """Hashes (some NULL) of the own segments and of the substrings where a shorter line's segments may stand."""
+    keys = []
+    for less, number, shift in _places(edits):
+        length = size - less
+        start, span = _segment(length, number, edits)
+        inside = (start + shift >= 1) & (start + shift + span - 1 <= size) & (length > edits)
+        keys.append(F.when(inside, _bucket(F.lit(edits), length, F.lit(number), F.substring(line, start + shift, span))))
     return F.array(*keys)
 
 
+def _bucket(edits: Column, length: Column, number: Column, part: Column) -> Column:
+    return F.xxhash64(edits, length, number, part)
+
+
+def bucket_rows(lines: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
+    """(bucket, key) of ``lines`` (key, line, size): ``segment_buckets`` at each number of edits that may hold for a
+    pair of the line. The places are rows of a constant, so that one short expression hashes them all."""
+    levels = range(1, edits + 1) if every_line else (edits,)
+    places = [(e, *p) for e in levels for p in _places(e)]
+    names = ("edits", "less", "number", "shift")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, place)]) for place in places])
+    own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
+    rows = lines.withColumn("own", own).select("key", "line", "size", "own", F.explode(table).alias("p"))
+    rows = rows.select("key", "line", "size", "own", *[F.col(f"p.{n}").alias(n) for n in names])
+    # pairs of a number below this line's own have a short line in them
+    e, size = F.col("edits"), F.col("size")
+    rows = rows.where((F.col("own") == e) | (F.col("own") > e) & (size < CHARS_PER_EDIT * (e + 1) + e))
+    length, parts = size - F.col("less"), e + 1
+    base, number = F.floor(length / parts).cast("int"), F.col("number")
+    short = parts - length % parts
+    start = base * (number - 1) + F.greatest(F.lit(0), number - 1 - short) + 1 + F.col("shift")
+    span = base + F.when(number > short, 1).otherwise(0)
+    rows = rows.withColumns({"length": length, "start": start.cast("int"), "span": span.cast("int")})
+    rows = rows.where((F.col("length") > e) & (F.col("start") >= 1) & (F.col("start") + F.col("span") - 1 <= size))
+    part = F.substring(F.col("line"), F.col("start"), F.col("span"))
+    return rows.select(_bucket(e, F.col("length"), number, part).alias("bucket"), "key")
+
+
 def own_edits(line: Column, size: Column, edits: int = EDITS) -> Column:
     """The edits within which a line is close to others; of two lines the smaller number holds."""
     return F.when(line.rlike(WORDY), edits).otherwise(F.least(F.lit(edits), F.floor(size / CHARS_PER_EDIT).cast("int")))
 
 
-def all_buckets(line: Column, size: Column, edits: int = EDITS) -> Column:
-    """Buckets at each number of edits that may hold for a pair of the line."""
-    own = own_edits(line, size, edits)
-    parts = []
-    for e in range(1, edits + 1):
-        # pairs of a number below this line's own have a short line in them
-        wanted = (own == e) | (own > e) & (size < CHARS_PER_EDIT * (e + 1) + e)
-        parts.append(F.when(wanted, segment_buckets(line, size, e)).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*parts)
-
-
 def may_be_close(a: Column, b: Column, size: Column, edits: int = EDITS) -> Column:
     """A necessary condition that costs a few comparisons: of ``3 * edits`` pieces of one line each edit
     spoils at most one, and every other piece stands in the other line, shifted by at most ``edits``."""
@@ -113,8 +137,8 @@ def may_be_close(a: Column, b: Column, size: Column, edits: int = EDITS) -> Colu
     return found >= parts - edits
 
 
-def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
-    """The rows whose two lines, each longer than ``edits``, differ by at most ``edits`` edits.
+def edit_distance(edits: int = EDITS):
+    """A function of two lines (each longer than ``edits``): their distance, or more than ``edits``.
 
     Banded and bit-parallel: bit k of every vector stands for the cell in row column + k - edits, so the
     band moves down the diagonal with the columns. The distance is followed along the lower rim of
@@ -168,27 +192,62 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFr
         start = F.struct(long(full ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("far"))
         return F.aggregate(F.sequence(F.lit(0), F.size(two) - 1), start, step)["far"]
 
-    # bound once per pair: the optimiser would repeat a plain column's split at every step
-    chars = F.struct(F.split(a, "").alias("one"), F.split(b, "").alias("two"), F.length(a).alias("rows"))
+    def of(a: Column, b: Column) -> Column:
+        # bound once per pair: the optimiser would repeat a plain column's split at every step
+        return let(F.struct(F.split(a, "").alias("one"), F.split(b, "").alias("two"), F.length(a).alias("rows")), distance)
+
+    return of
+
+
+def within_edits(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
+    """The rows whose two lines, each longer than ``edits``, differ by at most ``edits`` edits."""
     close = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits)
     close = close.withColumn("_size", F.length(a)).where(may_be_close(F.col(a), F.col(b), F.col("_size"), edits))
-    return close.where(let(chars, distance) <= edits).drop("_size")
+    return close.where(edit_distance(edits)(F.col(a), F.col(b)) <= edits).drop("_size")
 
 
-def linked_lines(pairs: DataFrame, lines: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
-    """The pairs (a, b) of line keys within ``edits`` edits, or within those of their own."""
-    wanted = kept(pairs)
-    keys = kept(wanted.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = kept(lines.join(broadcast_if_small(keys), "key", "left_semi").select("key", "line").distinct())
-    both = wanted.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
+def linked_lines(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The pairs (a, b) of line keys within the edits that hold for both; ``texts``: (key, line, own)."""
+    side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("own").alias(f"own_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     close = within_edits(both, "line_a", "line_b", edits)
-    if every_line:
-        own = F.least(*[own_edits(F.col(c), F.length(c), edits) for c in ("line_a", "line_b")])
-        close = close.where((own >= edits) | (F.levenshtein("line_a", "line_b") <= own))
+    own = F.least("own_a", "own_b")
+    close = close.where((own >= edits) | (edit_distance(edits)(F.col("line_a"), F.col("line_b")) <= own))
     return close.select("a", "b")
 
 
+def linked_in_blocks(placed: DataFrame, texts: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+    """The linked pairs (a, b) of different components in every bucket of ``placed`` (bucket, key, component).
+
+    The members of a bucket are dealt to blocks of about ``block`` lines; two blocks meet in one row, which
+    emits its linked pairs alone. So a bucket of n lines makes n / block rows of each block, dealt to all tasks,
+    and no row per pair.
+    """
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("open"))
+    members = placed.join(sizes.where("open").drop("open"), "bucket").join(texts, "key")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
+    held = F.collect_list(F.struct("key", "component", "line", "own", F.length("line").alias("size")))
+    packed = kept(dealt.groupBy("bucket", "blocks", "block").agg(held.alias("members")))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = packed.select("bucket", F.col("block").alias("low"), F.explode(F.filter(every, lambda i: i >= F.col("block"))).alias("high"), F.col("members").alias("ours"))
+    second = packed.select("bucket", F.explode(F.filter(every, lambda i: i <= F.col("block"))).alias("low"), F.col("block").alias("high"), F.col("members").alias("theirs"))
+    met = first.join(second, ["bucket", "low", "high"])
+    distance = edit_distance(edits)
+
+    def linked(x: Column, y: Column) -> Column:
+        once = (F.col("low") != F.col("high")) | (x["key"] < y["key"])
+        apart = (x["component"] != y["component"]) & (F.abs(x["size"] - y["size"]) <= F.least(x["own"], y["own"]))
+        near = may_be_close(x["line"], y["line"], x["size"], edits)
+        return once & apart & near & (distance(x["line"], y["line"]) <= F.least(x["own"], y["own"]))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(F.greatest(x["key"], y["key"]).alias("a"), F.least(x["key"], y["key"]).alias("b"))
+
+    found = F.flatten(F.transform("ours", lambda x: F.transform(F.filter("theirs", lambda y: linked(x, y)), lambda y: pair(x, y))))
+    return met.select(F.explode(found).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
 def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
     lines = lines_of(docs, every_line).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))})
@@ -198,10 +257,15 @@ def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     )
     distinct = kept(distinct)
     texts = lines.select("line").distinct().select("line", F.xxhash64("line").alias("key"), F.length("line").alias("size"))
-    cut = all_buckets if every_line else segment_buckets
-    buckets = texts.select(F.explode(cut(F.col("line"), F.col("size"), edits)).alias("bucket"), "key")
-    members = kept(shared_buckets(buckets.where("bucket IS NOT NULL")))
-    found = connected(members, lambda pairs: linked_lines(pairs, lines.select("line", "key"), edits, every_line))
+    members = kept(shared_buckets(bucket_rows(texts, edits, every_line)))
+    found = None
+    if members.limit(1).count():
+        keys = members.select("key").distinct()
+        own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
+        near = kept(texts.join(keys, "key", "left_semi").select("key", "line", own.alias("own")))
+        found = connected(
+            members, lambda pairs: linked_lines(pairs, near, edits), lambda placed: linked_in_blocks(placed, near, edits)
+        )
     if found is None:
         placed = distinct.withColumn("component", F.concat(F.lit("d"), F.hex("digest")))
     else:

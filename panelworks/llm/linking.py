@@ -5,7 +5,7 @@ values, a line segment). In each round the members of a bucket meet one leader;
 linked members become one component. While buckets hold members of different
 components, further rounds take other leaders; once few enough pairs of
 different components are left, or after ``MAX_ROUNDS`` rounds, all of them are
-tested. So every pair that shares a bucket is tested or already connected.
+tested, block against block. So every pair that shares a bucket is tested or already connected.
 """
 
 from __future__ import annotations
@@ -70,19 +70,13 @@ def _open_pairs(placed: DataFrame) -> int:
     return int(per_bucket.agg(F.sum((F.col("n") ** 2 - F.col("inside")) / 2)).first()[0] or 0)
 
 
-def _all_open_pairs(placed: DataFrame) -> DataFrame:
-    """Every pair of different components in a bucket that is still open."""
-    opened = placed.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("open")).where("open")
-    rest = placed.join(opened, "bucket")
-    one = rest.select("bucket", F.col("key").alias("a"), F.col("component").alias("component_a"))
-    two = rest.select("bucket", F.col("key").alias("b"), F.col("component").alias("component_b"))
-    return one.join(two, "bucket").where("a > b AND component_a <> component_b").select("a", "b").distinct()
-
-
-def connected(members: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def connected(
+    members: DataFrame, link: Callable[[DataFrame], DataFrame], link_all: Callable[[DataFrame], DataFrame]
+) -> DataFrame | None:
     """(key, component) of linked keys, or None where no bucket is shared.
 
-    ``members`` holds (bucket, key), materialised; ``link`` keeps the pairs (a, b) that are linked.
+    ``members`` holds (bucket, key), materialised; ``link`` keeps the pairs (a, b) that are linked; ``link_all`` gives the
+    linked pairs among all of different components in a bucket of (bucket, key, component).
     """
     found, links, turn = None, None, 0
     bound = 4 * members.count()
@@ -92,7 +86,7 @@ def connected(members: DataFrame, link: Callable[[DataFrame], DataFrame]) -> Dat
         if not rest:
             return found
         last = turn > 0 and (rest <= bound or turn >= MAX_ROUNDS)
-        new = kept(link(_all_open_pairs(placed) if last else _leader_pairs(placed, turn)))
+        new = kept(link_all(kept(placed)) if last else link(_leader_pairs(placed, turn)))
         links = new if links is None else links.union(new)
         found = components(links)
         if last:

@@ -82,9 +82,9 @@ f AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1)
 SELECT doc_id, class_id, coalesce(n, 0) AS n_links, class_size FROM c JOIN k USING (class_id) LEFT JOIN f USING (doc_id)"""
 
 LINES_SQL = r"""WITH RECURSIVE o AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-l AS (SELECT doc_id, line_no, lower(trim(raw)) AS line FROM o WHERE regexp_matches(lower(trim(raw)), '^\S+(\s+\S+){4}')),
-u AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first, row_number() OVER (ORDER BY line) AS id FROM l GROUP BY line),
-e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id WHERE levenshtein(a.line, b.line) <= 2),
+l AS (SELECT doc_id, line_no, lower(trim(raw)) AS line FROM o WHERE regexp_matches(lower(trim(raw)), '\S')),
+u AS (SELECT line, length(line) AS n, CASE WHEN regexp_matches(line, '^\S+(\s+\S+){4}') THEN 2 ELSE least(2, length(line) // 10) END AS own, row_number() OVER (ORDER BY line) AS id FROM l GROUP BY line),
+e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id WHERE least(a.own, b.own) > 0 AND levenshtein(a.line, b.line) <= least(a.own, b.own)),
 r AS (SELECT id, id AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
 c AS (SELECT id, min(root) AS class FROM r GROUP BY 1),
 m AS (SELECT doc_id, line_no, class FROM l JOIN u USING (line) JOIN c USING (id)),
@@ -100,7 +100,7 @@ def ngram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_dedup", LINES_SQL)
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), every_line=True)
 
 
 @query("op8_pii")
