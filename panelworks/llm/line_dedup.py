@@ -31,8 +31,8 @@ from panelworks.llm.linking import connected, shared_buckets
 EDITS = 2
 MIN_WORDS = 5
 CHARS_PER_EDIT = 10
-#: lines of one block of a bucket
-BLOCK = 64
+#: lines of a bucket that meet in pairs, and of one block of a larger bucket
+PAIRED, BLOCK = 16, 64
 #: a word, then blanks and a word again
 WORDY = rf"^\S+(\s+\S+){{{MIN_WORDS - 1}}}"
 
@@ -216,17 +216,32 @@ def linked_lines(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> Data
     return close.select("a", "b")
 
 
-def linked_in_blocks(placed: DataFrame, texts: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+def linked_in_buckets(placed: DataFrame, texts: DataFrame, edits: int = EDITS, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """The linked pairs (a, b) of different components in every bucket of ``placed`` (bucket, key, component).
 
+    Buckets of at most ``paired`` lines make pairs, fewer than ``paired`` / 2 for each line; pairs of several buckets are
+    tested once. Larger buckets are compared block against block.
+    """
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("open"))
+    opened = kept(placed.join(sizes.where("open").drop("open"), "bucket"))
+    small = opened.where(F.col("n") <= paired)
+    one = small.select("bucket", F.col("key").alias("a"), F.col("component").alias("component_a"))
+    two = small.select("bucket", F.col("key").alias("b"), F.col("component").alias("component_b"))
+    pairs = one.join(two, "bucket").where("a > b AND component_a <> component_b").select("a", "b").distinct()
+    found = linked_lines(pairs, texts, edits)
+    large = opened.where(F.col("n") > paired)
+    return found.union(linked_in_blocks(large, texts, edits, block)) if large.limit(1).count() else found
+
+
+def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
+    """The linked pairs (a, b) of different components in every bucket of ``members`` (bucket, key, component, n).
+
     The members of a bucket are dealt to blocks of about ``block`` lines; two blocks meet in one row, which
     emits its linked pairs alone. So a bucket of n lines makes n / block rows of each block, dealt to all tasks,
     and no row per pair.
     """
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("open"))
-    members = placed.join(sizes.where("open").drop("open"), "bucket").join(texts, "key")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
+    dealt = members.join(texts, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
     held = F.collect_list(F.struct("key", "component", "line", "own", F.length("line").alias("size")))
     packed = kept(dealt.groupBy("bucket", "blocks", "block").agg(held.alias("members")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -264,7 +279,7 @@ def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
         own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
         near = kept(texts.join(keys, "key", "left_semi").select("key", "line", own.alias("own")))
         found = connected(
-            members, lambda pairs: linked_lines(pairs, near, edits), lambda placed: linked_in_blocks(placed, near, edits)
+            members, lambda pairs: linked_lines(pairs, near, edits), lambda placed: linked_in_buckets(placed, near, edits)
         )
     if found is None:
         placed = distinct.withColumn("component", F.concat(F.lit("d"), F.hex("digest")))

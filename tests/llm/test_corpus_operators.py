@@ -173,6 +173,25 @@ def test_banded_distance_and_buckets(spark, edits):
     assert close.where(~F.arrays_overlap(one, two)).count() == 0
 
 
+def test_variants_of_one_long_line_meet_without_pair_rows(spark, monkeypatch):
+    rng = random.Random(21)
+    base = words(rng, 12)
+    rows = []
+    for i in range(400):  # one third of the line is common; the rest differs by many edits, or by one in every tenth
+        own = base[:6] + [f"v{rng.randrange(10**7)}" for _ in range(6)]
+        rows.append((2 * i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(own) + "s"))
+    want = {d: d - d % 2 for d, _ in rows if d % 20 in (0, 1)}  # random variants are far apart
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for paired, block in ((16, 64), (1, 7)):
+        small = lambda placed, texts, edits, p=paired, b=block, f=line_dedup.linked_in_buckets: f(placed, texts, edits, p, b)
+        with monkeypatch.context() as patch:
+            patch.setattr(line_dedup, "linked_in_buckets", small)
+            got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame).collect()}
+        assert got == want and len(want) == 80
+
+
 def test_lines_of_odd_tables(odd_docs, no_docs):
     left = line_dedup.without_repeated_lines(odd_docs)
     assert left.columns == odd_docs.columns and line_dedup.line_classes(no_docs).count() == 0
