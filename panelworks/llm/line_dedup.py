@@ -241,8 +241,10 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
     and no row per pair.
     """
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.join(texts, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
-    held = F.collect_list(F.struct("key", "component", "line", "own", F.length("line").alias("size")))
+    # at most one bucket for each place of a segment; a pair is tested in the first bucket that both lines have
+    shared = members.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
+    dealt = members.join(texts, "key").join(shared, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
+    held = F.collect_list(F.struct("key", "component", "line", "own", "buckets", F.length("line").alias("size")))
     packed = kept(dealt.groupBy("bucket", "blocks", "block").agg(held.alias("members")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = packed.select("bucket", F.col("block").alias("low"), F.explode(F.filter(every, lambda i: i >= F.col("block"))).alias("high"), F.col("members").alias("ours"))
@@ -253,8 +255,9 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
     def linked(x: Column, y: Column) -> Column:
         once = (F.col("low") != F.col("high")) | (x["key"] < y["key"])
         apart = (x["component"] != y["component"]) & (F.abs(x["size"] - y["size"]) <= F.least(x["own"], y["own"]))
+        first_met = F.col("bucket") == F.array_min(F.array_intersect(x["buckets"], y["buckets"]))
         near = may_be_close(x["line"], y["line"], x["size"], edits)
-        return once & apart & near & (distance(x["line"], y["line"]) <= F.least(x["own"], y["own"]))
+        return once & apart & first_met & near & (distance(x["line"], y["line"]) <= F.least(x["own"], y["own"]))
 
     def pair(x: Column, y: Column) -> Column:
         return F.struct(F.greatest(x["key"], y["key"]).alias("a"), F.least(x["key"], y["key"]).alias("b"))
