@@ -1,16 +1,29 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut at block-level tags. The first pass decides blocks by where they
-stand (menus, headers, footers, sidebars, notices, adverts, forms and comments
-are never text) and by length, link density and stop-word density. Short blocks
-that stay open inherit, in the second pass, the label of the nearest decided
-neighbour. Inside an ``article`` or ``main`` element the rules only throw out
-lists of links, so that odd but genuine paragraphs stay; a page with such an
-element takes no text from elsewhere.
+A page is cut at block-level tags. The first pass decides blocks by link density,
+length and stop-word density; short and undecided ones inherit, in the second
+pass, the label of the nearest decided neighbour. Where a block stands shifts
+the thresholds and does not replace them:
+
+* ``for``: inside an ``article`` or ``main`` element that holds at least half of
+  the page's good text; half the lengths and stop words are enough, and a block
+  without decided neighbours there stays;
+* ``apart``: outside of such an element; twice the length is needed;
+* ``doubt``: inside it, in an element whose class is a soft hint (search, tags,
+  legal ...); the common thresholds hold and short blocks go;
+* ``against``: a soft hint elsewhere, or an ``article`` that does not hold most of
+  the good text (a card); only long blocks full of stop words stay;
+* ``none``: everything else.
+
+No density tells a reader comment, a notice or an advert from an article, so
+their elements and classes (``never``) lose their text whatever it looks like.
 
 Defined results: NULL and empty pages give an empty text; unclosed and stray
 tags are tolerated; an unclosed script, style or comment swallows the rest of
-the page, as in a browser. Everything is a map over pages.
+the page, as in a browser; very long pages take time and memory in proportion to
+their length; repeated pages give equal rows; other columns, whatever their
+names, are not read. A block as near to a good as to a bad one follows the
+earlier, a heading the later one. Everything is a map over pages.
 """
 
 from __future__ import annotations
@@ -47,11 +60,15 @@ OUTSIDE = frozenset(
     "head title nav aside footer form menu dialog select button textarea label fieldset noscript iframe template".split()
 )
 RAW = "script|style|noscript|template|svg|iframe|textarea|object|canvas"
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|footer|side-?bar|aside|ads?|advert\w*|"
+# Words of class and id names. The first never hold article text, the second may.
+FIRM = re.compile(
+    r"(?:^|[\s_-])(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|footer|side-?bar|aside|ads?|advert\w*|"
     r"sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|sign-?up|"
-    r"log-?in|comments?|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|widget|toolbar|"
-    r"pagination|pager|copyright|legal|disclaimer|tags?|byline-links|skip|search)(?:$|[\s_-])",
+    r"log-?in|comments?|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+SOFT = re.compile(
+    r"(?:^|[\s_-])(?:header|widget|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|byline-links|skip|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -65,58 +82,64 @@ WORD = re.compile(r"[^\W\d_]+")
 
 LONG, MEDIUM = 200, 70
 STOPS_HIGH, STOPS_LOW = 0.30, 0.15
-LINKS_MOST = 0.5
+LINKS_MOST, LINKS_ALL = 0.5, 0.9
+NEVER, DOUBTED = 2, 1
+SENTENCE_ENDS = (".", "!", "?", "…", ":", "。", "！", "？", '"', "”", "»")
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    zone: str  # "outside", "article" or "open"
+    force: int  # NEVER, DOUBTED or 0, of the elements around
+    article: bool
     heading: bool
     item: bool
-    label: str = ""
 
 
-def _outside(name: str, attrs: str, in_article: bool) -> bool:
-    """Does an element, by its name, role or class, hold no article text?"""
+def _force(name: str, attrs: str, in_article: bool) -> int:
+    """What an element says against its text, by its name, role or class."""
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return NEVER
     if not attrs or name in ("html", "body", "article", "main"):
         # the whole page or the article is never thrown out for a word among its classes, comments are
-        return name == "article" and bool(re.search(r"\bcomment", attrs, re.IGNORECASE))
+        return NEVER if name == "article" and re.search(r"\bcomment", attrs, re.IGNORECASE) else 0
+    force = 0
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and HINTS.search(value):
-            return True
+        if key in ("class", "id"):
+            if FIRM.search(value):
+                return NEVER
+            force = max(force, DOUBTED if SOFT.search(value) else 0)
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return NEVER
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return NEVER
+    return force
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each throws its content out
-    outside = articles = links = headings = items = 0
+    stack: list[tuple[str, int]] = []  # open elements and what each says against its text
+    forces = [0, 0, 0]
+    articles = links = headings = items = 0
     pieces: list[str] = []
     linked = 0
 
     def close() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                zone = "outside" if outside else "article" if articles else "open"
-                found.append(Block(text, linked, zone, headings > 0, items > 0))
+                force = NEVER if forces[NEVER] else DOUBTED if forces[DOUBTED] else 0
+                found.append(Block(text, linked, force, articles > 0, headings > 0, items > 0))
             pieces.clear()
         linked = 0
 
-    def count(name: str, out: bool, by: int) -> None:
-        nonlocal outside, articles, links, headings, items
-        outside += by * out
+    def count(name: str, force: int, by: int) -> None:
+        nonlocal articles, links, headings, items
+        forces[force] += by
         articles += by * (name in ("article", "main"))
         links += by * (name == "a")
         headings += by * (len(name) == 2 and name[0] == "h" and name[1] in "123456")
@@ -127,6 +150,7 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             part = token.group()
             if token["raw"] is None and (part[0] != "<" or part == "<"):
+                part = html.unescape(part)  # a reference ends where a tag begins
                 pieces.append(part)
                 if links:
                     linked += len(part.strip())
@@ -139,8 +163,8 @@ def blocks_of(page: str) -> list[Block]:
         if token["end"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    for gone, out in stack[depth:]:
-                        count(gone, out, -1)
+                    for gone, force in stack[depth:]:
+                        count(gone, force, -1)
                     del stack[depth:]
                     break
         elif name not in VOID and not token["attrs"].endswith("/"):
@@ -150,57 +174,82 @@ def blocks_of(page: str) -> list[Block]:
                 # a paragraph ends open paragraphs, with what is left open in them
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth][0] == "p":
-                        for gone, out in stack[depth:]:
-                            count(gone, out, -1)
+                        for gone, force in stack[depth:]:
+                            count(gone, force, -1)
                         del stack[depth:]
                         break
                     if stack[depth][0] in BLOCKS:
                         break
-            out = _outside(name, token["attrs"], articles > 0)
-            stack.append((name, out))
-            count(name, out, 1)
+            force = _force(name, token["attrs"], articles > 0)
+            stack.append((name, force))
+            count(name, force, 1)
     close()
     return found
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    """good, bad, or near/short where the neighbours decide."""
-    if block.zone == "outside":
-        return "bad"
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    density = block.linked / len(block.text)
+def first_pass(block: Block, standing: str) -> tuple[str, str]:
+    """(good, bad, near or short; what decided). Near and short blocks are for the neighbours to decide."""
     size = len(block.text)
-    if block.zone == "article":
-        if density > 0.9 and block.item:
-            return "bad"
-        return "good" if block.heading or size >= MEDIUM or stops >= STOPS_LOW or density <= LINKS_MOST else "short"
-    if has_article:
-        return "bad"
-    if density > LINKS_MOST:
-        return "bad"
-    if "©" in block.text:
-        return "bad"
+    density = block.linked / size
+    if density > LINKS_MOST and standing != "for" or density > LINKS_ALL and block.item:
+        return "bad", "links"
+    if standing == "never":
+        return "bad", "element"
+    if density > LINKS_MOST and not block.heading:
+        return "short", "links"
     if size < MEDIUM:
-        return "short"
-    if stops >= STOPS_HIGH:
-        return "good" if size > LONG else "near"
-    if stops >= STOPS_LOW:
-        return "near"
-    return "bad" if size < LONG else "near"
+        if standing in ("doubt", "against") or "©" in block.text and standing != "for":
+            return "bad", "length"
+        return "short", "length"
+    words = WORD.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    long = LONG * {"for": 0.5, "apart": 2.0}.get(standing, 1.0)
+    high, low = (x * (0.5 if standing == "for" else 1.0) for x in (STOPS_HIGH, STOPS_LOW))
+    if stops >= high and size > long:
+        return "good", "density"
+    if standing in ("apart", "against"):
+        return "bad", "density"
+    # of few stop words: a long list of names, or a table of figures; inside the article its neighbours decide
+    return ("near" if stops >= low or size >= long or standing == "for" else "bad"), "density"
+
+
+def standings(blocks: list[Block]) -> list[str]:
+    """Where each block stands; an article counts as such if at least half of the good text is in it."""
+    inside = outside = 0
+    for block in blocks:
+        if not block.force and first_pass(block, "none")[0] in ("good", "near"):
+            inside += len(block.text) * block.article
+            outside += len(block.text) * (not block.article)
+    trusted = any(b.article for b in blocks) and inside >= outside
+
+    def standing(block: Block) -> str:
+        if block.force == NEVER:
+            return "never"
+        if not trusted:
+            return "against" if block.article or block.force else "none"
+        if block.force:
+            return "doubt" if block.article else "against"
+        return "for" if block.article else "apart"
 
+    return [standing(b) for b in blocks]
 
-def second_pass(labels: list[str], blocks: list[Block]) -> list[str]:
-    """Open blocks take the label of the nearest decided block; near ones lean to good."""
+
+def second_pass(labels: list[str], blocks: list[Block], stand: list[str]) -> list[str]:
+    """Open blocks take the label of the nearest decided block; near ones lean to good.
+
+    Inside the article only its own blocks are neighbours, so that a menu before or a footer after it decides nothing.
+    """
     n = len(labels)
+    within = [s in ("for", "doubt") for s in stand]
 
     def nearest(order: range) -> list[tuple[str, int]]:
-        seen, at, out = "", 0, [("", 0)] * n
+        seen, at, out = ["", ""], [0, 0], [("", 0)] * n
         for i in order:
-            out[i] = (seen, at)
-            at += len(blocks[i].text)
+            own = within[i]
+            out[i] = (seen[own], at[own])
+            at = [x + len(blocks[i].text) for x in at]
             if labels[i] in ("good", "bad"):
-                seen, at = labels[i], 0
+                seen[own], at[own] = labels[i], 0
         return out
 
     before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
@@ -210,10 +259,14 @@ def second_pass(labels: list[str], blocks: list[Block]) -> list[str]:
             final.append(label)
             continue
         (b, far_b), (a, far_a) = before[i], after[i]
-        if label == "near" and "good" in (a, b, "" if a or b else "good"):
+        if stand[i] == "for" and label == "short" and "good" not in (a, b):
+            # no text of the article is near: a caption between lists of links goes, anything else stays
+            between = a == b == "bad" and not blocks[i].heading and not blocks[i].text.endswith(SENTENCE_ENDS)
+            final.append("bad" if between else "good")
+        elif label == "near" and ("good" in (a, b) or stand[i] == "for" or not a and not b):
             final.append("good")
         elif a == b or not a or not b:
-            final.append(a or b or ("good" if label == "near" else "bad"))
+            final.append(a or b or "bad")
         elif blocks[i].heading:
             final.append(a)  # a heading belongs to what follows
         else:
@@ -224,8 +277,9 @@ def second_pass(labels: list[str], blocks: list[Block]) -> list[str]:
 def main_text(page: str) -> str:
     """The article of one page as one line."""
     blocks = blocks_of(page)
-    has_article = any(b.zone == "article" for b in blocks)
-    labels = second_pass([first_pass(b, has_article) for b in blocks], blocks)
+    stand = standings(blocks)
+    first = [first_pass(b, s)[0] for b, s in zip(blocks, stand, strict=True)]
+    labels = second_pass(first, blocks, stand)
     return " ".join(b.text for b, label in zip(blocks, labels, strict=True) if label == "good")
 
 

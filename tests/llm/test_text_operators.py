@@ -1,9 +1,11 @@
 """Encoding, extraction, spans and fingerprints against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import public_tokenizers
 import tiktoken
@@ -64,6 +66,132 @@ def test_main_text_without_article():
     assert html_text.main_text(page) == " ".join(f"About it {body} And more. {body}".split())
 
 
+BODY = (
+    "The engineers said that the bridge was in need of repair and that it would be closed to all of the traffic for the "
+    "rest of the year, as the cost of the work is not known to the council or to the public at this time."
+)
+
+
+def test_where_a_block_stands_shifts_the_rules_but_does_not_decide():
+    card = "<article><p>Read more of our stories today, a short teaser.</p></article>"
+    assert html_text.main_text(f"<body><div><p>{BODY}</p><p>{BODY}</p></div>{card}</body>") == f"{BODY} {BODY}"
+    page = f"<article><p>{BODY}</p><div class='search tag'><p>{BODY}</p></div><p>{BODY}</p></article>"
+    assert html_text.main_text(page) == f"{BODY} {BODY} {BODY}"
+    assert html_text.main_text(f"<div><p>© 2020 {BODY}</p></div>") == f"© 2020 {BODY}"
+    assert html_text.main_text(f"<div id='page' class='has-sidebar'><p>{BODY}</p></div>") == BODY
+    assert html_text.main_text(f"<p>{BODY}</p><div class='comments'><p>{BODY}</p></div>") == BODY
+    assert html_text.main_text(f"<p>&am<b>p;</b> {BODY}</p>") == f"&amp; {BODY}"
+
+
+def test_most_blocks_of_the_pages_are_decided_by_the_block_rules(spark):
+    decided = {"element": 0, "rules": 0}
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        blocks = html_text.blocks_of(row.html or "")
+        for block, stand in zip(blocks, html_text.standings(blocks), strict=True):
+            by = html_text.first_pass(block, stand)[1]
+            decided["element" if by == "element" else "rules"] += 1
+    assert decided["rules"] > 4 * decided["element"] > 0
+
+
+def _plain_blocks(page):
+    """Blocks of a well-formed page by the library parser: every piece of text with the path of its elements."""
+    found, path, pieces = [], [], []
+
+    class Walk(HTMLParser):
+        def close_block(self):
+            text = " ".join("".join(t for t, _ in pieces).split())
+            if text:
+                names = [n for n, _ in path]
+                classes = [c for _, c in path]
+                force = 0
+                for k, (n, c) in enumerate(path):
+                    if n in ("nav", "footer", "aside") or n == "header" and not set(names[:k]) & {"article", "main"} or c in ("comments", "ad"):
+                        force = 2
+                if not force and set(classes) & {"tags", "search"}:
+                    force = 1
+                linked = sum(len(t.strip()) for t, a in pieces if a)
+                article = bool(set(names) & {"article", "main"})
+                found.append(html_text.Block(text, linked, force, article, bool(set(names) & {"h1", "h2"}), "li" in names))
+            pieces.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("a", "b"):
+                self.close_block()
+            path.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                self.close_block()
+            path.pop()
+
+        def handle_data(self, data):
+            pieces.append((data, "a" in [n for n, _ in path]))
+
+    Walk().feed(page)
+    return found
+
+
+def _plain_labels(blocks):
+    """The second pass by looking at every other block."""
+    stand = html_text.standings(blocks)
+    first = [html_text.first_pass(b, s)[0] for b, s in zip(blocks, stand, strict=True)]
+    within = [s in ("for", "doubt") for s in stand]
+    final = []
+    for i, label in enumerate(first):
+        if label in ("good", "bad"):
+            final.append(label)
+            continue
+        decided = [j for j, x in enumerate(first) if x in ("good", "bad") and within[j] == within[i]]
+        far = {j: sum(len(b.text) for b in blocks[min(i, j) + 1 : max(i, j)]) for j in decided}
+        below, above = [j for j in decided if j < i], [j for j in decided if j > i]
+        sides = [max(below)] if below else []
+        sides += [min(above)] if above else []
+        labels = {first[j] for j in sides}
+        if stand[i] == "for" and label == "short" and "good" not in labels:
+            lost = len(sides) == 2 and not blocks[i].heading and blocks[i].text[-1] not in '.!?…:。！？"”»'
+            final.append("bad" if lost else "good")
+        elif label == "near" and ("good" in labels or stand[i] == "for" or not sides):
+            final.append("good")
+        elif not sides:
+            final.append("bad")
+        elif blocks[i].heading:
+            final.append(first[sides[-1]])
+        else:
+            final.append(first[min(sides, key=lambda j: (far[j], j > i))])
+    return [b.text for b, x in zip(blocks, final, strict=True) if x == "good"]
+
+
+def test_main_text_equals_a_plain_walk(spark):
+    draw = random.Random(3)
+    words = (BODY + " Zug Haus Baum rot blau grün &amp; 12 34 &eacute;t&eacute; x").split()
+    texts = set()
+    for _ in range(400):
+
+        def leaf():
+            inner = " ".join(draw.choices(words, k=draw.choice((1, 3, 8, 15, 30, 60))))
+            if draw.random() < 0.3:
+                inner = f"{inner} <a href='x'>{' '.join(draw.choices(words, k=draw.choice((1, 4, 20))))}</a>"
+            tag = draw.choice(("p", "p", "p", "h2", "li", "div"))
+            return f"<{tag}>{inner}</{tag}>"
+
+        def tree(depth):
+            if depth == 0 or draw.random() < 0.4:
+                return leaf()
+            tag = draw.choice(("div", "section", "article", "main", "nav", "footer", "aside", "header", "div class='tags'", "div class='comments'", "div class='ad'", "div class='search'"))
+            return f"<{tag}>{''.join(tree(depth - 1) for _ in range(draw.randint(1, 4)))}</{tag.split()[0]}>"
+
+        page = "".join(tree(3) for _ in range(draw.randint(1, 6)))
+        want = " ".join(_plain_labels(_plain_blocks(page)))
+        assert html_text.main_text(page) == want
+        texts.add(want)
+    assert len(texts) > 200
+
+
+def test_very_long_page():
+    page = "<main>" + f"<p>{BODY}</p><ul><li><a href='x'>more</a></li></ul>" * 20_000 + "</main>"
+    assert html_text.main_text(page) == " ".join([BODY] * 20_000)
+
+
 def test_extract_handles_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<script>never closed"), (4, "u", "a < b &am &#x41; <!-- open"), (4, "u", PAGE)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
