@@ -33,6 +33,22 @@ def broadcast_if_small(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
 
 
+def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted names, each led by underscores until no column has it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 

@@ -10,8 +10,8 @@ unigram model. Per iteration every partition runs the scaled forward-backward
 recursion over its texts and emits expected counts (states x symbols numbers,
 whatever the size of the input); Spark adds them and the driver normalises.
 
-Word counts cover all training texts and stay distributed: the ``LOOKUP`` most
-frequent words travel with the tasks, all others meet their counts in a join.
+Word counts cover all training texts and stay distributed: at most ``LOOKUP`` of
+the most frequent words travel with the tasks, all others meet their counts in a join.
 
 Defined results: NULL and empty texts consist of the end alone; a NULL
 ``doc_id`` is never learned from and not held out; repeated rows are learned
@@ -36,6 +36,8 @@ from panelworks.llm.common import batches, kept, remainder, whole_text
 STATES, ITERATIONS = 8, 5
 OWN, SHARED = 4_096, 1_024
 LOOKUP = 65_536
+#: classes of counts in each doubling, for the bound of the most frequent words
+COUNT_CLASSES = 64
 #: Weight, in tokens, of the corpus-wide symbol shares in each state.
 PRIOR = 200.0
 STAY = 0.9
@@ -89,9 +91,25 @@ class Lexicon:
     types: int
 
 
+def frequent(counts: DataFrame, most: int = LOOKUP) -> DataFrame:
+    """The most frequent words, at most ``most``: whole classes of nearly equal counts (exactly equal ones below 64).
+
+    The bound comes from a histogram of at most a few thousand classes, so no task sends its own top to the driver.
+    """
+    level = F.floor(F.log2("n") * COUNT_CLASSES)
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    lowest, held = None, 0
+    for r in sizes:
+        held += r["count"]
+        if held > most:
+            break
+        lowest = r.level
+    return counts.where(F.lit(False) if lowest is None else level >= lowest)
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(LOOKUP).collect()
+    top = sorted(frequent(counts.where(F.length("word") > 0)).collect(), key=lambda r: (-r.n, bytes(r.word)))
     ends = counts.where(F.length("word") == 0).first()
     n_end = ends.n if ends else 0
     own = {bytes(r.word): k for k, r in enumerate(top[: OWN - 1], start=1)}

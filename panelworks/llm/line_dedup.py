@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import broadcast_if_small, kept, whole_text
+from panelworks.llm.common import broadcast_if_small, column, free_names, kept, whole_text
 from panelworks.llm.linking import connected, shared_buckets
 
 EDITS = 2
@@ -316,13 +316,14 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, every_line: bool
 
     Documents that had no text to begin with stay.
     """
-    gone = _classes(docs, edits, every_line).where("NOT stays").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("_gone"))
-    gone = kept(gone).withColumnsRenamed({"doc_id": "_doc_id", "of": "_of"})
-    mine = docs["doc_id"].eqNullSafe(gone["_doc_id"]) & (text_digest() == gone["_of"])
+    gone_lines, of_id, of_text = free_names(docs.columns, "_gone", "_doc_id", "_of")
+    gone = _classes(docs, edits, every_line).where("NOT stays").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias(gone_lines))
+    gone = kept(gone).withColumnsRenamed({"doc_id": of_id, "of": of_text})
+    mine = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_digest() == F.col(of_text))
     joined = docs.join(gone, mine, "left")
-    kept_lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
+    kept_lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone_lines, i))
+    text = F.when(F.col(gone_lines).isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
     changed = joined.withColumn("text", text)
-    left = F.col("_gone").isNull() | (F.length(F.trim("text")) > 0)
-    return changed.where(left).select([F.col(f"`{c}`") for c in docs.columns])
+    left = F.col(gone_lines).isNull() | (F.length(F.trim("text")) > 0)
+    return changed.where(left).select([column(c) for c in docs.columns])
 

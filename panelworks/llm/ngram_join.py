@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import arrow_batch, batches, broadcast_if_small, kept, mixed, span_hashes, word_spans
+from panelworks.llm.common import arrow_batch, batches, broadcast_if_small, column, free_names, kept, mixed, span_hashes, word_spans
 from panelworks.llm.linking import components, shared_buckets
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -291,8 +291,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.col("digest").alias("_key"), named.alias("_id"), is_first.alias("first"), "count"
     )
     several = kept(placed.where("NOT first OR count > 1"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    at = docs.select(*own, F.unhex(F.md5(normal_text("text"))).alias("_key"), named.alias("_id"))
-    alone = at.join(broadcast_if_small(several.select("_key", "_id")), ["_key", "_id"], "left_anti")
-    repeated = at.join(broadcast_if_small(several.where("first").select("_key", "_id")), ["_key", "_id"], "left_semi")
-    return alone.select(*own).union(repeated.dropDuplicates(["_key", "_id"]).select(*own))
+    own = [column(c) for c in docs.columns]
+    names = free_names(docs.columns, "_key", "_id")
+    several = several.select(*[F.col(c).alias(n) for c, n in zip(("_key", "_id"), names, strict=True)], "first")
+    at = docs.select(*own, F.unhex(F.md5(normal_text("text"))).alias(names[0]), named.alias(names[1]))
+    alone = at.join(broadcast_if_small(several.select(*names)), names, "left_anti")
+    repeated = at.join(broadcast_if_small(several.where("first").select(*names)), names, "left_semi")
+    return alone.select(*own).union(repeated.dropDuplicates(names).select(*own))

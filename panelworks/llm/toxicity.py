@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelworks.llm.common import batches, broadcast_if_small, kept, remainder, whole_text
+from panelworks.llm.common import batches, broadcast_if_small, column, free_names, kept, remainder, whole_text
 
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
@@ -148,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     total = clean + toxic
     draw = F.xxhash64("doc_id", F.lit("fit"))
     sample = rows if total <= fit_rows else rows.where(F.pmod(draw, F.lit(total)) < fit_rows)
-    fitted = sample.mapInArrow(features, "features binary, toxic int").limit(fit_rows).collect()
+    found = sample.mapInArrow(features, "features binary, toxic int")
+    # the draw may exceed the bound a little: which rows go, and their order, is the same in every run
+    fitted = found.orderBy(F.xxhash64("features"), "features", "toxic").limit(fit_rows).collect()
     active = [np.frombuffer(r.features, dtype=np.int32) for r in fitted]
     w, b = _logistic(active, [r.toxic for r in fitted], ratio, prior)
     weights[bins] = (w * ratio).astype(np.float32)
@@ -190,17 +193,17 @@ def score(
 ) -> DataFrame:
     """``keep`` columns of every row and its score under the name ``out``; a map, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [c for c in keep if c != "text"]
+    (scored_text,) = free_names(docs.columns, "_scored")
 
     def scored(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, text="_scored"):
-            scores = pa.array([shared.value.score(t) for t in batch.column("_scored").to_pylist()], type=pa.float64())
+        for batch in batches(rows, text=scored_text):
+            scores = pa.array([shared.value.score(t) for t in batch.column(scored_text).to_pylist()], type=pa.float64())
             kept_columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept_columns, scores], names=[*keep, out])
 
-    chosen = docs.select(*fields, *(["text"] if "text" in keep else []), whole_text("text").alias("_scored"))
-    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(scored, f"{schema}, `{out}` double")
+    chosen = docs.select(*[column(c) for c in keep], whole_text("text").alias(scored_text))
+    fields = [T.StructField(c, chosen.schema[c].dataType) for c in keep]
+    return chosen.mapInArrow(scored, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -211,7 +214,8 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents whose score stays below ``threshold``, with all their columns."""
     model = train(docs, training_labels(labels))
-    scored = score(docs, model, keep=docs.columns, out="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    (out,) = free_names(docs.columns, "_toxicity")
+    scored = score(docs, model, keep=docs.columns, out=out)
+    return scored.where(F.col(out) < threshold).drop(out)
 
 

@@ -399,6 +399,22 @@ def test_forward_recursion_is_exact_and_training_improves():
     )
 
 
+def test_frequent_words_are_whole_classes_of_counts(spark):
+    counts = spark.createDataFrame([(bytes([k]), n) for k, n in enumerate([9, 9, 7, 5, 5, 5, 1, 1])], "word binary, n long")
+    got = {most: sorted(r.n for r in hmm_lm.frequent(counts, most).collect()) for most in (1, 2, 5, 6, 8)}
+    assert got == {1: [], 2: [9, 9], 5: [7, 9, 9], 6: [5, 5, 5, 7, 9, 9], 8: [1, 1, 5, 5, 5, 7, 9, 9]}
+
+
+def test_training_raises_the_likelihood(spark):
+    rng = random.Random(4)
+    one, two = ([f"{p}{k}" for k in range(30)] for p in "ab")
+    docs = [(d, " ".join(rng.choice(one if d % 2 else two) for _ in range(40)), True) for d in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, train boolean")
+    words = hmm_lm.lexicon(hmm_lm.word_counts(frame.select("text")))
+    _, logs = hmm_lm.train(hmm_lm.encoded(frame, words), words.mass, 4)
+    assert all(a < b for a, b in zip(logs, logs[1:]))
+
+
 def test_language_model_scores(spark, odd_docs, no_docs):
     rng = random.Random(8)
     one, two = ([f"{p}{k}" for k in range(40)] for p in "ab")
@@ -427,8 +443,11 @@ def test_language_model_scores(spark, odd_docs, no_docs):
 def test_pipeline_keeps_the_columns(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = ["_key", "_ID", "_gone", "_doc_id", "_of", "_bad", "_toxicity", "_scored", "a.b"]
+    clashing = docs.select("*", *[F.lit(n).alias(n) for n in extra])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns, name
+        out = stage(spark, clashing, sf_dir)
+        assert out.columns == clashing.columns, name
+        assert 0 < out.count() <= docs.count() and out.first()["a.b"] == "a.b", name
     result = corpus_pipeline.run(spark, sf_dir)
     assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < result.count() < docs.count()
