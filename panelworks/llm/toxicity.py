@@ -193,16 +193,16 @@ def score(
 ) -> DataFrame:
     """``keep`` columns of every row and its score under the name ``out``; a map, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    (scored_text,) = free_names(docs.columns, "_scored")
 
     def scored(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, text=scored_text):
-            scores = pa.array([shared.value.score(t) for t in batch.column(scored_text).to_pylist()], type=pa.float64())
-            kept_columns = [batch.column(c) for c in keep]
+        for batch in batches(rows, text="scored"):
+            scores = pa.array([shared.value.score(t) for t in batch.column("scored").to_pylist()], type=pa.float64())
+            kept_columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept_columns, scores], names=[*keep, out])
 
-    chosen = docs.select(*[column(c) for c in keep], whole_text("text").alias(scored_text))
-    fields = [T.StructField(c, chosen.schema[c].dataType) for c in keep]
+    # tasks see numbered columns, whatever the names of the table
+    chosen = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(keep)], whole_text("text").alias("scored"))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     return chosen.mapInArrow(scored, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
 
 
