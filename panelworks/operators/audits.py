@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators.dataset import evenly_spaced
+from panelworks.operators.labels import EVENTS
 from panelworks.operators.prepare import normal_draw
 from panelworks.operators.ranking import average_ranks_by_value, ordinal_rank
 from panelworks.session import ensure_checkpoint_dir
@@ -281,6 +282,18 @@ def annotator_pairs(gold: DataFrame) -> DataFrame:
     return sides.where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
+# Short names of events in gold records.
+EVENT_SHORT = {"ut": "upthrust_score"}
+
+
+def event_name(name: Column) -> Column:
+    """The event label that a gold record means, NULL for none: any case, outer blanks, with or without ``_score``."""
+    plain = F.lower(F.trim(name))
+    names = {e.removesuffix("_score"): e for e in EVENTS} | {e: e for e in EVENTS} | EVENT_SHORT
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.try_element_at(table, plain)
+
+
 def gold_lookup(gold: DataFrame, samples: DataFrame, allowed: Sequence[str] = ("double_oos",)) -> DataFrame:
     """Where each gold record's sample sits: matched, leak, split mismatch or missing."""
     joined = gold.join(samples.select("symbol", "as_of", F.col("split").alias("actual")), ["symbol", "as_of"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -181,6 +182,42 @@ def threshold_gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.withColumns({"passed": passed, "outcome": outcome})
 
 
+# Limits of a model's reliability.
+RELIABILITY_LIMITS = (
+    ("data.shortcut_violations", "<=", 0.0),
+    ("data.future_leakage_violations", "<=", 0.0),
+    ("data.split_overlap", "<=", 0.0),
+    ("ma.slope_sign_accuracy", ">=", 0.90),
+    ("ma.slope_pearson", ">=", 0.88),
+    ("ma.alignment_spearman", ">=", 0.92),
+    ("boll.percent_b_pearson", ">=", 0.95),
+    ("boll.bandwidth_pearson", ">=", 0.92),
+    ("boll.squeeze_spearman", ">=", 0.90),
+    ("boll.expansion_spearman", ">=", 0.82),
+    ("wyckoff.primitive_spearman", ">=", 0.75),
+    ("phase.macro_f1", ">=", 0.70),
+    ("gold.kappa", ">=", 0.60),
+)
+
+
+def reliability_gate(metrics: DataFrame, limits: Sequence[tuple[str, str, float]] = RELIABILITY_LIMITS) -> DataFrame:
+    """One row per ``model``: whether every limit holds, and the names of those that fail, in their order.
+
+    ``metrics`` holds ``model, metric, value``. A figure that is absent, NULL or not a number fails; of repeated figures
+    the worst counts.
+    """
+    rows = [F.struct(F.lit(i).alias("at"), *[F.lit(v).alias(n) for n, v in zip(("metric", "operator", "edge"), x)]) for i, x in enumerate(limits)]
+    wanted = metrics.select("model").distinct().select("model", F.explode(F.array(*rows)).alias("limit")).select("model", "limit.*")
+    value = F.when(~F.isnan("value"), F.col("value"))
+    worst = metrics.groupBy("model", "metric").agg(
+        F.min(value).alias("least"), F.max(value).alias("most"), (F.count(value) == F.count(F.lit(1))).alias("whole")
+    )
+    held = F.when(F.col("operator") == ">=", F.col("least") >= F.col("edge")).otherwise(F.col("most") <= F.col("edge"))
+    checked = wanted.join(worst, ["model", "metric"], "left").withColumn("held", F.coalesce(held & F.col("whole"), F.lit(False)))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("held"), F.struct("at", "metric"))))  # at most the limits
+    return checked.groupBy("model").agg(F.bool_and("held").alias("passed"), F.transform(failed, lambda x: x["metric"]).alias("failed"))
+
+
 def candidate_status(evidence: DataFrame) -> DataFrame:
     """Research status from finalist, out-of-sample, promotion and discovery flags."""
     flag = {n: F.coalesce(n, F.lit(False)) for n in ("is_finalist", "oos_passed", "promotion_passed", "discovery_passed")}

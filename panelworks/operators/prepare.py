@@ -106,6 +106,30 @@ def range_check(bars: DataFrame, start: str, end: str) -> DataFrame:
     return spans.withColumn("covered", inside)
 
 
+def request_check(requests: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Whether each request may use the snapshot it names; the first rule that it breaks is its outcome.
+
+    ``requests``: ``request_id, snapshot_id, start, end, expected_manifest_hash, expected_ref_hash, as_of`` (NULL: not
+    asked for); ``manifests``: ``snapshot_id, first_date, last_date, manifest_hash, ref_hash, available_from``, one row each.
+    """
+    joined = requests.join(manifests, "snapshot_id", "left")
+    inside = (F.col("start") <= F.col("end")) & (F.col("start") >= F.col("first_date")) & (F.col("end") <= F.col("last_date"))
+
+    def differs(wanted: str, found: str) -> Column:
+        return F.col(wanted).isNotNull() & ~F.col(wanted).eqNullSafe(F.col(found))
+
+    late = F.col("as_of").isNotNull() & ~F.coalesce(F.col("available_from") <= F.col("as_of"), F.lit(False))
+    outcome = (
+        F.when(F.col("first_date").isNull(), "SNAPSHOT_MISSING")
+        .when(~F.coalesce(inside, F.lit(False)), "RANGE_OUTSIDE_SNAPSHOT")
+        .when(differs("expected_manifest_hash", "manifest_hash"), "MANIFEST_HASH_MISMATCH")
+        .when(differs("expected_ref_hash", "ref_hash"), "REF_HASH_MISMATCH")
+        .when(late, "NOT_AVAILABLE_AT_CUTOFF")
+        .otherwise("VALID")
+    )
+    return joined.select("request_id", "snapshot_id", outcome.alias("outcome"))
+
+
 def scale_prices(bars: DataFrame, factor: float) -> DataFrame:
     return bars.withColumns({name: F.col(name) * factor for name in (*PRICES, "amount")})
 

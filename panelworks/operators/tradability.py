@@ -192,3 +192,53 @@ def capacity_curve(
         cost.alias("estimated_cost_bps"),
         (net * policy.annualization_days).alias("net_annualized_return"),
     )
+
+
+# The contract a formal snapshot reference must carry.
+SNAPSHOT_CONTRACT = "market-snapshot.v1"
+
+
+def verdict(assessed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Verdict of each assessment with the inputs it was made from; missing inputs lead the reasons.
+
+    ``assessed`` is as from ``assess``; ``evidence`` holds per ``factor_id``: ``formal``, ``calibration`` and
+    ``expected_calibration`` (hashes or NULL), ``has_tradable``, ``has_amount``, ``market_snapshot_id``,
+    ``ref_snapshot_id``, ``ref_hash`` and ``contract`` (all three NULL: no reference). Without evidence every input is
+    missing and the report is exploratory. An exploratory report never passes.
+    """
+    joined = assessed.join(evidence, "factor_id", "left")
+    flag = {n: F.coalesce(n, F.lit(False)) for n in ("formal", "has_tradable", "has_amount")}
+    expected = F.col("expected_calibration")
+    no_reference = F.coalesce("ref_snapshot_id", "ref_hash", "contract").isNull()
+    fits = (
+        F.col("ref_snapshot_id").eqNullSafe(F.col("market_snapshot_id"))
+        & (F.coalesce("ref_hash", F.lit("")) != "")
+        & F.col("contract").eqNullSafe(F.lit(SNAPSHOT_CONTRACT))
+    )
+    inputs = [
+        (F.col("calibration").isNull(), "EXECUTION_COST_CALIBRATION_MISSING"),
+        (flag["formal"] & expected.isNull(), "EXPECTED_EXECUTION_COST_CALIBRATION_MISSING"),
+        (expected.isNotNull() & ~F.col("calibration").eqNullSafe(expected), "EXECUTION_COST_CALIBRATION_MISMATCH"),
+        (~flag["has_tradable"], "TRADABILITY_FLAGS_MISSING"),
+        (~flag["has_amount"], "VOLUME_OR_AMOUNT_MISSING"),
+        (flag["formal"] & no_reference, "MARKET_SNAPSHOT_REF_MISSING"),
+        (flag["formal"] & ~no_reference & ~fits, "MARKET_SNAPSHOT_MISMATCH"),
+    ]
+    missing = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in inputs]))
+    odd = finite(F.col("gross_return")).isNull() | finite(F.col("net_return")).isNull()
+    # the return rule stands last, after the one on figures that are no numbers
+    below = F.lit("NET_RETURN_BELOW_POLICY_MINIMUM")
+    order = F.concat(
+        F.array_except("reasons", F.array(below)),
+        F.when(odd, F.array(F.lit("NONFINITE_METRIC"))).otherwise(F.array().cast("array<string>")),
+        F.array_intersect("reasons", F.array(below)),
+    )
+    eligible = flag["formal"] & (F.size("missing") == 0)
+    return joined.withColumn("missing", missing).select(
+        "factor_id",
+        F.concat("missing", order).alias("reasons"),
+        eligible.alias("formal_eligible"),
+        (eligible & (F.size(F.concat("missing", order)) == 0)).alias("passed"),
+        F.when(flag["formal"], "FORMAL_RESEARCH").otherwise("EXPLORATORY_REPORT").alias("metric_scope"),
+        (~flag["formal"]).alias("report_only"),
+    )

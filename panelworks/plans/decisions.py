@@ -446,3 +446,95 @@ def final_oos_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = ev.DayRange("final", end - 100, end, n_days)
     return compared_evaluation(ev.evaluate_ranges(values, [final], HORIZON, ev.default_top_k(symbols), symbols))
 
+
+_FACTOR_STATES = tuple(gates.FACTOR_EDGES) + ("RETIRED", "INVALIDATED")
+_CHECKPOINT_STATES = tuple(gates.CHECKPOINT_EDGES) + ("ACTIVE", "REJECTED")
+
+
+def _transition_sql(states: tuple[str, ...], edges: dict[str, tuple[str, ...]]) -> str:
+    names = ", ".join(f"'{x}'" for x in states)
+    allowed = ", ".join(f"'{a}>{b}'" for a, targets in edges.items() for b in targets)
+    return f"""WITH s AS (SELECT l_suppkey AS object_id, l_orderkey * 10 + l_linenumber AS seq, [{names}][(l_orderkey + l_linenumber) % {len(states)} + 1] AS status FROM lineitem),
+t AS (SELECT *, lag(status) OVER (PARTITION BY object_id ORDER BY seq) AS previous FROM s)
+SELECT object_id, seq, previous, status FROM t WHERE previous IS NOT NULL AND (previous || '>' || status) NOT IN ({allowed})"""
+
+
+def _status_log(spark: SparkSession, sf_dir: str, states: tuple[str, ...]) -> DataFrame:
+    at = (F.col("l_orderkey") + F.col("l_linenumber")) % len(states) + 1
+    return inputs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("object_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.element_at(F.array(*[F.lit(x) for x in states]), at.cast("int")).alias("status"),
+    )
+
+
+@query("illegal_factor_transitions", _transition_sql(_FACTOR_STATES, gates.FACTOR_EDGES))
+def illegal_factor_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.illegal_transitions(_status_log(spark, sf_dir, _FACTOR_STATES), gates.FACTOR_EDGES)
+
+
+@query("illegal_checkpoint_transitions", _transition_sql(_CHECKPOINT_STATES, gates.CHECKPOINT_EDGES))
+def illegal_checkpoint_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.illegal_transitions(_status_log(spark, sf_dir, _CHECKPOINT_STATES), gates.CHECKPOINT_EDGES)
+
+
+_LIMIT_NAMES = [name for name, _, _ in gates.RELIABILITY_LIMITS]
+
+
+@query(
+    "reliability_gate",
+    "WITH m AS (SELECT o_custkey AS model, ["
+    + ", ".join(f"'{x}'" for x in _LIMIT_NAMES)
+    + f"""][o_orderkey % {len(_LIMIT_NAMES)} + 1] AS metric, CASE WHEN o_orderkey % 17 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE 0.7::DOUBLE + (o_orderkey % 30) / 100.0::DOUBLE END END AS value FROM orders),
+l AS (SELECT * FROM (VALUES """
+    + ", ".join(f"({i}, '{n}', '{o}', {v}::DOUBLE)" for i, (n, o, v) in enumerate(gates.RELIABILITY_LIMITS))
+    + """) v(place, metric, operator, edge)),
+c AS (SELECT d.model, l.place, l.metric, coalesce((SELECT bool_and(coalesce(CASE WHEN l.operator = '>=' THEN m.value >= l.edge ELSE m.value <= l.edge END, FALSE)) FROM m WHERE m.model = d.model AND m.metric = l.metric), FALSE) AS held
+  FROM (SELECT DISTINCT model FROM m) d, l)
+SELECT model, bool_and(held) AS passed, coalesce(list(metric ORDER BY place) FILTER (WHERE NOT held), CAST([] AS VARCHAR[])) AS failed FROM c GROUP BY 1""",
+)
+def reliability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, 0.0).otherwise(F.lit(0.7) + (k % 30) / 100)
+    metrics = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("model"),
+        F.element_at(F.array(*[F.lit(x) for x in _LIMIT_NAMES]), (k % len(_LIMIT_NAMES) + 1).cast("int")).alias("metric"),
+        F.when(k % 17 != 0, value).alias("value"),
+    )
+    return gates.reliability_gate(metrics)
+
+
+@query(
+    "tradability_verdict",
+    """WITH e AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AS formal, CASE WHEN o_orderkey % 7 <> 0 THEN 'c' || (o_orderkey % 2) END AS cal, CASE WHEN o_orderkey % 11 <> 0 THEN 'c' || (o_orderkey % 4) END AS want,
+  o_orderkey % 13 <> 0 AS flags, o_orderkey % 17 <> 0 AS amounts, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 19 = 0 THEN 'other' ELSE o_orderpriority END END AS rid,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'h' END END AS rh, o_orderpriority AS snap, o_totalprice < 100000 AS low, o_orderkey % 29 = 0 AS odd, o_orderstatus = 'O' AS capped FROM orders),
+m AS (SELECT *, list_filter([CASE WHEN cal IS NULL THEN 'EXECUTION_COST_CALIBRATION_MISSING' END, CASE WHEN formal AND want IS NULL THEN 'EXPECTED_EXECUTION_COST_CALIBRATION_MISSING' END,
+  CASE WHEN want IS NOT NULL AND cal IS DISTINCT FROM want THEN 'EXECUTION_COST_CALIBRATION_MISMATCH' END, CASE WHEN NOT flags THEN 'TRADABILITY_FLAGS_MISSING' END, CASE WHEN NOT amounts THEN 'VOLUME_OR_AMOUNT_MISSING' END,
+  CASE WHEN formal AND rid IS NULL THEN 'MARKET_SNAPSHOT_REF_MISSING' END, CASE WHEN formal AND rid IS NOT NULL AND (rid <> snap OR rh = '') THEN 'MARKET_SNAPSHOT_MISMATCH' END], lambda x: x IS NOT NULL) AS missing,
+  list_filter([CASE WHEN capped THEN 'CAPACITY_FAILED' END, CASE WHEN odd THEN 'NONFINITE_METRIC' END, CASE WHEN low THEN 'NET_RETURN_BELOW_POLICY_MINIMUM' END], lambda x: x IS NOT NULL) AS other FROM e)
+SELECT k AS factor_id, list_concat(missing, other) AS reasons, formal AND len(missing) = 0 AS formal_eligible, formal AND len(missing) = 0 AND len(other) = 0 AS passed,
+ CASE WHEN formal THEN 'FORMAL_RESEARCH' ELSE 'EXPLORATORY_REPORT' END AS metric_scope, NOT formal AS report_only FROM m""",
+)
+def tradability_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = inputs.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    limits = [(F.col("o_orderstatus") == "O", "CAPACITY_FAILED"), (F.col("o_totalprice") < 100000, "NET_RETURN_BELOW_POLICY_MINIMUM")]
+    assessed = orders.select(
+        k.alias("factor_id"),
+        F.when(k % 29 != 0, 0.001).alias("gross_return"),
+        F.lit(0.001).alias("net_return"),
+        F.array_compact(F.array(*[F.when(rule, F.lit(name)) for rule, name in limits])).alias("reasons"),
+    )
+    evidence = orders.select(
+        k.alias("factor_id"),
+        (k % 3 != 0).alias("formal"),
+        F.when(k % 7 != 0, F.concat(F.lit("c"), (k % 2).cast("string"))).alias("calibration"),
+        F.when(k % 11 != 0, F.concat(F.lit("c"), (k % 4).cast("string"))).alias("expected_calibration"),
+        (k % 13 != 0).alias("has_tradable"),
+        (k % 17 != 0).alias("has_amount"),
+        F.col("o_orderpriority").alias("market_snapshot_id"),
+        F.when(k % 5 != 0, F.when(k % 19 == 0, "other").otherwise(F.col("o_orderpriority"))).alias("ref_snapshot_id"),
+        F.when(k % 5 != 0, F.when(k % 23 == 0, "").otherwise("h")).alias("ref_hash"),
+        F.when(k % 5 != 0, tradability.SNAPSHOT_CONTRACT).alias("contract"),
+    )
+    return tradability.verdict(assessed, evidence)

@@ -556,3 +556,21 @@ def oos_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def identity_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.identity_separation(_experiments(spark, sf_dir)).select("experiment_id", "separated")
+
+
+_EVENT_WRITINGS = ("spring", " UT ", "Upthrust", "SC_score", "bc", "SOS", "sow_SCORE ", "upthrust_score", "rally", "")
+
+
+@query(
+    "gold_event_names",
+    "WITH w AS (SELECT ["
+    + ", ".join(f"'{x}'" for x in _EVENT_WRITINGS)
+    + f"""][doc_id % {len(_EVENT_WRITINGS)} + 1] AS written FROM labels), p AS (SELECT *, lower(trim(written)) AS n FROM w)
+SELECT written, CASE WHEN n IN ('ut', 'upthrust', 'upthrust_score') THEN 'upthrust_score' WHEN n IN ('sc', 'bc', 'spring', 'sos', 'sow') THEN n || '_score' WHEN n IN ('sc_score', 'bc_score', 'spring_score', 'sos_score', 'sow_score') THEN n END AS event,
+ count(*) AS records FROM p GROUP BY 1, 2""",
+)
+def gold_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writings = F.array(*[F.lit(x) for x in _EVENT_WRITINGS])
+    written = F.element_at(writings, (F.col("doc_id") % len(_EVENT_WRITINGS) + 1).cast("int"))
+    named = inputs.table(spark, sf_dir, "labels").select(written.alias("written"), audits.event_name(written).alias("event"))
+    return named.groupBy("written", "event").agg(F.count(F.lit(1)).alias("records"))

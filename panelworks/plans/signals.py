@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.functions import scalar
@@ -418,3 +418,35 @@ def round_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rated = candidates(spark, sf_dir).join(price, "seq").withColumn("candidate_hash", fm.candidate_hash(F.col("rpn")))
     return rounded(fm.round_feedback(rated))
+
+
+@query(
+    "snapshot_request_check",
+    """WITH m AS (SELECT o_custkey AS s, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b, md5(CAST(o_custkey AS VARCHAR)) AS mh, md5('r' || CAST(o_custkey AS VARCHAR)) AS rh, max(CAST(o_orderdate AS DATE)) + INTERVAL 30 DAY AS av FROM orders WHERE o_custkey % 10 <> 0 GROUP BY 1),
+r AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(o_orderdate AS DATE) - CAST(CASE WHEN o_orderkey % 4 = 0 THEN 900 ELSE 0 END AS INTEGER) AS x, CAST(o_orderdate AS DATE) AS y, CASE WHEN o_orderkey % 3 <> 0 THEN md5(CAST(o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR)) END AS mw,
+  CASE WHEN o_orderkey % 2 = 0 THEN md5('r' || CAST(o_custkey + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR)) END AS rw, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + INTERVAL 400 DAY END AS cutoff FROM orders)
+SELECT k AS request_id, s AS snapshot_id, CASE WHEN a IS NULL THEN 'SNAPSHOT_MISSING' WHEN x > y OR x < a OR y > b THEN 'RANGE_OUTSIDE_SNAPSHOT' WHEN mw IS NOT NULL AND mw <> mh THEN 'MANIFEST_HASH_MISMATCH'
+ WHEN rw IS NOT NULL AND rw <> rh THEN 'REF_HASH_MISMATCH' WHEN cutoff IS NOT NULL AND av > cutoff THEN 'NOT_AVAILABLE_AT_CUTOFF' ELSE 'VALID' END AS outcome FROM r LEFT JOIN m USING (s)""",
+)
+def snapshot_request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = inputs.table(spark, sf_dir, "orders")
+    k, snapshot, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
+
+    def digest(lead: str, key: Column) -> Column:
+        return F.md5(F.concat(F.lit(lead), key.cast("string")))
+
+    manifests = orders.where(snapshot % 10 != 0).groupBy(snapshot.alias("snapshot_id")).agg(
+        F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.date_add(F.max(day), 30).alias("available_from")
+    )
+    manifests = manifests.withColumns({"manifest_hash": digest("", F.col("snapshot_id")), "ref_hash": digest("r", F.col("snapshot_id"))})
+    other = {n: snapshot + F.when(k % n == 0, 1).otherwise(0) for n in (7, 11)}
+    requests = orders.select(
+        k.alias("request_id"),
+        snapshot.alias("snapshot_id"),
+        F.date_sub(day, F.when(k % 4 == 0, 900).otherwise(0)).alias("start"),
+        day.alias("end"),
+        F.when(k % 3 != 0, digest("", other[7])).alias("expected_manifest_hash"),
+        F.when(k % 2 == 0, digest("r", other[11])).alias("expected_ref_hash"),
+        F.when(k % 5 != 0, F.date_add(day, 400)).alias("as_of"),
+    )
+    return prepare.request_check(requests, manifests)

@@ -49,25 +49,35 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 def write_bars(bars: DataFrame, root: str) -> str:
     """Write an immutable snapshot named after its content; returns its id.
 
-    An existing snapshot of the same id must hold the same number of rows.
+    The manifest is written last and commits the snapshot: a folder without one is an unfinished write and is
+    written again. A committed snapshot, its files included, must hold the same number of rows.
     """
     spark = bars.sparkSession
     facts = content_digest(bars).first()  # one row
     snapshot_id = f"mds-{facts['digest']}"
     path = f"{root}/{snapshot_id}"
+    manifest = read_manifest(spark, root, snapshot_id)
+    if manifest is None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = bars.repartition(tasks, "symbol").sortWithinPartitions("symbol", "trading_date")
+        ordered.write.mode("overwrite").parquet(path)
+        facts_of = snapshot_manifest(spark.read.parquet(path), snapshot_id)
+        facts_of.coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifests/{snapshot_id}")
+        return snapshot_id
+    found = {manifest.first()["row_count"], spark.read.parquet(path).count()}
+    if found != {facts["row_count"]}:
+        raise ValueError(f"snapshot {snapshot_id} exists with {sorted(found)} rows")
+    return snapshot_id
+
+
+def read_manifest(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame | None:
+    """The manifest of a committed snapshot, None where there is none."""
     try:
-        existing = spark.read.parquet(path).count()
+        return spark.read.parquet(f"{root}/manifests/{snapshot_id}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        existing = None
-    if existing is None:
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = bars.repartition(tasks, "symbol").sortWithinPartitions("symbol", "trading_date")
-        ordered.write.mode("errorifexists").parquet(path)
-    elif existing != facts["row_count"]:
-        raise ValueError(f"snapshot {snapshot_id} exists with {existing} rows")
-    return snapshot_id
+        return None
 
 
 def snapshot_manifest(bars: DataFrame, snapshot_id: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelworks.functions import scalar
-from panelworks.operators import audits, dataset, diagnostics, evaluate, formulas, neighbors, neutralize, selection, splits, testing
+from panelworks.operators import audits, dataset, diagnostics, evaluate, formulas, gates, neighbors, neutralize, prepare, selection, splits, testing, tradability
 from panelworks.operators import features as ft
 from panelworks.operators import grid, labels, ranking, seeds
 from panelworks.operators.quantiles import exact_quantiles
@@ -457,3 +457,59 @@ def test_neighbors_over_several_blocks(spark, monkeypatch):
     np.fill_diagonal(scores, -np.inf)
     want = {(i, int(j)) for i in range(40) for j in np.argsort(-scores[i], kind="stable")[:4]}
     assert {(r.id, r.neighbor) for r in neighbors.nearest_neighbors(frame, 40, 4).collect()} == want
+
+
+def test_every_reason_of_a_tradability_verdict(spark):
+    good = dict(formal=True, calibration="c", expected_calibration="c", has_tradable=True, has_amount=True, market_snapshot_id="m", ref_snapshot_id="m", ref_hash="h", contract="market-snapshot.v1")
+    cases = {
+        "fine": ({}, []),
+        "no costs": ({"calibration": None}, ["EXECUTION_COST_CALIBRATION_MISSING", "EXECUTION_COST_CALIBRATION_MISMATCH"]),
+        "no wanted costs": ({"expected_calibration": None}, ["EXPECTED_EXECUTION_COST_CALIBRATION_MISSING"]),
+        "other costs": ({"calibration": "d"}, ["EXECUTION_COST_CALIBRATION_MISMATCH"]),
+        "no flags": ({"has_tradable": None}, ["TRADABILITY_FLAGS_MISSING"]),
+        "no amounts": ({"has_amount": False}, ["VOLUME_OR_AMOUNT_MISSING"]),
+        "no reference": ({"ref_snapshot_id": None, "ref_hash": None, "contract": None}, ["MARKET_SNAPSHOT_REF_MISSING"]),
+        "other reference": ({"ref_snapshot_id": "n"}, ["MARKET_SNAPSHOT_MISMATCH"]),
+        "no hash": ({"ref_hash": None}, ["MARKET_SNAPSHOT_MISMATCH"]),
+        "old contract": ({"contract": "v0"}, ["MARKET_SNAPSHOT_MISMATCH"]),
+        "exploratory": ({"formal": False, "ref_hash": None, "expected_calibration": None}, []),
+    }
+    schema = "factor_id string, formal boolean, calibration string, expected_calibration string, has_tradable boolean, has_amount boolean, market_snapshot_id string, ref_snapshot_id string, ref_hash string, contract string"
+    evidence = spark.createDataFrame([(name, *(good | change).values()) for name, (change, _) in cases.items()], schema)
+    rows = [(name, 0.1, 0.1, []) for name in cases] + [("bare", 0.1, 0.1, []), ("odd", float("nan"), 0.1, ["CAPACITY_FAILED", "NET_RETURN_BELOW_POLICY_MINIMUM"])]
+    assessed = spark.createDataFrame(rows, "factor_id string, gross_return double, net_return double, reasons array<string>")
+    got = {r.factor_id: r for r in tradability.verdict(assessed, evidence).collect()}
+    for name, (_, reasons) in cases.items():
+        assert got[name].reasons == reasons and got[name].passed == (name == "fine"), name
+    assert got["exploratory"].report_only and not got["exploratory"].formal_eligible
+    assert got["bare"].reasons == ["EXECUTION_COST_CALIBRATION_MISSING", "TRADABILITY_FLAGS_MISSING", "VOLUME_OR_AMOUNT_MISSING"]
+    assert got["odd"].reasons[-3:] == ["CAPACITY_FAILED", "NONFINITE_METRIC", "NET_RETURN_BELOW_POLICY_MINIMUM"]
+
+
+def test_requests_of_a_snapshot_fail_closed(spark):
+    manifests = spark.sql("SELECT 's' AS snapshot_id, DATE '2020-01-01' AS first_date, DATE '2020-12-31' AS last_date, 'm' AS manifest_hash, 'r' AS ref_hash, TIMESTAMP '2021-01-02 00:00:00' AS available_from")
+    rows = [
+        ("VALID", "s", "2020-01-01", "2020-12-31", "m", "r", "2021-01-02"),
+        ("VALID", "s", "2020-02-01", "2020-02-01", None, None, None),
+        ("SNAPSHOT_MISSING", "t", "2020-02-01", "2020-02-02", None, None, None),
+        ("RANGE_OUTSIDE_SNAPSHOT", "s", "2019-12-31", "2020-02-02", None, None, None),
+        ("RANGE_OUTSIDE_SNAPSHOT", "s", "2020-03-01", "2020-02-02", None, None, None),
+        ("RANGE_OUTSIDE_SNAPSHOT", "s", None, "2020-02-02", None, None, None),
+        ("MANIFEST_HASH_MISMATCH", "s", "2020-02-01", "2020-02-02", "x", "x", None),
+        ("REF_HASH_MISMATCH", "s", "2020-02-01", "2020-02-02", "m", "x", None),
+        ("NOT_AVAILABLE_AT_CUTOFF", "s", "2020-02-01", "2020-02-02", "m", "r", "2021-01-01"),
+    ]
+    requests = spark.createDataFrame(rows, "request_id string, snapshot_id string, start string, end string, expected_manifest_hash string, expected_ref_hash string, as_of string")
+    requests = requests.selectExpr("* EXCEPT (start, end, as_of)", "date(start) AS start", "date(end) AS end", "timestamp(as_of) AS as_of")
+    got = prepare.request_check(requests, manifests).collect()
+    assert len(got) == len(rows) and all(r.outcome == r.request_id for r in got)
+
+
+def test_reliability_needs_every_figure(spark):
+    best = {name: 0.0 if op == "<=" else 1.0 for name, op, _ in gates.RELIABILITY_LIMITS}
+    rows = [("good", n, v) for n, v in best.items()]
+    rows += [("absent", n, v) for n, v in best.items() if n != "gold.kappa"]
+    rows += [("worst", n, v) for n, v in best.items()] + [("worst", "phase.macro_f1", 0.1), ("worst", "ma.slope_pearson", float("nan"))]
+    rows += [("edge", n, dict((a, e) for a, _, e in gates.RELIABILITY_LIMITS)[n]) for n in best]
+    got = {r.model: (r.passed, r.failed) for r in gates.reliability_gate(spark.createDataFrame(rows, "model string, metric string, value double")).collect()}
+    assert got == {"good": (True, []), "edge": (True, []), "absent": (False, ["gold.kappa"]), "worst": (False, ["ma.slope_pearson", "phase.macro_f1"])}

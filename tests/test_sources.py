@@ -89,3 +89,32 @@ def test_signals_turn_visible_at_the_cutoff(spark):
     for r in content.visible_cells(signals, days).collect():
         seen.setdefault(r.signal_id, set()).add(r.d)
     assert seen == {"a": {0, 1, 2, 3, 4, 5}, "b": {1, 2, 3, 4, 5}}
+
+
+def test_unfinished_and_damaged_snapshots(spark, tmp_path):
+    bars, root = some_bars(spark), str(tmp_path)
+    name = f"mds-{prepare.content_digest(bars).first()['digest']}"
+    bars.limit(1).write.parquet(f"{root}/{name}")  # a writer that died before its manifest
+    assert bar_source.read_manifest(spark, root, name) is None
+    assert bar_source.write_bars(bars, root) == name
+    assert bar_source.read_bars(spark, f"{root}/{name}").count() == 4
+    assert bar_source.read_manifest(spark, root, name).first()["row_count"] == 4
+    bars.limit(2).write.mode("append").parquet(f"{root}/{name}")  # committed, then changed
+    with pytest.raises(ValueError, match="exists with"):
+        bar_source.write_bars(bars, root)
+
+
+def test_bucketed_series_are_windowed_without_an_exchange(spark, tmp_path):
+    rows = [(f"S{i % 7}", date(2024, 1, 1 + i % 28), float(i)) for i in range(100)]
+    series = spark.createDataFrame(rows, "symbol string, trading_date date, close double")
+    name = f"series_{tmp_path.name.replace('-', '_')}"
+    bar_source.write_series(series, str(tmp_path / "series"), 4, name)
+    try:
+        windows = "sum(close) OVER (PARTITION BY symbol ORDER BY trading_date, close ROWS 5 PRECEDING) AS total"
+        back = spark.table(name).selectExpr("symbol", "trading_date", "close", windows)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        expected = series.selectExpr("symbol", "trading_date", "close", windows)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, expected.collect()))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
