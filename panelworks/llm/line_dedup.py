@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import broadcast_if_small, column, free_names, kept, whole_text
+from panelworks.llm.common import broadcast_if_small, column, free_names, kept, stored, whole_text
 from panelworks.llm.linking import connected, shared_buckets
 
 EDITS = 2
@@ -94,14 +94,13 @@ def _bucket(edits: Column, length: Column, number: Column, part: Column) -> Colu
 
 
 def bucket_rows(lines: DataFrame, edits: int = EDITS, every_line: bool = False) -> DataFrame:
-    """(bucket, key) of ``lines`` (key, line, size): ``segment_buckets`` at each number of edits that may hold for a
+    """(bucket, key) of ``lines`` (key, line, size, own): ``segment_buckets`` at each number of edits that may hold for a
     pair of the line. The places are rows of a constant, so that one short expression hashes them all."""
     levels = range(1, edits + 1) if every_line else (edits,)
     places = [(e, *p) for e in levels for p in _places(e)]
     names = ("edits", "less", "number", "shift")
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, place)]) for place in places])
-    own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
-    rows = lines.withColumn("own", own).select("key", "line", "size", "own", F.explode(table).alias("p"))
+    rows = lines.select("key", "line", "size", "own", F.explode(table).alias("p"))
     rows = rows.select("key", "line", "size", "own", *[F.col(f"p.{n}").alias(n) for n in names])
     # pairs of a number below this line's own have a short line in them
     e, size = F.col("edits"), F.col("size")
@@ -137,12 +136,23 @@ def may_be_close(a: Column, b: Column, size: Column, edits: int = EDITS) -> Colu
     return found >= parts - edits
 
 
+def _alike(a: Column, b: Column, room: Column, end) -> Column:
+    """How many characters (at most ``room``) two lines share at one end, by halving; ``end(line, n)`` takes n of them."""
+    powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(
+        powers,
+        F.lit(0),
+        lambda n, more: F.when((n + more <= room) & (end(a, n + more) == end(b, n + more)), n + more).otherwise(n),
+    )
+
+
 def edit_distance(edits: int = EDITS):
     """A function of two lines (each longer than ``edits``): their distance, or more than ``edits``.
 
     Banded and bit-parallel: bit k of every vector stands for the cell in row column + k - edits, so the
     band moves down the diagonal with the columns. The distance is followed along the lower rim of
-    the band and then along the last row.
+    the band and then along the last row. What the lines share at their ends is left out, as it costs no
+    edit; ``edits + 1`` characters always remain.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
@@ -192,10 +202,23 @@ def edit_distance(edits: int = EDITS):
         start = F.struct(long(full ^ ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("far"))
         return F.aggregate(F.sequence(F.lit(0), F.size(two) - 1), start, step)["far"]
 
-    def of(a: Column, b: Column) -> Column:
+    def with_ends(x: Column) -> Column:
+        a, b = (F.substring(x[c], x["head"] + 1, F.length(x[c]) - x["head"] - x["tail"]) for c in ("a", "b"))
         # bound once per pair: the optimiser would repeat a plain column's split at every step
         return let(F.struct(F.split(a, "").alias("one"), F.split(b, "").alias("two"), F.length(a).alias("rows")), distance)
 
+    def with_head(x: Column) -> Column:
+        tail = _alike(x["a"], x["b"], x["room"] - x["head"], F.right)
+        return let(F.struct(x["a"].alias("a"), x["b"].alias("b"), x["head"].alias("head"), tail.alias("tail")), with_ends)
+
+    def with_room(x: Column) -> Column:
+        head = _alike(x["a"], x["b"], x["room"], F.left)
+        return let(F.struct(x["a"].alias("a"), x["b"].alias("b"), x["room"].alias("room"), head.alias("head")), with_head)
+
+    def of(a: Column, b: Column) -> Column:
+        room = F.least(F.length(a), F.length(b)) - (edits + 1)
+        return let(F.struct(a.alias("a"), b.alias("b"), room.alias("room")), with_room)
+
     return of
 
 
@@ -268,19 +291,20 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
 
 def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
-    lines = lines_of(docs, every_line).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))})
+    lines = stored(lines_of(docs, every_line).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))}))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
     distinct = lines.groupBy("digest").agg(
         F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     )
     distinct = kept(distinct)
-    texts = lines.select("line").distinct().select("line", F.xxhash64("line").alias("key"), F.length("line").alias("size"))
+    own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
+    texts = lines.select("key", "line").distinct().withColumn("size", F.length("line")).withColumn("own", own)
+    texts = stored(texts)
     members = kept(shared_buckets(bucket_rows(texts, edits, every_line)))
     found = None
     if members.limit(1).count():
         keys = members.select("key").distinct()
-        own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
-        near = kept(texts.join(keys, "key", "left_semi").select("key", "line", own.alias("own")))
+        near = kept(texts.join(keys, "key", "left_semi").select("key", "line", "own"))
         found = connected(
             members, lambda pairs: linked_lines(pairs, near, edits), lambda placed: linked_in_buckets(placed, near, edits)
         )
