@@ -513,3 +513,29 @@ def test_reliability_needs_every_figure(spark):
     rows += [("edge", n, dict((a, e) for a, _, e in gates.RELIABILITY_LIMITS)[n]) for n in best]
     got = {r.model: (r.passed, r.failed) for r in gates.reliability_gate(spark.createDataFrame(rows, "model string, metric string, value double")).collect()}
     assert got == {"good": (True, []), "edge": (True, []), "absent": (False, ["gold.kappa"]), "worst": (False, ["ma.slope_pearson", "phase.macro_f1"])}
+
+
+def test_neighbors_skip_far_blocks(spark, monkeypatch):
+    """Clusters, a vector that a third of the rows hold and a zero vector: exact lists from fewer block products."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 12))
+    data = np.repeat(centres, 30, axis=0) + 0.02 * rng.normal(size=(240, 12))
+    data = np.vstack([data, np.tile(centres[:1], (120, 1)), np.zeros((1, 12))]).astype("f4")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vector array<float>")
+    blocks = neighbors.clustered_blocks(frame, len(data), 5)
+    n, compared = blocks.count(), neighbors.near_block_pairs(blocks).count()
+    assert n >= 20 and compared < n * (n + 1) / 4, (n, compared)
+    units = data.astype(float)
+    units = units / np.maximum(np.sqrt((units * units).sum(axis=1, keepdims=True)), 1e-12)
+    scores = units @ units.T
+    np.fill_diagonal(scores, -np.inf)
+    want = -np.sort(-scores, axis=1)[:, :5]
+    got = neighbors.nearest_neighbors(frame, len(data), 5).toPandas().sort_values(["id", "k"])
+    assert len(got) == 5 * len(data) and (got["id"] != got["neighbor"]).all()
+    assert not got.duplicated(["id", "neighbor"]).any()
+    assert np.allclose(got["score"].to_numpy().reshape(-1, 5), want, atol=1e-9)
+    assert np.allclose(scores[got["id"], got["neighbor"]], got["score"], atol=1e-9)
+    monkeypatch.setattr(neighbors, "TILE", 10)
+    again = {(r["block"], r["other"]) for r in neighbors.near_block_pairs(blocks).collect()}
+    assert len(again) == compared and all(a <= b for a, b in again)
