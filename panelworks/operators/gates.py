@@ -56,8 +56,17 @@ def discovery_gate(evidence: DataFrame, limits: GateLimits | None = None) -> Dat
     return gated.withColumn("passed", F.size("reject_reasons") == 0)
 
 
+def assessment_id(body: Column) -> Column:
+    """Id of a tradability assessment from its canonical text."""
+    return F.concat(F.lit("tradability-"), F.substring(F.sha2(body, 256), 1, 32))
+
+
 def promotion_gate(evidence: DataFrame, limits: GateLimits | None = None) -> DataFrame:
-    """Discovery rules plus out-of-sample, audit, decay and (formal) tradability rules."""
+    """Discovery rules plus out-of-sample, audit, decay and (formal) tradability rules.
+
+    A tradability assessment is ``tradability_body``, its canonical text without its id, and ``tradability_id``, the id
+    it claims, which derives from the text; one that is otherwise sound must match (a missing one does not).
+    """
     first = _discovery_rules(limits or GateLimits())
     decayed = (
         F.coalesce("has_diagnostics", F.lit(False))
@@ -67,6 +76,7 @@ def promotion_gate(evidence: DataFrame, limits: GateLimits | None = None) -> Dat
     formal = F.coalesce("formal", F.lit(False))
     traded = F.coalesce("has_tradability", F.lit(False))
     sound = F.coalesce("tradability_eligible", F.lit(False)) & F.coalesce("tradability_passed", F.lit(False))
+    intact = assessment_id(F.col("tradability_body")) == F.col("tradability_id")
     named = {
         **{k: first[k] for k in ("WALKFORWARD_FAILED", "WALKFORWARD_COVERAGE_FAILED", "STATISTICAL_VALIDATION_FAILED")},
         "FINAL_OOS_FAILED": _no("final_oos_passed"),
@@ -85,6 +95,7 @@ def promotion_gate(evidence: DataFrame, limits: GateLimits | None = None) -> Dat
         },
         "TRADABILITY_ASSESSMENT_MISSING": formal & ~traded,
         "TRADABILITY_CAPACITY_FAILED": formal & traded & ~sound,
+        "TRADABILITY_ARTIFACT_INTEGRITY_FAILED": formal & traded & sound & ~F.coalesce(intact, F.lit(False)),
     }
     gated = evidence.withColumn("reject_reasons", _reasons([(rule, name) for name, rule in named.items()]))
     return gated.withColumn("passed", F.size("reject_reasons") == 0)

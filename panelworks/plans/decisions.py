@@ -169,8 +169,12 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     def flag(n: int) -> Column:
         return k % n != 0
 
+    body = F.to_json(F.struct(k.alias("candidate_id"), (k % 5).alias("days")))
+    claimed = F.when(k % 5 == 4, gates.assessment_id(F.concat(body, F.lit(" ")))).when(k % 7 != 3, gates.assessment_id(body))
     return inputs.table(spark, sf_dir, "orders").select(
         k.alias("candidate_id"),
+        body.alias("tradability_body"),
+        claimed.alias("tradability_id"),
         flag(2).alias("walkforward_passed"),
         ((k % 10) / 10).alias("window_pass_ratio"),
         flag(3).alias("statistics_passed"),
@@ -203,7 +207,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_E = """WITH e AS (SELECT o_orderkey AS k, o_totalprice / 100000 AS cap FROM orders)
+_E = """WITH e AS (SELECT k, cap, 'tradability-' || sha256(body)[:32] AS own, 'tradability-' || CASE WHEN k % 5 = 4 THEN sha256(body || ' ')[:32] WHEN k % 7 <> 3 THEN sha256(body)[:32] END AS claimed
+  FROM (SELECT o_orderkey AS k, o_totalprice / 100000 AS cap, concat('{"candidate_id":', o_orderkey, ',"days":', o_orderkey % 5, '}') AS body FROM orders))
 """
 _DISCOVERY = [
     ("k % 2 = 0", "WALKFORWARD_FAILED"),
@@ -237,6 +242,7 @@ _PROMOTION = [
     *_DISCOVERY[4:],
     ("k % 3 = 1 AND k % 19 = 0", "TRADABILITY_ASSESSMENT_MISSING"),
     ("k % 3 = 1 AND k % 19 <> 0 AND (k % 8 = 0 OR k % 6 = 0)", "TRADABILITY_CAPACITY_FAILED"),
+    ("k % 3 = 1 AND k % 19 <> 0 AND k % 8 <> 0 AND k % 6 <> 0 AND own IS DISTINCT FROM claimed", "TRADABILITY_ARTIFACT_INTEGRITY_FAILED"),
 ]
 
 

@@ -539,3 +539,18 @@ def test_neighbors_skip_far_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "TILE", 10)
     again = {(r["block"], r["other"]) for r in neighbors.near_block_pairs(blocks).collect()}
     assert len(again) == compared and all(a <= b for a, b in again)
+
+
+def test_promotion_needs_an_intact_assessment(spark):
+    import hashlib
+
+    good = "tradability-" + hashlib.sha256(b'{"a":1}').hexdigest()[:32]
+    rows = [(1, '{"a":1}', good, True), (2, '{"a":2}', good, True), (3, '{"a":1}', None, True), (4, None, good, True), (5, '{"a":2}', good, False)]
+    frame = spark.createDataFrame(rows, "candidate_id int, tradability_body string, tradability_id string, formal boolean")
+    true = ("walkforward_passed", "statistics_passed", "has_diagnostics", "has_exposure", "has_capacity", "recent_passed", "final_oos_passed")
+    true += ("has_tradability", "tradability_eligible", "tradability_passed")
+    ones = {"window_pass_ratio": 1.0, "liquidity_exposure": 0.0, "capacity": 9e9, "ic_decay_1": 0.1, "ic_decay_5": 0.1}
+    frame = frame.selectExpr("*", *[f"true AS {c}" for c in true], *[f"{v}D AS {c}" for c, v in ones.items()], "'PASSED' AS oos_audit_status")
+    got = {r.candidate_id: (r.passed, r.reject_reasons) for r in gates.promotion_gate(frame).collect()}
+    broken = (False, ["TRADABILITY_ARTIFACT_INTEGRITY_FAILED"])
+    assert got == {1: (True, []), 2: broken, 3: broken, 4: broken, 5: (True, [])}
