@@ -1,58 +1,65 @@
-"""Block bootstraps of any statistic, in column expressions.
+"""Block bootstraps of any statistic, a matrix of resampled values at a time.
 
-A series is one row with its values and the running sums of its moments (bounded by the calendar). An
-iteration is a list of blocks (first position, length) drawn from digests of (seed, series, iteration, block), so
-draws depend neither on partitioning nor on a task's history. Statistics of moments take two look-ups
-in the running sums per block; statistics of order get the resampled values themselves.
+A series is one row with its values in order (bounded by the calendar). An iteration is a list of blocks (first
+position, length) drawn from digests of (seed, series, iteration, block), so draws depend neither on partitioning
+nor on a task's history. Series and chunks of iterations are dealt to the tasks; inside a task the resampled values of
+several iterations form one matrix, from which every statistic is taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spread below which a ratio to it counts as missing.
 FLAT = 1e-12
-MOMENTS = ("n", "x", "xx", "y", "yy", "xy", "hits")
-#: Iterations in one row before they are spread; keeps rows small and tasks many.
-CHUNK = 50
+#: Iterations in one row: the most that one task makes of a series at a time.
+CHUNK = 500
+#: Resampled values held at once.
+CELLS = 250_000
 
-#: A statistic of (moments, sample): ``moments`` is a struct of sums, ``sample`` the array of resampled values.
-Statistic = Callable[[Column, Column], Column]
+#: A statistic of (values, companions), both (iterations x length): one number per iteration, NaN where it is missing.
+Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Blocks of (uniform, first iteration, last iteration, length of the series): positions (iterations x length).
+Blocks = Callable[[Callable, range, int], np.ndarray]
 
 
-def _variance(m: Column, square: str, first: str, second: str | None = None) -> Column:
-    """Sum of cross products about the means."""
-    return m[square] - m[first] * m[second or first] / m["n"]
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(axis=1, keepdims=True)
 
 
-def mean(m: Column, sample: Column) -> Column:
-    return m["x"] / m["n"]
+def mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x.mean(axis=1)
 
 
-def sharpe(m: Column, sample: Column) -> Column:
+def sharpe(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Mean over the sample standard deviation."""
-    deviation = F.sqrt(F.greatest(_variance(m, "xx", "x"), F.lit(0.0)) / (m["n"] - 1))
-    return F.when((m["n"] > 1) & (deviation > FLAT), m["x"] / m["n"] / deviation)
+    if x.shape[1] < 2:
+        return np.full(len(x), np.nan)
+    deviation = x.std(axis=1, ddof=1)
+    return np.divide(x.mean(axis=1), deviation, out=np.full(len(x), np.nan), where=deviation > FLAT)
 
 
-def hit_rate(m: Column, sample: Column) -> Column:
-    return m["hits"] / m["n"]
+def hit_rate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x > 0).mean(axis=1)
 
 
-def correlation(m: Column, sample: Column) -> Column:
+def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pearson correlation of the value with its companion."""
-    spread = F.sqrt(F.greatest(_variance(m, "xx", "x"), F.lit(0.0))) * F.sqrt(F.greatest(_variance(m, "yy", "y"), F.lit(0.0)))
-    return F.when(spread > FLAT, _variance(m, "xy", "x", "y") / spread)
+    a, b = _centred(x), _centred(y)
+    spread = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+    return np.divide(np.einsum("ij,ij->i", a, b), spread, out=np.full(len(x), np.nan), where=spread > FLAT)
 
 
-def median(m: Column, sample: Column) -> Column:
-    ordered = F.array_sort(sample)
-    n = F.size(ordered)
-    low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2).cast("int") + 1
-    return (F.try_element_at(ordered, low) + F.try_element_at(ordered, high)) / 2
+def median(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    low, high = (x.shape[1] - 1) // 2, x.shape[1] // 2
+    ordered = np.partition(x, (low, high), axis=1)
+    return (ordered[:, low] + ordered[:, high]) / 2
 
 
 STATISTICS: dict[str, Statistic] = {
@@ -64,94 +71,110 @@ STATISTICS: dict[str, Statistic] = {
 }
 
 
-def _draw(seed: int, part: int) -> Callable[[Column, Column, Column], Column]:
-    """A number in [0, 1) of 52 bits for (series, iteration, block)."""
+def _uniform(seed: int, series: str | None) -> Callable[[range, range], np.ndarray]:
+    """Two numbers in [0, 1) of 52 bits for each iteration and block of a series."""
+    head = ":".join([str(seed), *([] if series is None else [series])]).encode()
 
-    def uniform(series: Column, iteration: Column, block: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), series.cast("string"), iteration.cast("string"), block.cast("string")))
-        return F.conv(F.substring(digest, 1 + 13 * part, 13), 16, 10).cast("double") / 2.0**52
+    def draws(iterations: range, blocks: range) -> np.ndarray:
+        tails = [b":%d" % j for j in blocks]
+        heads = [head + b":%d" % i for i in iterations]
+        digests = b"".join([hashlib.md5(h + t, usedforsecurity=False).digest() for h in heads for t in tails])
+        words = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(len(iterations), len(blocks), 2)
+        first, second = words[..., 0], words[..., 1]
+        # hexadecimal digits 1 to 13 and 14 to 26
+        low = ((first & np.uint64(0xFFF)) << np.uint64(40)) | (second >> np.uint64(24))
+        return np.stack([first >> np.uint64(12), low]).astype(np.float64) / 2.0**52
 
-    return uniform
+    return draws
 
 
-def moving_blocks(length: int, seed: int) -> Callable[[Column, Column, Column], Column]:
+def moving_blocks(length: int) -> Blocks:
     """Blocks of one length from anywhere in the series; the last is cut to the length of the series."""
-    start = _draw(seed, 0)
 
-    def blocks(series: Column, iteration: Column, n: Column) -> Column:
-        count = F.ceil(n / length).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda j: F.struct(
-                F.floor(start(series, iteration, j) * (n - length + 1)).cast("int").alias("start"),
-                F.least(F.lit(length), n - j * length).alias("length"),
-            ),
-        )
+    def positions(draws: Callable, iterations: range, n: int) -> np.ndarray:
+        start = np.floor(draws(iterations, range(-(-n // length)))[0] * (n - length + 1)).astype(np.int64)
+        return (start[:, :, None] + np.arange(length)).reshape(len(iterations), -1)[:, :n]
 
-    return blocks
+    return positions
 
 
-def stationary_blocks(expected_length: float, seed: int) -> Callable[[Column, Column, Column], Column]:
+def stationary_blocks(expected_length: float) -> Blocks:
     """Blocks of geometric length on a circle until the series is filled."""
-    start, size = _draw(seed, 0), _draw(seed, 1)
 
-    def blocks(series: Column, iteration: Column, n: Column) -> Column:
-        def step(acc: Column, j: Column) -> Column:
+    def positions(draws: Callable, iterations: range, n: int) -> np.ndarray:
+        starts, sizes, filled, done = [], [], np.zeros(len(iterations), dtype=np.int64), 0
+        while filled.min() < n:  # most iterations are filled by the first round
+            more = range(done, min(n, done + int(1.5 * (n - filled.min()) / expected_length) + 4))
+            start, size = draws(iterations, more)
             if expected_length > 1:
-                ratio = F.ln(1 - size(series, iteration, j)) / F.ln(F.lit(1 - 1 / expected_length))
-                drawn = F.least(F.floor(ratio) + 1, F.lit(1 << 30)).cast("int")
+                size = np.minimum(np.floor(np.log(1 - size) / np.log(1 - 1 / expected_length)) + 1, n).astype(np.int64)
             else:
-                drawn = F.lit(1)
-            block = F.struct(
-                F.floor(start(series, iteration, j) * n).cast("int").alias("start"), F.least(drawn, n - acc["filled"]).alias("length")
-            )
-            extended = F.struct((acc["filled"] + block["length"]).alias("filled"), F.concat(acc["blocks"], F.array(block)).alias("blocks"))
-            return F.when(acc["filled"] >= n, acc).otherwise(extended)
+                size = np.ones(size.shape, dtype=np.int64)
+            starts.append(np.floor(start * n).astype(np.int64))
+            sizes.append(size)
+            filled, done = filled + size.sum(axis=1), more.stop
+        start, size = np.concatenate(starts, axis=1), np.concatenate(sizes, axis=1)
+        before = np.cumsum(size, axis=1) - size
+        size = np.clip(n - before, 0, size)  # every iteration now has n positions in all
+        shift = np.repeat((start - before).ravel(), size.ravel()).reshape(len(iterations), n)
+        return (shift + np.arange(n)) % n
 
-        empty = F.array().cast("array<struct<start:int,length:int>>")
-        zero = F.struct(F.lit(0).alias("filled"), empty.alias("blocks"))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step)["blocks"]
-
-    return blocks
+    return positions
 
 
 def prepared(series: DataFrame) -> DataFrame:
-    """(series_id, values, sums): the values by position and the running sums of their moments."""
-    companion = F.col("companion") if "companion" in series.columns else F.lit(None).cast("double")
-    rows = series.select("series_id", "position", F.col("value").cast("double").alias("x"), companion.cast("double").alias("y"))
-    rows = rows.where(F.col("x").isNotNull())
-    before = Window.partitionBy("series_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    x, y = F.col("x"), F.coalesce("y", F.lit(0.0))
-    terms = (F.lit(1.0), x, x * x, y, y * y, x * y, F.when(x > 0, 1.0).otherwise(0.0))
-    summed = rows.withColumn("sums", F.struct(*[F.sum(t).over(before).alias(n) for n, t in zip(MOMENTS, terms)]))
-    cells = F.sort_array(F.collect_list(F.struct("position", "x", "sums"))).alias("cells")
-    return summed.groupBy("series_id").agg(cells).select("series_id", F.col("cells.x").alias("values"), F.col("cells.sums").alias("sums"))
-
-
-def _moments(blocks: Column, sums: Column, n: Column) -> Column:
-    """Sums over the blocks from the running sums; positions beyond the end start again at the front."""
-
-    def part(end: Column, name: str) -> Column:
-        rounds, inside = F.floor(end / n), end % n
-        whole = F.when(rounds > 0, rounds * F.get(sums, n - 1)[name]).otherwise(0.0)
-        return whole + F.when(inside > 0, F.get(sums, (inside - 1).cast("int"))[name]).otherwise(0.0)
-
-    def add(acc: Column, b: Column) -> Column:
-        end = b["start"] + b["length"]
-        return F.struct(*[(acc[m] + part(end, m) - part(b["start"], m)).alias(m) for m in MOMENTS])
-
-    return F.aggregate(blocks, F.struct(*[F.lit(0.0).alias(m) for m in MOMENTS]), add)
-
-
-def _sample(blocks: Column, values: Column) -> Column:
-    around = F.concat(values, values)
-    return F.flatten(F.transform(blocks, lambda b: F.slice(around, b["start"] + 1, b["length"])))
+    """(series_id, x, y): the values and their companions by position."""
+    companion = F.col("companion") if "companion" in series.columns else F.lit(None)
+    rows = series.select(
+        "series_id", "position", F.col("value").cast("double").alias("x"), F.coalesce(companion.cast("double"), F.lit(0.0)).alias("y")
+    )
+    cells = F.sort_array(F.collect_list(F.struct("position", "x", "y"))).alias("cells")
+    whole = rows.where(F.col("x").isNotNull()).groupBy("series_id").agg(cells)
+    return whole.select("series_id", F.col("cells.x").alias("x"), F.col("cells.y").alias("y"))
+
+
+def _estimates(blocks: Blocks, statistics: dict[str, Statistic], seed: int) -> Callable:
+    """Rows (series_id, tag, x, y, first, last) to the point estimates and those of the iterations first to last."""
+
+    def resampled(x: np.ndarray, y: np.ndarray, tag: str | None, first: int, last: int) -> np.ndarray:
+        draws, step = _uniform(seed, tag), max(1, CELLS // len(x))
+        found = [np.empty((len(statistics), 0))]
+        for at in range(first, last + 1, step):
+            places = blocks(draws, range(at, min(at + step, last + 1)), len(x))
+            chosen = x[places], y[places]
+            found.append(np.stack([f(*chosen) for f in statistics.values()]))
+        return np.concatenate(found, axis=1)
+
+    def estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column("x"), batch.column("y")
+            facts = zip(*[batch.column(c).to_pylist() for c in ("tag", "first", "last")], strict=True)
+            for i, (tag, first, last) in enumerate(facts):
+                x, y = (side[i].values.to_numpy(zero_copy_only=False) for side in (xs, ys))
+                points = [float(f(x[None, :], y[None, :])[0]) for f in statistics.values()]
+                found = resampled(x, y, tag, first, last)
+                lists = [pa.array([row], type=pa.list_(pa.float64())) for row in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("series_id").slice(i, 1), *[pa.array([p], type=pa.float64()) for p in points], *lists],
+                    names=["series_id", *[f"p{k}" for k in range(len(points))], *[f"s{k}" for k in range(len(points))]],
+                )
+
+    return estimated
+
+
+def _quantile(ordered: Column, share: float) -> Column:
+    """Between the two nearest of the ordered values."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+    return a + (at - low) * (b - a)
 
 
 def block_bootstrap(
     series: DataFrame,
-    blocks: Callable[[Column, Column, Column], Column],
+    blocks: Blocks,
     statistics: dict[str, Statistic],
+    seed: int = 0,
     iterations: int = 500,
     confidence: float = 0.95,
     least: int = 4,
@@ -162,31 +185,35 @@ def block_bootstrap(
     with fewer than ``least`` values has its point estimate alone.
     """
     whole = prepared(series)
-    n = F.size("values")
-    spread = whole.where(n >= least).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(CHUNK))))
-    last = F.least(F.col("chunk") + CHUNK, F.lit(iterations)) - 1
-    spread = spread.repartition("series_id", "chunk").withColumn("iteration", F.explode(F.sequence("chunk", last)))
-    drawn = spread.withColumn("blocks", blocks(F.col("series_id"), F.col("iteration"), n))
-    resampled = drawn.select(
-        "series_id", "iteration", _moments(F.col("blocks"), F.col("sums"), n).alias("m"), _sample(F.col("blocks"), F.col("values")).alias("s")
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(CHUNK)),
+        lambda i: F.struct(i.alias("first"), F.least(i + (CHUNK - 1), F.lit(iterations - 1)).alias("last")),
     )
-    names = list(statistics)
-    estimates = resampled.select("series_id", *[f(F.col("m"), F.col("s")).alias(k) for k, f in statistics.items()])
-    points = whole.select(
-        "series_id", *[f(F.get("sums", n - 1), F.col("values")).alias(k) for k, f in statistics.items()]
-    ).unpivot("series_id", names, "statistic", "point_estimate")
+    none = F.array(F.struct(F.lit(0).alias("first"), F.lit(-1).alias("last")))
+    chunk = F.explode(F.when(F.size("x") >= least, chunks).otherwise(none)).alias("chunk")
+    rows = whole.select("series_id", F.col("series_id").cast("string").alias("tag"), "x", "y", chunk)
+    rows = rows.select("series_id", "tag", "x", "y", "chunk.first", "chunk.last")
+    # an explicit count: a small row means much work, so merging small partitions would starve the tasks
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = range(len(statistics))
+    schema = ", ".join([f"p{k} double" for k in names] + [f"s{k} array<double>" for k in names])
+    kind = series.schema["series_id"].dataType.simpleString()
+    made = rows.repartition(tasks, "series_id", "first").mapInArrow(_estimates(blocks, statistics, seed), f"series_id {kind}, {schema}")
+
+    def present(k: int) -> Column:
+        return F.array_sort(F.filter(F.flatten(F.collect_list(f"s{k}")), lambda v: ~F.isnan(v)))
+
+    gathered = made.groupBy("series_id").agg(*[F.first(f"p{k}").alias(f"p{k}") for k in names], *[present(k).alias(f"s{k}") for k in names])
+    each = [F.struct(F.lit(n).alias("statistic"), F.nanvl(f"p{k}", F.lit(None)).alias("point"), F.col(f"s{k}").alias("s")) for k, n in enumerate(statistics)]
+    spread = gathered.select("series_id", F.inline(F.array(*each)))
     tail = (1 - confidence) / 2
-    bounds = [F.array(F.percentile(k, F.array(F.lit(tail), F.lit(1 - tail))), F.array(F.count(k).cast("double"))) for k in names]
-    ranges = estimates.groupBy("series_id").agg(*[b.alias(k) for k, b in zip(names, bounds)])
-    ranges = ranges.unpivot("series_id", names, "statistic", "range")
-    joined = points.join(ranges, ["series_id", "statistic"], "left")
-    return joined.select(
+    return spread.select(
         "series_id",
         "statistic",
-        "point_estimate",
-        F.col("range")[0][0].alias("ci_lower"),
-        F.col("range")[0][1].alias("ci_upper"),
-        F.coalesce(F.col("range")[1][0].cast("long"), F.lit(0)).alias("iterations"),
+        F.col("point").alias("point_estimate"),
+        _quantile(F.col("s"), tail).alias("ci_lower"),
+        _quantile(F.col("s"), 1 - tail).alias("ci_upper"),
+        F.size("s").cast("long").alias("iterations"),
     )
 
 
@@ -202,7 +229,7 @@ def moving_block_bootstrap(
     if block_length < 1:
         raise ValueError("a block holds at least one value")
     chosen = statistics if isinstance(statistics, dict) else {k: STATISTICS[k] for k in statistics}
-    return block_bootstrap(series, moving_blocks(block_length, seed), chosen, iterations, confidence, max(4, block_length))
+    return block_bootstrap(series, moving_blocks(block_length), chosen, seed, iterations, confidence, max(4, block_length))
 
 
 def stationary_bootstrap(
@@ -217,4 +244,4 @@ def stationary_bootstrap(
     if expected_length < 1:
         raise ValueError("a block holds at least one value")
     chosen = statistics if isinstance(statistics, dict) else {k: STATISTICS[k] for k in statistics}
-    return block_bootstrap(series, stationary_blocks(expected_length, seed), chosen, iterations, confidence)
+    return block_bootstrap(series, stationary_blocks(expected_length), chosen, seed, iterations, confidence)
