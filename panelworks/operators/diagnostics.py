@@ -51,7 +51,7 @@ def topk_turnover(values: DataFrame, top_k: int, group_rows: int) -> DataFrame:
     """Mean share of new top-k members between consecutive non-empty days."""
     key = ["factor_id", "d"]
     order = ["value", "symbol"]
-    day = ["slot"] if "slot" in values.columns else key
+    day = ["d", "slot"] if "slot" in values.columns else key
     ranked = with_group_stats(values, day, {"n": F.count(F.lit(1))}, group_rows, order=order)
     ranked = ordinal_rank(ranked, day, order, "k", group_rows)
     members = ranked.where(F.col("k") > F.col("n") - F.least(F.lit(top_k), F.col("n"))).select("factor_id", "d", "symbol")
