@@ -33,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: each of several readers takes the columns it needs."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

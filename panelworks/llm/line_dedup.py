@@ -246,7 +246,7 @@ def linked_in_buckets(placed: DataFrame, texts: DataFrame, edits: int = EDITS, p
     tested once. Larger buckets are compared block against block.
     """
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("open"))
-    opened = kept(placed.join(sizes.where("open").drop("open"), "bucket"))
+    opened = stored(placed.join(sizes.where("open").drop("open"), "bucket"))
     small = opened.where(F.col("n") <= paired)
     one = small.select("bucket", F.col("key").alias("a"), F.col("component").alias("component_a"))
     two = small.select("bucket", F.col("key").alias("b"), F.col("component").alias("component_b"))
@@ -268,7 +268,7 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
     shared = members.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
     dealt = members.join(texts, "key").join(shared, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")})
     held = F.collect_list(F.struct("key", "component", "line", "own", "buckets", F.length("line").alias("size")))
-    packed = kept(dealt.groupBy("bucket", "blocks", "block").agg(held.alias("members")))
+    packed = stored(dealt.groupBy("bucket", "blocks", "block").agg(held.alias("members")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     first = packed.select("bucket", F.col("block").alias("low"), F.explode(F.filter(every, lambda i: i >= F.col("block"))).alias("high"), F.col("members").alias("ours"))
     second = packed.select("bucket", F.explode(F.filter(every, lambda i: i <= F.col("block"))).alias("low"), F.col("block").alias("high"), F.col("members").alias("theirs"))
@@ -291,20 +291,20 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
 
 def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
-    lines = stored(lines_of(docs, every_line).withColumns({"key": F.xxhash64("line"), "digest": F.unhex(F.md5("line"))}))
+    lines = stored(lines_of(docs, every_line).withColumn("digest", F.unhex(F.md5("line"))))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
+    # the line itself travels with its class, so that one exchange serves the classes and the texts
     distinct = lines.groupBy("digest").agg(
-        F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
+        F.first("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
     )
-    distinct = kept(distinct)
     own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
-    texts = lines.select("key", "line").distinct().withColumn("size", F.length("line")).withColumn("own", own)
-    texts = stored(texts)
-    members = kept(shared_buckets(bucket_rows(texts, edits, every_line)))
+    distinct = stored(distinct.withColumns({"key": F.xxhash64("line"), "size": F.length("line")}).withColumn("own", own))
+    texts, distinct = distinct.select("key", "line", "size", "own"), distinct.select("digest", "key", "n", "first")
+    members = stored(shared_buckets(bucket_rows(texts, edits, every_line)))
     found = None
     if members.limit(1).count():
         keys = members.select("key").distinct()
-        near = kept(texts.join(keys, "key", "left_semi").select("key", "line", "own"))
+        near = stored(texts.join(keys, "key", "left_semi").select("key", "line", "own"))
         found = connected(
             members, lambda pairs: linked_lines(pairs, near, edits), lambda placed: linked_in_buckets(placed, near, edits)
         )

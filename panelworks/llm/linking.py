@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import kept
+from panelworks.llm.common import kept, stored
 
 MAX_ROUNDS = 2
 
@@ -86,7 +86,7 @@ def connected(
         if not rest:
             return found
         last = turn > 0 and (rest <= bound or turn >= MAX_ROUNDS)
-        new = kept(link_all(kept(placed)) if last else link(_leader_pairs(placed, turn)))
+        new = kept(link_all(stored(placed)) if last else link(_leader_pairs(placed, turn)))
         links = new if links is None else links.union(new)
         found = components(links)
         if last:
