@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.session import ensure_checkpoint_dir
+from panelworks.session import ensure_checkpoint_dir, stored as stored
 
 #: A side of a join is broadcast only when its counted rows stay below this (narrow rows only).
 BROADCAST_ROWS = 1_000_000
@@ -29,14 +28,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: each of several readers takes the columns it needs."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Count a (materialised) narrow table and broadcast it only below ``limit`` rows."""
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,21 @@ from panelworks.plans.inputs import with_bars
 from panelworks.plans.learning import LABELS_SQL
 from panelworks.plans.registry import query, rounded
 from panelworks.plans.signals import prepared_bars
+from panelworks.session import stored
 
 _NAMES = ("ma5_slope", "bull_alignment_score", "compression_score", "percent_b", "squeeze_score", "trend_direction", "bull_cross_5_20", "sos_score", "sow_score")
 _GROUP_OF = {name: group for group, names in lb.GROUPS.items() for name in names}
 
 
-def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persistence baseline: each label predicted by its previous value, long."""
-    made = lb.build_labels(prepared_bars(spark, sf_dir))
+def label_history(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> DataFrame:
+    """Labels and their previous values (``_p_`` names), stored: the metrics read them many times."""
+    made = lb.build_labels(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *names)
     order = Rolling().ordered
+    return stored(made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in names}))
+
+
+def scored_labels(history: DataFrame) -> DataFrame:
+    """Persistence baseline: each label predicted by its previous value, long."""
     cells = F.array(
         *[
             F.struct(
@@ -33,14 +41,18 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col(f"_p_{n}").alias("prediction"),
             )
             for n in _NAMES
+            if n in history.columns
         ]
     )
-    lagged = made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in _NAMES})
     row = F.concat_ws("|", F.lpad(F.col("symbol").cast("string"), 12, "0"), F.col("trading_date").cast("string"))
-    long = lagged.select(row.alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.*")
+    long = history.select(row.alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.*")
     return metrics.complete(long)
 
 
+def _of_task(binary: bool) -> list[str]:
+    return [n for n in _NAMES if (lb.task_type(n) == "binary_event") == binary]
+
+
 SCORED_SQL = (
     LABELS_SQL
     + ", sc AS ("
@@ -78,7 +90,7 @@ _REG = ("mae", "rmse", "pearson", "spearman", "sign_accuracy")
     with_bars(SCORED_SQL + _REGRESSION_SQL + 'SELECT grp AS "group", name, ' + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _REG) + ", valid_count FROM reg"),
 )
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_labels(spark, sf_dir).where(F.col("task") != "binary_event")
+    rows = scored_labels(label_history(spark, sf_dir, _of_task(binary=False)))
     return rounded(metrics.regression_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
 
 
@@ -90,14 +102,12 @@ _EVENT_COLUMNS = (*metrics.EVENT_FIELDS, "prevalence")
     with_bars(SCORED_SQL + _EVENT_SQL + 'SELECT grp AS "group", name, ' + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _EVENT_COLUMNS) + ", valid_count FROM evm"),
 )
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_labels(spark, sf_dir).where(F.col("task") == "binary_event")
+    rows = scored_labels(label_history(spark, sf_dir, _of_task(binary=True)))
     return rounded(metrics.event_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
 
 
-def phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lb.build_labels(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *lb.PHASES)
-    order = Rolling().ordered
-    pairs = made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in lb.PHASES})
+def phase_rows(pairs: DataFrame) -> DataFrame:
+    """Target and score arrays of the rows of a label history whose phases are all valid."""
     known = F.col("markup").isNotNull() & F.col("_p_markup").isNotNull()
     return pairs.where(known).select(
         "symbol",
@@ -149,7 +159,8 @@ _LONG_SQL = (
     with_bars(SCORED_SQL + _REGRESSION_SQL + _EVENT_SQL + _LONG_SQL + 'SELECT grp AS "group", name, metric, round(value, 6) + 0.0 AS value FROM al'),
 )
 def grouped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.grouped_metrics(scored_labels(spark, sf_dir), phase_rows(spark, sf_dir), inputs.bar_rows(sf_dir)))
+    history = label_history(spark, sf_dir, (*_NAMES, *lb.PHASES))
+    return rounded(metrics.grouped_metrics(scored_labels(history), phase_rows(history), inputs.bar_rows(sf_dir)))
 
 
 def _figure(out: str, group: str, names: str, metric: str) -> str:
@@ -207,7 +218,8 @@ _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
     ),
 )
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = metrics.grouped_metrics(scored_labels(spark, sf_dir), phase_rows(spark, sf_dir), inputs.bar_rows(sf_dir))
+    history = label_history(spark, sf_dir, (*_NAMES, *lb.PHASES))
+    long = metrics.grouped_metrics(scored_labels(history), phase_rows(history), inputs.bar_rows(sf_dir))
     scored = metrics.composite_scores(metrics.metric_summary(long))
     stages = [f"select_{stage}" for stage in metrics.STAGES]
     return rounded(scored.select(*_COMPOSITE_COLUMNS, "composite", *stages))
@@ -220,7 +232,7 @@ def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def soft_phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.soft_phase_metrics(phase_rows(spark, sf_dir), 5))
+    return rounded(metrics.soft_phase_metrics(phase_rows(label_history(spark, sf_dir, lb.PHASES)), 5))
 
 
 @query(
@@ -228,7 +240,7 @@ def soft_phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_bars(_PHASE_SQL + "SELECT CAST(act AS INTEGER) AS actual, CAST(prd AS INTEGER) AS predicted, count(*) AS n FROM a2 GROUP BY 1, 2"),
 )
 def phase_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion(metrics.soft_rows(phase_rows(spark, sf_dir)))
+    return metrics.confusion(metrics.soft_rows(phase_rows(label_history(spark, sf_dir, lb.PHASES))))
 
 
 @query(

@@ -1,8 +1,10 @@
 """Frames computed in batches against Spark's own windows, bit by bit."""
 
 import math
+import os
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from panelworks.functions.rolling import Rolling
 from panelworks.operators.features import build_features
 from panelworks.operators.labels import build_labels
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def _rows():
     draw = random.Random(5)
@@ -75,3 +79,13 @@ def test_no_moving_window_is_left_to_spark(spark):
     for build in (build_features, build_labels):
         plan = build(bars)._jdf.queryExecution().optimizedPlan().toString()
         assert "RowFrame, -" not in plan.replace("RowFrame, -1, -1", "") and "MapInArrow" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="given tables are not here")
+@pytest.mark.parametrize("name", ["regression_metrics", "event_metrics"])
+def test_metrics_read_labels_made_once(spark, name):
+    """The metrics read their rows several times: from a stored table, not from the line items anew."""
+    import __spark_entry__ as registry
+
+    files = registry.queries()[name](spark, SF_DIR).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
