@@ -5,9 +5,9 @@ and are cut into passages of ``PASSAGE`` words at a stride of half a passage.
 Document frequencies of the terms cover all passages. A randomised SVD of the
 TF-IDF passages gives the latent space: partial sums of A'(A X) are computed per
 partition and added by a shuffle, twice, followed by a Rayleigh-Ritz rotation on
-the driver (terms x rank numbers). The space is fitted on all item passages and on a
-sample of at most ``FIT_PASSAGES`` document passages, balanced against each
-other; every passage of every document is then searched: passages whose cosine
+the driver (terms x rank numbers). The space is fitted on all passages of the items and
+of the documents, balanced against each other. Neighbouring passages share a half, so
+products are made per half. Every passage of every document is then searched: passages whose cosine
 with a passage of an item reaches ``COSINE`` are candidates. The longest common
 subsequence of an item and the text around the passage decides: ``COPY`` of the
 item's words is a copy, ``PARAPHRASE`` of them is a paraphrase if the item's
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,10 @@ from panelworks.llm.common import batches, column, free_names, kept, whole_text
 
 PASSAGE, STRIDE = 32, 16
 RANK, OVERSAMPLE = 96, 16
-FIT_PASSAGES = 50_000
+#: passages whose counts and products a task makes at once; all are fitted
+FIT_PASSAGES = 2_048
+#: words of a term in a chunk from which it is multiplied densely
+DENSE = 48
 ITEMS = 5_000
 COSINE = 0.6
 COPY, PARAPHRASE, ANSWER = 0.6, 0.45, 0.8
@@ -95,13 +99,44 @@ def term_sequences(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     return chosen.mapInArrow(numbered, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def _passages(ids: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of all known terms of the passages of one sequence."""
-    starts = np.array(_starts(len(ids), stride))
-    at = starts[:, None] + np.arange(PASSAGE)
-    terms = np.where(at < len(ids), ids[np.minimum(at, len(ids) - 1)], -1)
-    rows, columns = np.nonzero(terms >= 0)
-    return rows, terms[rows, columns]
+class Halves(NamedTuple):
+    """Known terms of a chunk of sequences by half passage: the passage that starts at half h has the terms of h and h + 1."""
+
+    half: np.ndarray  # of each word, ascending
+    term: np.ndarray
+    starts: np.ndarray  # whether a passage starts at the half; one more half than there are
+
+    def pairs(self, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(half, term, count) of the distinct terms of each half, and the count of the same term in the next half."""
+        keys, counts = np.unique(self.half * n_terms + self.term, return_counts=True)
+        at = np.minimum(np.searchsorted(keys, keys + n_terms), max(len(keys) - 1, 0))
+        following = np.where(keys[at] == keys + n_terms, counts[at], 0)
+        return keys // n_terms, keys % n_terms, counts, following
+
+
+def _halves(packed: Iterable[bytes]) -> Iterator[Halves]:
+    """All passages of packed sequences, ``FIT_PASSAGES`` or a text's rest at a time; a long text goes in slices."""
+    words, bases, starts, held = [], [], [], 0
+
+    def chunk() -> Halves:
+        ids = np.concatenate(words)
+        half = np.concatenate([base + np.arange(len(w)) // STRIDE for base, w in zip(bases, words)])
+        return Halves(half[ids >= 0], ids[ids >= 0].astype(np.int64), np.concatenate([*starts, [False]]))
+
+    for one in packed:
+        ids = np.frombuffer(one, dtype=np.int32)
+        passages = len(_starts(len(ids), STRIDE)) if len(ids) else 0
+        for first in range(0, passages, FIT_PASSAGES):
+            here = min(FIT_PASSAGES, passages - first)
+            words.append(ids[first * STRIDE : (first + here + 1) * STRIDE])
+            bases.append(held)
+            starts.append(np.arange(here + 1) < here)
+            held += here + 1
+            if held >= FIT_PASSAGES:
+                yield chunk()
+                words, bases, starts, held = [], [], [], 0
+    if words:
+        yield chunk()
 
 
 def document_frequencies(sequences: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -110,13 +145,12 @@ def document_frequencies(sequences: DataFrame, n_terms: int) -> tuple[np.ndarray
     def counted(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_terms + 1, dtype=np.int64)  # the last one counts passages
         for batch in rows:
-            for packed in batch.column("ids").to_pylist():
-                ids = np.frombuffer(packed, dtype=np.int32)
-                if len(ids):
-                    passage, term = _passages(ids)
-                    counts[-1] += len(_starts(len(ids), STRIDE))
-                    once = np.unique(passage * n_terms + term) % n_terms
-                    counts[:-1] += np.bincount(once, minlength=n_terms)
+            for chunk in _halves(batch.column("ids").to_pylist()):
+                counts[-1] += chunk.starts.sum()
+                half, term, _, following = chunk.pairs(n_terms)
+                # a term of two halves in a row is in the passage of both once
+                holds = chunk.starts[half - 1].astype(np.int64) + (chunk.starts[half] & (following == 0))
+                counts[:-1] += np.bincount(term, holds, minlength=n_terms).astype(np.int64)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["term", "n"])
 
@@ -127,6 +161,44 @@ def document_frequencies(sequences: DataFrame, n_terms: int) -> tuple[np.ndarray
     return counts[:-1], int(counts[-1])
 
 
+def _group_sums(rows: np.ndarray, at: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` over stretches of ``at``: one layer of all stretches at a time, the longest first."""
+    longest = np.argsort(-counts, kind="stable")
+    held, first = np.zeros((len(counts), rows.shape[1]), dtype=rows.dtype), starts[longest]
+    for k, n in enumerate(len(counts) - np.cumsum(np.bincount(counts))[:-1] if len(counts) else ()):
+        held[:n] += rows[at[first[:n] + k]]
+    sums = np.empty_like(held)
+    sums[longest] = held
+    return sums
+
+
+def _add_gram_times(total: np.ndarray, chunk: Halves, idf: np.ndarray, weighted: np.ndarray) -> None:
+    """Add A'(A X), less the last factor of idf, of the unit TF-IDF passages of a chunk; ``weighted`` is idf times X."""
+    if not len(chunk.term):
+        return
+    half, term, n, following = chunk.pairs(len(idf))
+    size, square = len(chunk.starts), idf[term] ** 2
+    own, met = np.bincount(half, n * n * square, size), np.bincount(half, n * following * square, size)
+    norm = own + np.append(own[1:], 0.0) + 2 * met
+    scale = np.where(chunk.starts, 1 / np.maximum(norm, 1e-12), 0.0).astype(np.float32)[:, None]
+    y = np.zeros((size + 1, weighted.shape[1]), dtype=np.float32)
+    words = np.bincount(chunk.half, minlength=size)
+    y[:-1] = _group_sums(weighted, chunk.term, np.cumsum(words) - words, words)
+    passages = (y[:-1] + y[1:]) * scale
+    passages[1:] += passages[:-1].copy()  # what the passages of a half give it
+    # terms of many words of the chunk in a dense product, the others word by word
+    words = np.bincount(chunk.term, minlength=len(idf))
+    often, seldom = np.flatnonzero(words > DENSE), np.flatnonzero((words > 0) & (words <= DENSE))
+    number = np.full(len(idf), -1)
+    number[often] = np.arange(len(often))
+    mine = number[chunk.term]
+    cells = np.bincount(mine[mine >= 0] * size + chunk.half[mine >= 0], minlength=len(often) * size)
+    total[often] += cells.reshape(len(often), size).astype(np.float32) @ passages
+    half, term = chunk.half[mine < 0], chunk.term[mine < 0]
+    order = np.argsort(term.astype(np.uint16) if len(idf) <= 1 << 16 else term, kind="stable")
+    total[seldom] += _group_sums(passages, half[order], np.cumsum(words[seldom]) - words[seldom], words[seldom])
+
+
 def _gram_times(rows: np.ndarray, terms: np.ndarray, n_rows: int, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A'(A X) of one batch of unit TF-IDF rows."""
     keys, counts = np.unique(rows * len(idf) + terms, return_counts=True)
@@ -153,32 +225,17 @@ def latent_space(sequences: DataFrame, items: Benchmark, idf: np.ndarray, n_pass
     parts = [_passage_terms(p) for p in items.passages]
     own_row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     own_term = np.concatenate(parts)
-    share = min(1.0, FIT_PASSAGES / max(1, n_passages))
-    balance = max(1.0, share * n_passages) / len(parts)  # items and documents weigh the same
+    balance = max(1, n_passages) / len(parts)  # items and documents weigh the same
     for turn in range(2):
         shared = context.broadcast((idf, x))
 
         def partial(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, basis = shared.value
-            total = np.zeros_like(basis)
+            total, weighted = np.zeros_like(basis), (weights[:, None] * basis).astype(np.float32)
             for batch in rows:
-                row, term, n = [], [], 0
-                for packed in [*batch.column("ids").to_pylist(), None]:
-                    if n >= 4096 or (packed is None and n):
-                        if any(map(len, row)):
-                            total += _gram_times(np.concatenate(row), np.concatenate(term), n, weights, basis)
-                        row, term, n = [], [], 0
-                    ids = np.frombuffer(packed or b"", dtype=np.int32)
-                    if len(ids):
-                        r, t = _passages(ids)
-                        if share < 1:  # the draw depends on the passage alone, not on where it is processed
-                            first = np.array(_starts(len(ids), STRIDE))
-                            draw = (ids[np.minimum(first, len(ids) - 1)].astype(np.int64) * 7919 + first + len(ids)) * 2654435761 % 2**32
-                            chosen = draw < share * 2**32
-                            r, t = (np.cumsum(chosen) - 1)[r[chosen[r]]], t[chosen[r]]
-                        row.append(r + n)
-                        term.append(t)
-                        n += int(r[-1]) + 1 if len(r) else 0
+                for chunk in _halves(batch.column("ids").to_pylist()):
+                    _add_gram_times(total, chunk, weights, weighted)
+            total *= weights[:, None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(total))), pa.array(list(total), type=pa.list_(pa.float64()))], names=["term", "sums"]
             )

@@ -451,3 +451,25 @@ def test_pipeline_keeps_the_columns(spark):
         assert 0 < out.count() <= docs.count() and out.first()["a.b"] == "a.b", name
     result = corpus_pipeline.run(spark, sf_dir)
     assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < result.count() < docs.count()
+
+
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """More passages than any chunk: counts and space equal those of a dense matrix of all passages."""
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 64)
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    monkeypatch.setattr(decontaminate, "OVERSAMPLE", 36)
+    rng = np.random.default_rng(5)
+    items = decontaminate.Benchmark([(k, " ".join(f"w{w}" for w in rng.integers(0, 40, 24))) for k in range(6)])
+    terms = len(items.terms)
+    texts = [rng.integers(-1, terms, n).astype(np.int32) for n in [0, 1, 15, 16, 17, 32, 33, 48, 5000, *rng.integers(1, 400, 300)]]
+    sequences = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "doc_id long, ids binary").repartition(3)
+    rows = [t[a : a + 32] for t in texts if len(t) for a in decontaminate._starts(len(t), 16)]
+    dense = np.array([np.bincount(r[r >= 0], minlength=terms) for r in rows], dtype=float)
+    counts, n = decontaminate.document_frequencies(sequences, terms)
+    assert n == len(rows) and counts.tolist() == (dense > 0).sum(axis=0).tolist()
+    idf = np.log((n + 1) / (counts + 1))
+    unit = lambda m: m * idf / np.sqrt(np.maximum(((m * idf) ** 2).sum(axis=1), 1e-12))[:, None]
+    own = unit(np.array([np.bincount(p, minlength=terms) for p in items.passages], dtype=float))
+    gram = unit(dense).T @ unit(dense) + n / len(own) * own.T @ own
+    _, values = decontaminate.latent_space(sequences, items, idf, n)
+    np.testing.assert_allclose(values**2, np.linalg.eigvalsh(gram)[::-1][:4], rtol=1e-4)
