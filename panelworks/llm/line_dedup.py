@@ -291,15 +291,15 @@ def linked_in_blocks(members: DataFrame, texts: DataFrame, edits: int = EDITS, b
 
 def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     """(doc_id, of, line_no, keep, class_size, stays) of every line of a class of several lines."""
-    lines = stored(lines_of(docs, every_line).withColumn("digest", F.unhex(F.md5("line"))))
+    # read twice rather than stored: only distinct lines are, and only once
+    lines = lines_of(docs, every_line)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
-    # the line itself travels with its class, so that one exchange serves the classes and the texts
-    distinct = lines.groupBy("digest").agg(
-        F.first("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min(place).alias("first")
-    )
+    # the line itself is the key: one exchange serves the classes and the texts, and alike lines lie together
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     own = own_edits(F.col("line"), F.col("size"), edits) if every_line else F.lit(edits)
     distinct = stored(distinct.withColumns({"key": F.xxhash64("line"), "size": F.length("line")}).withColumn("own", own))
-    texts, distinct = distinct.select("key", "line", "size", "own"), distinct.select("digest", "key", "n", "first")
+    digest = F.unhex(F.md5("line")).alias("digest")
+    texts, distinct = distinct.select("key", "line", "size", "own"), distinct.select(digest, "key", "n", "first")
     members = stored(shared_buckets(bucket_rows(texts, edits, every_line)))
     found = None
     if members.limit(1).count():
@@ -318,7 +318,7 @@ def _classes(docs: DataFrame, edits: int, every_line: bool) -> DataFrame:
     whole = placed.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
     several = placed.join(whole.where("class_size > 1"), "component").select("digest", "keep", "class_size")
     several = kept(several)
-    own = lines.select("doc_id", "of", "line_no", "digest").join(broadcast_if_small(several), "digest")
+    own = lines.select("doc_id", "of", "line_no", digest).join(broadcast_if_small(several), "digest")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "of")
     return own.withColumn("stays", first.eqNullSafe(F.col("keep"))).drop("digest")
 

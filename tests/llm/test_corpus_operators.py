@@ -473,3 +473,14 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     gram = unit(dense).T @ unit(dense) + n / len(own) * own.T @ own
     _, values = decontaminate.latent_space(sequences, items, idf, n)
     np.testing.assert_allclose(values**2, np.linalg.eigvalsh(gram)[::-1][:4], rtol=1e-4)
+
+
+def test_lines_are_stored_once(spark, monkeypatch):
+    """Every repeat of a line is read again; only the distinct lines, and those that share a segment, are tables."""
+    tables = []
+    monkeypatch.setattr(line_dedup, "stored", lambda df, put=line_dedup.stored: tables.append(df.columns) or put(df))
+    docs = spark.createDataFrame([(d, "the same line in every text\nand " + "x" * d) for d in range(40)], "doc_id long, text string")
+    rows = line_dedup.line_classes(docs, every_line=True).collect()
+    same = [r for r in rows if r.line_no == 0]
+    assert len(same) == 40 and {(r.class_doc_id, r.class_line_no, r.class_size) for r in same} == {(0, 0, 40)}
+    assert not any("line" in columns and "line_no" in columns for columns in tables)
