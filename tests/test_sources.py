@@ -91,6 +91,33 @@ def test_signals_turn_visible_at_the_cutoff(spark):
     assert seen == {"a": {0, 1, 2, 3, 4, 5}, "b": {1, 2, 3, 4, 5}}
 
 
+def test_features_fold_signals_before_their_days(spark):
+    from datetime import datetime, timedelta
+
+    rows = []
+    for i in range(400):
+        at = datetime(2024, 1, 1) + timedelta(hours=(i * 7) % 200)
+        uid, source = (f"u{i % 3}" if i % 5 else None), (None, "", "v1", "v2", "u1")[i % 5]
+        mood = ("BULLISH", "BEARISH", "NEUTRAL", None)[(i // 3) % 4]
+        score = float(i) if i % 4 == 0 else None
+        given = 1.0 if i % 97 == 0 else None
+        review = "REJECTED" if i % 11 == 0 else None
+        rows.append((f"s{i}", f"US.{i % 2}", at, uid, source, ("A", "B", "", None)[(i // 7) % 4], mood, "FACT", "EXTERNALLY_VERIFIED", score, given, review))
+    schema = (
+        "signal_id string, symbol string, available_from timestamp_ntz, knowledge_uid string, source_video_id string, subject string,"
+        " sentiment string, knowledge_kind string, truth_status string, content_attention_score double, cross_video_consensus double, review_status string"
+    )
+    signals = spark.createDataFrame(rows, schema)
+    days = spark.createDataFrame([(date(2024, 1, 1 + i), i) for i in range(0, 15, 2)], "trading_date date, d int")
+    want = content.content_features(content.visible_cells(signals, days)).sort("symbol", "d").collect()
+    made = content.visible_features(signals, days, 50 * content.SIGNALS_PER_TASK)
+    assert len(want) > 8 and made.sort("symbol", "d").collect() == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # tasks follow the number of signals, and no aggregate stands before the first exchange of the scan
+    assert "hashpartitioning(symbol" in plan and plan.count(", 50), REPARTITION_BY_NUM") >= 2
+    assert plan.count("Scan ExistingRDD[signal_id") == 1
+
+
 def test_unfinished_and_damaged_snapshots(spark, tmp_path):
     bars, root = some_bars(spark), str(tmp_path)
     name = f"mds-{prepare.content_digest(bars).first()['digest']}"
