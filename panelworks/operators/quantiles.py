@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +42,59 @@ class Target:
         """Both needed values are in the bracket."""
         return self.below <= self.position and self.last < self.below + self.inside
 
+    @property
+    def open(self) -> bool:
+        """More than one value may be in the bracket."""
+        return self.low != self.high and not math.isnan(self.low)
+
     def within(self):
         return F.when(F.col(self.column).between(self.low, self.high), F.col(self.column))
 
+    def split(self, values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which known values lie below and in the bracket; NaN is the largest value, as in Spark."""
+        below = known & (~np.isnan(values) if math.isnan(self.low) else values < self.low)
+        inside = known & ~below
+        return below, inside if math.isnan(self.high) else inside & (values <= self.high)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    cells = batch.column(name)
+    return cells.to_numpy(zero_copy_only=False).astype(float), cells.is_valid().to_numpy(zero_copy_only=False)
+
 
 def _counted(rows: DataFrame, targets: list[Target]) -> None:
-    """Fill in how many values lie below and in each bracket."""
-    parts = []
-    for t in targets:
-        parts += [F.count_if(F.col(t.column) < t.low), F.count(t.within())]
-    found = rows.agg(*[p.alias(f"n{i}") for i, p in enumerate(parts)]).first()
-    for i, t in enumerate(targets):
-        t.below, t.inside = found[2 * i], found[2 * i + 1]
+    """Fill in how many values lie below and in each bracket; a task counts whole columns of its batches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(targets), 2), dtype=np.int64)
+        for batch in batches:
+            columns = {t.column: None for t in targets}
+            for i, t in enumerate(targets):
+                columns[t.column] = columns[t.column] or _column(batch, t.column)
+                totals[i] += [np.count_nonzero(x) for x in t.split(*columns[t.column])]
+        numbers = pa.array(np.arange(len(targets), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([numbers, *map(pa.array, totals.T)], ["target", "below", "inside"])
+
+    needed = rows.select(*dict.fromkeys(t.column for t in targets))
+    found = needed.mapInArrow(count, "target int, below long, inside long")
+    for r in found.groupBy("target").agg(F.sum("below").alias("below"), F.sum("inside").alias("inside")).collect():  # a row per target
+        targets[r["target"]].below, targets[r["target"]].inside = r["below"], r["inside"]
+
+
+def _inside(rows: DataFrame, targets: list[Target]) -> DataFrame:
+    """(target, value, n): the values of each bracket, equal ones of a batch as one row."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(targets):
+                values, known = _column(batch, t.column)
+                distinct, times = np.unique(values[t.split(values, known)[1]], return_counts=True)
+                if len(distinct):
+                    cells = [np.full(len(distinct), i, dtype=np.int32), distinct, times.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["target", "value", "n"])
+
+    needed = rows.select(*dict.fromkeys(t.column for t in targets))
+    return needed.mapInArrow(pick, "target int, value double, n long")
 
 
 def exact_quantiles(
@@ -65,7 +108,7 @@ def exact_quantiles(
     numbers per column and share.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.select(*columns).checkpoint()
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).checkpoint()
     margin = 2 / accuracy
 
     def around(share: float) -> list[float]:
@@ -91,7 +134,7 @@ def exact_quantiles(
         for t in missed:
             t.low, t.high = map(float, ends[t.column])
         _counted(rows, missed)
-    while wide := [t for t in targets if t.inside > ordered and t.low < t.high]:
+    while wide := [t for t in targets if t.inside > ordered and t.open]:
         sketches = [
             F.percentile_approx(t.within(), F.array(*[F.lit(p) for p in around((t.position - t.below) / t.inside)]), F.lit(accuracy))
             for t in wide
@@ -110,12 +153,10 @@ def exact_quantiles(
 
 def _picked(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], targets: list[Target]) -> dict[str, list[float | None]]:
     """The values at the wanted positions of each bracket, from counts of its distinct values."""
-    values: dict[tuple[str, float], float] = {(t.column, t.share): t.low for t in targets if t.low == t.high}
-    open_ = [t for t in targets if t.low < t.high]
+    values: dict[tuple[str, float], float] = {(t.column, t.share): t.low for t in targets if not t.open}
+    open_ = [t for t in targets if t.open]
     if open_:
-        cells = F.array(*[F.struct(F.lit(i).alias("target"), t.within().alias("value")) for i, t in enumerate(open_)])
-        inside = rows.select(F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c")).select("c.*")
-        counts = inside.groupBy("target", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = _inside(rows, open_).groupBy("target", "value").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("upto", F.sum("n").over(upto))
         first = F.create_map(*[x for i, t in enumerate(open_) for x in (F.lit(i), F.lit(t.position - t.below))])
