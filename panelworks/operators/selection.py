@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.operators.ranking import ordinal_rank
+from panelworks.session import stored
 
 # Fixed values.
 DUPLICATE_CORRELATION = 0.995
@@ -18,14 +19,14 @@ MAX_FINALISTS = 3
 POLICY = "promotion_gate_v2"
 
 
-def _pair_sums(names: Sequence[str]):
-    """Sums over the cells two candidates share, for every pair, per batch."""
+def _pair_sums(names: Sequence[str], centre: Sequence[float]):
+    """Sums over the cells two candidates share, for every pair, per batch; values are taken from their ``centre``."""
     upper = np.triu_indices(len(names), 1)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = None
         for batch in batches:
-            x = batch.to_numpy(dtype=float)
+            x = batch.to_numpy(dtype=float) - np.asarray(centre)
             seen = np.isfinite(x)
             x = np.where(seen, x, 0.0)
             v = seen.astype(float)
@@ -49,15 +50,31 @@ def candidate_correlations(values: DataFrame, names: Sequence[str]) -> DataFrame
     matrices, so the cells are never repeated per pair. The number of candidates
     is limited by the search budget.
     """
+    return cell_correlations(candidate_cells(values, names), names)
+
+
+def candidate_cells(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One stored row per ``symbol, d`` with a column per candidate, numbered in the order of the names."""
     ordered = sorted(names)
-    centre = values.groupBy("factor_id").agg(F.avg("value").alias("_mean"))  # one row per candidate
-    centred = values.join(F.broadcast(centre), "factor_id").withColumn("value", F.col("value") - F.col("_mean"))
     number = F.array_position(F.array(*[F.lit(n) for n in ordered]), F.col("factor_id")).cast("int")
     places = list(range(1, len(ordered) + 1))
-    wide = centred.withColumn("_i", number).groupBy("symbol", "d").pivot("_i", places).agg(F.first("value"))
+    wide = values.withColumn("_i", number).groupBy("symbol", "d").pivot("_i", places).agg(F.first("value"))
+    return stored(wide.select(*[F.col(str(i)) for i in places]))
+
+
+def cell_counts(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(factor_id, cells) of the candidates that have any."""
+    counts = cells.agg(*[F.count(c).alias(c) for c in cells.columns])  # one row
+    pairs = F.array(*[F.struct(F.lit(n).alias("factor_id"), F.col(c).alias("cells")) for n, c in zip(sorted(names), cells.columns)])
+    return counts.select(F.explode(pairs).alias("c")).select("c.*").where(F.col("cells") > 0)
+
+
+def cell_correlations(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``candidate_correlations`` from the rows of ``candidate_cells``."""
+    means = cells.agg(*[F.avg(c).alias(c) for c in cells.columns]).first()  # one number per candidate
+    centre = [0.0 if m is None else m for m in means]
     schema = "left string, right string, n double, sx double, sy double, sxx double, syy double, sxy double"
-    cells = wide.select(*[F.col(str(i)) for i in places])
-    sums = cells.mapInPandas(_pair_sums(ordered), schema)
+    sums = cells.mapInPandas(_pair_sums(sorted(names), centre), schema)
     total = sums.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n

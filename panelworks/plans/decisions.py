@@ -137,9 +137,10 @@ SELECT o.factor_id, o.place, twin IS NULL AS retained, r.factor_id AS representa
 def correlation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = inputs.panel(spark, sf_dir, None)
     values = fm.factor_values(panel, _TWINS, inputs.universe(sf_dir)[0])
-    pairs = selection.candidate_correlations(values, list(_TWINS))
-    rated = values.groupBy("factor_id").agg(F.count(F.lit(1)).cast("double").alias("fitness"))
-    rated = rated.withColumn("seq", F.col("factor_id"))
+    cells = selection.candidate_cells(values, list(_TWINS))
+    pairs = selection.cell_correlations(cells, list(_TWINS))
+    rated = selection.cell_counts(cells, list(_TWINS))
+    rated = rated.select("factor_id", F.col("cells").cast("double").alias("fitness"), F.col("factor_id").alias("seq"))
     return selection.correlation_dedupe(rated, pairs, threshold=0.95)
 
 
