@@ -88,24 +88,26 @@ def event_metrics(rows: DataFrame, keys: Sequence[str], group_rows: int, thresho
         F.count_if(pos & ~predicted).cast("double").alias("_fn"),
         *[value.alias(name) for name, value in tops.items()],
     )
+    return event_figures(sums, [*keys, *tops], "valid_count").join(expected_calibration_error(rows, keys), list(keys))
+
+
+def event_figures(sums: DataFrame, keep: Sequence[str], n: str) -> DataFrame:
+    """The figures that follow from ``_positives, _area, _tp, _fp, _fn`` and the number ``n`` of rows."""
     one = F.lit(1.0)
     area = F.when(F.col("_positives") > 0, F.col("_area") / F.greatest("_positives", F.lit(1))).otherwise(0.0)
-    prevalence = F.col("_positives") / F.col("valid_count")
+    prevalence = F.col("_positives") / F.col(n)
     precision = F.col("_tp") / F.greatest(F.col("_tp") + F.col("_fp"), one)
     recall = F.col("_tp") / F.greatest(F.col("_tp") + F.col("_fn"), one)
-    return (
-        sums.select(
-            *keys,
-            area.alias("pr_auc"),
-            prevalence.alias("prevalence"),
-            (area / F.greatest(prevalence, F.lit(1e-12))).alias("pr_auc_multiple_of_prevalence"),
-            (F.least(area / F.greatest(prevalence, F.lit(1e-4)), F.lit(10.0)) / 10.0).alias("relative_pr"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-            (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))).alias("f1"),
-            *tops,
-            "valid_count",
-        ).join(expected_calibration_error(rows, keys), list(keys))
+    return sums.select(
+        *keep,
+        area.alias("pr_auc"),
+        prevalence.alias("prevalence"),
+        (area / F.greatest(prevalence, F.lit(1e-12))).alias("pr_auc_multiple_of_prevalence"),
+        (F.least(area / F.greatest(prevalence, F.lit(1e-4)), F.lit(10.0)) / 10.0).alias("relative_pr"),
+        precision.alias("precision"),
+        recall.alias("recall"),
+        (2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))).alias("f1"),
+        n,
     )
 
 
@@ -214,11 +216,17 @@ def grouped_metrics(rows: DataFrame, phases: DataFrame, group_rows: int, classes
     keys = ["group", "name"]
     scored = rows.where(F.col("group") != "phase")
     binary = F.col("task") == "binary_event"
-    plain = regression_metrics(scored.where(~binary), keys, group_rows).unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
-    event = event_metrics(scored.where(binary), keys, group_rows).unpivot(keys, list(EVENT_FIELDS), "metric", "value")
-    targets = plain.unionByName(event)
+    plain = regression_metrics(scored.where(~binary), keys, group_rows)
+    return long_metrics(plain, event_metrics(scored.where(binary), keys, group_rows), soft_phase_metrics(phases, classes))
+
+
+def long_metrics(plain: DataFrame, event: DataFrame, phase: DataFrame) -> DataFrame:
+    """Figures per target and the means of each group, long, from one row per target and one row of the phase group."""
+    keys = ["group", "name"]
+    plain = plain.unpivot(keys, list(REGRESSION_FIELDS), "metric", "value")
+    targets = plain.unionByName(event.unpivot(keys, list(EVENT_FIELDS), "metric", "value"))
     groups = targets.groupBy("group", F.lit("aggregate").alias("name"), "metric").agg(F.avg("value").alias("value"))
-    shape = soft_phase_metrics(phases, classes).select(
+    shape = phase.select(
         F.lit("phase").alias("group"),
         F.lit("aggregate").alias("name"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in PHASE_FIELDS],

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.functions import scalar
-from panelworks.functions.rolling import Rolling
+from panelworks.functions.frames import Frame, with_frames
 from panelworks.operators import dataset, metrics, neighbors
+from panelworks.operators import history_metrics as hm
 from panelworks.operators import labels as lb
 from panelworks.plans import inputs
 from panelworks.plans.inputs import with_bars
-from panelworks.plans.learning import LABELS_SQL
+from panelworks.plans.learning import LABELS_SQL, drawn_symbols
 from panelworks.plans.registry import query, rounded
 from panelworks.plans.signals import prepared_bars
 from panelworks.session import stored
@@ -22,31 +23,18 @@ _NAMES = ("ma5_slope", "bull_alignment_score", "compression_score", "percent_b",
 _GROUP_OF = {name: group for group, names in lb.GROUPS.items() for name in names}
 
 
-def label_history(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> DataFrame:
-    """Labels and their previous values (``_p_`` names), stored: the metrics read them many times."""
-    made = lb.build_labels(prepared_bars(spark, sf_dir)).select("symbol", "trading_date", *names)
-    order = Rolling().ordered
-    return stored(made.withColumns({f"_p_{n}": F.lag(n).over(order) for n in names}))
-
-
-def scored_labels(history: DataFrame) -> DataFrame:
-    """Persistence baseline: each label predicted by its previous value, long."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(_GROUP_OF[n]).alias("group"),
-                F.lit(n).alias("name"),
-                F.lit(lb.task_type(n)).alias("task"),
-                F.col(n).alias("target"),
-                F.col(f"_p_{n}").alias("prediction"),
-            )
-            for n in _NAMES
-            if n in history.columns
-        ]
-    )
-    row = F.concat_ws("|", F.lpad(F.col("symbol").cast("string"), 12, "0"), F.col("trading_date").cast("string"))
-    long = history.select(row.alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.*")
-    return metrics.complete(long)
+def label_history(bars: DataFrame, names: Sequence[str], by_range: bool = False) -> DataFrame:
+    """Labels and their previous values (``_p_`` names) on the ordered bars; ``by_range`` also orders the partitions."""
+    made = lb.build_labels(bars.repartitionByRange("symbol") if by_range else bars, keep=["_row"], names=names)
+    return with_frames(made, "_row", {f"_p_{n}": Frame("lag", n, 1) for n in names})
+
+
+def history_sums(spark: SparkSession, sf_dir: str, names: Sequence[str], phases: bool = False, ranked: Sequence[str] | None = None) -> DataFrame:
+    """Sums of the persistence baseline: each label predicted by its previous value."""
+    bars = stored(prepared_bars(spark, sf_dir))
+    wanted = [*names, *(lb.PHASES if phases else ())]
+    drawn = label_history(drawn_symbols(bars), wanted)
+    return hm.history_sums(label_history(bars, wanted, by_range=True), names, inputs.bar_rows(sf_dir), drawn, ranked, phases)
 
 
 def _of_task(binary: bool) -> list[str]:
@@ -90,8 +78,8 @@ _REG = ("mae", "rmse", "pearson", "spearman", "sign_accuracy")
     with_bars(SCORED_SQL + _REGRESSION_SQL + 'SELECT grp AS "group", name, ' + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _REG) + ", valid_count FROM reg"),
 )
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_labels(label_history(spark, sf_dir, _of_task(binary=False)))
-    return rounded(metrics.regression_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
+    names = _of_task(binary=False)
+    return rounded(hm.regression_rows(history_sums(spark, sf_dir, names), names, _GROUP_OF))
 
 
 _EVENT_COLUMNS = (*metrics.EVENT_FIELDS, "prevalence")
@@ -102,8 +90,8 @@ _EVENT_COLUMNS = (*metrics.EVENT_FIELDS, "prevalence")
     with_bars(SCORED_SQL + _EVENT_SQL + 'SELECT grp AS "group", name, ' + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _EVENT_COLUMNS) + ", valid_count FROM evm"),
 )
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_labels(label_history(spark, sf_dir, _of_task(binary=True)))
-    return rounded(metrics.event_metrics(rows, ["group", "name"], inputs.bar_rows(sf_dir)))
+    names = _of_task(binary=True)
+    return rounded(hm.event_rows(history_sums(spark, sf_dir, names), names, _GROUP_OF))
 
 
 def phase_rows(pairs: DataFrame) -> DataFrame:
@@ -159,8 +147,7 @@ _LONG_SQL = (
     with_bars(SCORED_SQL + _REGRESSION_SQL + _EVENT_SQL + _LONG_SQL + 'SELECT grp AS "group", name, metric, round(value, 6) + 0.0 AS value FROM al'),
 )
 def grouped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = label_history(spark, sf_dir, (*_NAMES, *lb.PHASES))
-    return rounded(metrics.grouped_metrics(scored_labels(history), phase_rows(history), inputs.bar_rows(sf_dir)))
+    return rounded(hm.grouped_metrics(history_sums(spark, sf_dir, _NAMES, phases=True), _NAMES, _GROUP_OF))
 
 
 def _figure(out: str, group: str, names: str, metric: str) -> str:
@@ -218,8 +205,7 @@ _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
     ),
 )
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = label_history(spark, sf_dir, (*_NAMES, *lb.PHASES))
-    long = metrics.grouped_metrics(scored_labels(history), phase_rows(history), inputs.bar_rows(sf_dir))
+    long = hm.grouped_metrics(history_sums(spark, sf_dir, _NAMES, phases=True), _NAMES, _GROUP_OF)
     scored = metrics.composite_scores(metrics.metric_summary(long))
     stages = [f"select_{stage}" for stage in metrics.STAGES]
     return rounded(scored.select(*_COMPOSITE_COLUMNS, "composite", *stages))
@@ -232,7 +218,7 @@ def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def soft_phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.soft_phase_metrics(phase_rows(label_history(spark, sf_dir, lb.PHASES)), 5))
+    return rounded(hm.phase_row(history_sums(spark, sf_dir, (), phases=True)))
 
 
 @query(
@@ -240,7 +226,7 @@ def soft_phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_bars(_PHASE_SQL + "SELECT CAST(act AS INTEGER) AS actual, CAST(prd AS INTEGER) AS predicted, count(*) AS n FROM a2 GROUP BY 1, 2"),
 )
 def phase_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion(metrics.soft_rows(phase_rows(label_history(spark, sf_dir, lb.PHASES))))
+    return metrics.confusion(metrics.soft_rows(phase_rows(label_history(prepared_bars(spark, sf_dir), lb.PHASES))))
 
 
 @query(
