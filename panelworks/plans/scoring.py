@@ -41,16 +41,21 @@ def _of_task(binary: bool) -> list[str]:
     return [n for n in _NAMES if (lb.task_type(n) == "binary_event") == binary]
 
 
-SCORED_SQL = (
-    LABELS_SQL
-    + ", sc AS ("
-    + " UNION ALL ".join(
-        f"SELECT lpad(CAST(symbol AS VARCHAR), 12, '0') || '|' || trading_date AS row_id, '{_GROUP_OF[n]}' AS grp, '{n}' AS name, '{lb.task_type(n)}' AS task,"
-        f" {n}::DOUBLE AS t, lag({n}::DOUBLE) OVER (PARTITION BY symbol ORDER BY trading_date) AS p FROM labs"
-        for n in _NAMES
+def scored_sql(names: Sequence[str]) -> str:
+    """Targets and predictions of the named labels, long."""
+    return (
+        LABELS_SQL
+        + ", sc AS ("
+        + " UNION ALL ".join(
+            f"SELECT lpad(CAST(symbol AS VARCHAR), 12, '0') || '|' || trading_date AS row_id, '{_GROUP_OF[n]}' AS grp, '{n}' AS name, '{lb.task_type(n)}' AS task,"
+            f" {n}::DOUBLE AS t, lag({n}::DOUBLE) OVER (PARTITION BY symbol ORDER BY trading_date) AS p FROM labs"
+            for n in names
+        )
+        + "), ok AS (SELECT * FROM sc WHERE t IS NOT NULL AND p IS NOT NULL)"
     )
-    + "), ok AS (SELECT * FROM sc WHERE t IS NOT NULL AND p IS NOT NULL)"
-)
+
+
+SCORED_SQL = scored_sql(_NAMES)
 _REGRESSION_SQL = """
 , rk AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY t) + (count(*) OVER (PARTITION BY name, t) - 1) / 2.0::DOUBLE AS rt,
   rank() OVER (PARTITION BY name ORDER BY p) + (count(*) OVER (PARTITION BY name, p) - 1) / 2.0::DOUBLE AS rp FROM ok WHERE task <> 'binary_event'),
@@ -186,12 +191,15 @@ _COMPOSITE_SQL = (
   0.60 * er + 0.20 * ef + 0.10 * e1 + 0.10 * e5 AS event FROM sm)"""
 )
 _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
+# every label that a figure of the summary reads, and those whose ranks one reads
+_SUMMARIZED = tuple(dict.fromkeys(n for _, group, names, _ in metrics.SUMMARY_PARTS if group != "phase" for n in names))
+_RANKED = tuple(n for _, _, names, metric in metrics.SUMMARY_PARTS if metric == "spearman" for n in names)
 
 
 @query(
     "composite_scores",
     with_bars(
-        SCORED_SQL
+        scored_sql(_SUMMARIZED)
         + _REGRESSION_SQL
         + _EVENT_SQL
         + _LONG_SQL
@@ -205,7 +213,8 @@ _COMPOSITE_COLUMNS = ("ma", "boll", "primitive", "phase", "event")
     ),
 )
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = hm.grouped_metrics(history_sums(spark, sf_dir, _NAMES, phases=True), _NAMES, _GROUP_OF)
+    sums = history_sums(spark, sf_dir, _SUMMARIZED, phases=True, ranked=_RANKED)
+    long = hm.grouped_metrics(sums, _SUMMARIZED, _GROUP_OF)
     scored = metrics.composite_scores(metrics.metric_summary(long))
     stages = [f"select_{stage}" for stage in metrics.STAGES]
     return rounded(scored.select(*_COMPOSITE_COLUMNS, "composite", *stages))

@@ -62,3 +62,19 @@ def test_rows_are_made_once_and_cells_stay_packed(spark):
     plan = scoring.label_history(scoring.prepared_bars(spark, "/root/testdata/sf0.001"), NAMES, by_range=True)._jdf.queryExecution().executedPlan().toString()
     tail = plan.split("MapInArrow")[0]
     assert "Exchange" not in tail and "rangepartitioning(symbol" in plan
+
+
+def test_composite_scores_every_label_of_its_summary(spark, monkeypatch):
+    """No figure of the summary is 0 because its labels were not scored, in the query and in its SQL."""
+    import __spark_entry__ as registry
+    from panelworks.plans import scoring
+
+    seen = {}
+    made = scoring.history_sums
+    monkeypatch.setattr(scoring, "history_sums", lambda *a, **k: seen.update(names=a[2], ranked=k["ranked"]) or made(*a, **k))
+    assert scoring.composite_scores(spark, "/root/testdata/sf0.001").count() == 1
+    sql = registry.oracle_sql()["composite_scores"]
+    for _, group, names, metric in metrics.SUMMARY_PARTS:
+        for name in names if group != "phase" else ():
+            assert name in seen["names"] and f"'{name}' AS name" in sql
+            assert metric != "spearman" or name in seen["ranked"]
