@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.session import ensure_checkpoint_dir
+from panelworks.session import stored
 
 #: Distinct values of a bracket that one task may order, and the accuracy of the sketches that set brackets.
 ORDERED, ACCURACY = 200_000, 10_000
@@ -98,17 +98,22 @@ def _inside(rows: DataFrame, targets: list[Target]) -> DataFrame:
 
 
 def exact_quantiles(
-    rows: DataFrame, columns: Sequence[str], shares: Sequence[float], ordered: int = ORDERED, accuracy: int = ACCURACY
+    rows: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[float],
+    ordered: int = ORDERED,
+    accuracy: int = ACCURACY,
+    kept: bool = False,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column (NULLs left out; None for a column without values).
 
     Mergeable sketches of all columns, from one scan, bracket each wanted rank; exact counts say how many values
     lie below and inside; brackets that hold more than ``ordered`` values are sketched again. Only what is left in the
     brackets is exchanged, equal values as one row. Rows are read a few times and never sorted; the driver sees
-    numbers per column and share.
+    numbers per column and share. Rows that are not ``kept`` in a table already are stored for that.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).checkpoint()
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = rows if kept else stored(rows)
     margin = 2 / accuracy
 
     def around(share: float) -> list[float]:

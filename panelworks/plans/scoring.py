@@ -31,7 +31,8 @@ def label_history(bars: DataFrame, names: Sequence[str], by_range: bool = False)
 
 def history_sums(spark: SparkSession, sf_dir: str, names: Sequence[str], phases: bool = False, ranked: Sequence[str] | None = None) -> DataFrame:
     """Sums of the persistence baseline: each label predicted by its previous value."""
-    bars = stored(prepared_bars(spark, sf_dir))
+    taken = ("high", "low", "close", "volume", "turnover", "turnover_observed")
+    bars = stored(prepared_bars(spark, sf_dir).select("symbol", "trading_date", *taken))
     wanted = [*names, *(lb.PHASES if phases else ())]
     drawn = label_history(drawn_symbols(bars), wanted)
     return hm.history_sums(label_history(bars, wanted, by_range=True), names, inputs.bar_rows(sf_dir), drawn, ranked, phases)
